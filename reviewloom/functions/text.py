@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -79,7 +80,7 @@ def token_array(col: Column | str, min_len: int = 2) -> Column:
 # After the published Porter-style affix rules for Indonesian (Tala, 2003): inflectional suffixes,
 # first-order prefix, derivational suffix, second-order prefix. An affix goes only when at least two
 # vowels stay, so short roots survive. No dictionary is used.
-STEM_KEEP = "[a-z0-9-]*[aiueo][a-z0-9-]*[aiueo][a-z0-9-]*"
+STEM_KEEP = "[^aiueo]*[aiueo][^aiueo]*[aiueo].*"
 STEM_PARTICLE = f"^({STEM_KEEP})(?:kah|lah|pun)$"
 STEM_POSSESSIVE = f"^({STEM_KEEP})(?:nya|ku|mu)$"
 STEM_PREFIX_S = f"^(?:meny|peny)([aiueo]{STEM_KEEP})$"
@@ -88,21 +89,35 @@ STEM_PREFIX_PLAIN = f"^(?:meng|peng|men|pen|mem|pem|me|di|ter|ke)({STEM_KEEP})$"
 STEM_SUFFIX_KAN = f"^({STEM_KEEP})kan$"
 STEM_SUFFIX_AN = f"^({STEM_KEEP})an$"
 STEM_SUFFIX_I = f"^({STEM_KEEP})i$"
-STEM_NO_KAN = "^(?:ke|peng)"
-STEM_NO_AN = "^(?:di|meng|ter)"
-STEM_NO_I = "^(?:ber|ke|peng)"
 STEM_PREFIX_SECOND = f"^(?:ber|bel|be|per|pel|pe)({STEM_KEEP})$"
 
 
-def normalize_for_stem(col: Column | str) -> Column:
-    """Lower-case, turn everything but a-z, 0-9, space and hyphen into a space, squeeze spaces."""
-    spaced = F.regexp_replace(F.lower(_c(col)), "[^a-z0-9 -]", " ")
-    return F.btrim(F.regexp_replace(spaced, " +", " "))
+def stem_input(col: Column | str) -> Column:
+    """Lower-cased tokens of a-z, 0-9 and hyphen; every other character separates."""
+    return F.regexp_extract_all(F.lower(_c(col)), F.lit("([a-z0-9-]+)"), F.lit(1))
+
+
+def _any_start(word: Column, *heads: str) -> Column:
+    return reduce(lambda a, b: a | b, [word.startswith(h) for h in heads])
+
+
+def _any_end(word: Column, *tails: str) -> Column:
+    return reduce(lambda a, b: a | b, [word.endswith(t) for t in tails])
+
+
+# Each rule tests plain prefixes or suffixes first, so most tokens never reach a pattern.
+def _inflection(word: Column) -> Column:
+    return F.when(_any_end(word, "kah", "lah", "pun"), F.regexp_replace(word, STEM_PARTICLE, "$1")).otherwise(word)
+
+
+def _possessive(word: Column) -> Column:
+    return F.when(_any_end(word, "nya", "ku", "mu"), F.regexp_replace(word, STEM_POSSESSIVE, "$1")).otherwise(word)
 
 
 def _first_prefix(word: Column) -> Column:
     return (
-        F.when(F.rlike(word, F.lit(STEM_PREFIX_S)), F.regexp_replace(word, STEM_PREFIX_S, "s$1"))
+        F.when(~_any_start(word, "me", "pe", "di", "ter", "ke"), word)
+        .when(F.rlike(word, F.lit(STEM_PREFIX_S)), F.regexp_replace(word, STEM_PREFIX_S, "s$1"))
         .when(F.rlike(word, F.lit(STEM_PREFIX_P)), F.regexp_replace(word, STEM_PREFIX_P, "p$1"))
         .otherwise(F.regexp_replace(word, STEM_PREFIX_PLAIN, "$1"))
     )
@@ -111,32 +126,33 @@ def _first_prefix(word: Column) -> Column:
 def _suffix(word: Column, bare: Column) -> Column:
     """Derivational suffix of ``bare``; which one may go depends on the prefix ``word`` had."""
 
-    def allowed(pattern: str, banned: str) -> Column:
-        return F.rlike(bare, F.lit(pattern)) & ~F.rlike(word, F.lit(banned))
+    def allowed(pattern: str, banned: tuple[str, ...]) -> Column:
+        return ~_any_start(word, *banned) & F.rlike(bare, F.lit(pattern))
 
     return (
-        F.when(allowed(STEM_SUFFIX_KAN, STEM_NO_KAN), F.regexp_replace(bare, STEM_SUFFIX_KAN, "$1"))
-        .when(allowed(STEM_SUFFIX_AN, STEM_NO_AN), F.regexp_replace(bare, STEM_SUFFIX_AN, "$1"))
-        .when(allowed(STEM_SUFFIX_I, STEM_NO_I), F.regexp_replace(bare, STEM_SUFFIX_I, "$1"))
+        F.when(~_any_end(bare, "an", "i"), bare)
+        .when(allowed(STEM_SUFFIX_KAN, ("ke", "peng")), F.regexp_replace(bare, STEM_SUFFIX_KAN, "$1"))
+        .when(allowed(STEM_SUFFIX_AN, ("di", "meng", "ter")), F.regexp_replace(bare, STEM_SUFFIX_AN, "$1"))
+        .when(allowed(STEM_SUFFIX_I, ("ber", "ke", "peng")), F.regexp_replace(bare, STEM_SUFFIX_I, "$1"))
         .otherwise(bare)
     )
 
 
+def _second_prefix(word: Column) -> Column:
+    return F.when(_any_start(word, "be", "pe"), F.regexp_replace(word, STEM_PREFIX_SECOND, "$1")).otherwise(word)
+
+
 def stem_tokens(tokens: Column) -> Column:
     """Stem an array of lower-case tokens. One pass per rule group keeps each lambda small."""
-    words = F.transform(
-        tokens,
-        lambda t: F.regexp_replace(F.regexp_replace(t, STEM_PARTICLE, "$1"), STEM_POSSESSIVE, "$1"),
-    )
+    words = F.transform(F.transform(tokens, _inflection), _possessive)
     pairs = F.transform(words, lambda w: F.struct(w.alias("word"), _first_prefix(w).alias("bare")))
-    stems = F.transform(pairs, lambda p: _suffix(p["word"], p["bare"]))
-    return F.transform(stems, lambda s: F.regexp_replace(s, STEM_PREFIX_SECOND, "$1"))
+    return F.transform(F.transform(pairs, lambda p: _suffix(p["word"], p["bare"])), _second_prefix)
 
 
 def stem_text(col: Column | str, normalize: bool = True) -> Column:
-    """Stem every space-separated token with the affix rules."""
-    base = normalize_for_stem(col) if normalize else _c(col)
-    return F.array_join(stem_tokens(F.split(base, " ", -1)), " ")
+    """Stem every token with the affix rules and join the stems by single spaces."""
+    tokens = stem_input(col) if normalize else F.split(_c(col), " ", -1)
+    return F.array_join(stem_tokens(tokens), " ")
 
 
 def preprocess_train(col: Column | str, words: Sequence[str] = STOPWORDS_ID) -> Column:

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from reviewloom.workload.base import ORACLES, QUERIES
 
-MODULES = ("text",)
+MODULES = ("text", "prepare")
 
 
 def _load() -> None:

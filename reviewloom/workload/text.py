@@ -24,28 +24,28 @@ def sql_clean(expr: str) -> str:
 
 
 def sql_stop(expr: str, words=STOP_WORDS) -> str:
-    return f"array_to_string(list_filter(string_split({expr}, ' '), t -> NOT list_contains({sql_list(words)}, t)), ' ')"
+    return f"array_to_string(list_filter(string_split({expr}, ' '), lambda t: NOT list_contains({sql_list(words)}, t)), ' ')"
 
 
 def sql_stem(expr: str) -> str:
     """The same published affix rules, written out as one CASE per step."""
     keep = "[a-z0-9-]*[aiueo][a-z0-9-]*[aiueo][a-z0-9-]*"
     base = f"trim(regexp_replace(regexp_replace(lower({expr}), '[^a-z0-9 -]', ' ', 'g'), ' +', ' ', 'g'), ' ')"
-    one = f"list_transform(string_split({base}, ' '), t -> regexp_replace(regexp_replace(t, '^({keep})(?:kah|lah|pun)$', '\\1'), '^({keep})(?:nya|ku|mu)$', '\\1'))"
+    one = f"list_transform(string_split({base}, ' '), lambda t: regexp_replace(regexp_replace(t, '^({keep})(?:kah|lah|pun)$', '\\1'), '^({keep})(?:nya|ku|mu)$', '\\1'))"
     two = (
-        f"list_transform({one}, w -> struct_pack(w := w, b := CASE "
+        f"list_transform({one}, lambda w: struct_pack(w := w, b := CASE "
         f"WHEN regexp_matches(w, '^(?:meny|peny)([aiueo]{keep})$') THEN regexp_replace(w, '^(?:meny|peny)([aiueo]{keep})$', 's\\1') "
         f"WHEN regexp_matches(w, '^(?:mem|pem)([aiueo]{keep})$') THEN regexp_replace(w, '^(?:mem|pem)([aiueo]{keep})$', 'p\\1') "
         f"ELSE regexp_replace(w, '^(?:meng|peng|men|pen|mem|pem|me|di|ter|ke)({keep})$', '\\1') END))"
     )
     three = (
-        f"list_transform({two}, p -> CASE "
+        f"list_transform({two}, lambda p: CASE "
         f"WHEN regexp_matches(p.b, '^({keep})kan$') AND NOT regexp_matches(p.w, '^(?:ke|peng)') THEN regexp_replace(p.b, '^({keep})kan$', '\\1') "
         f"WHEN regexp_matches(p.b, '^({keep})an$') AND NOT regexp_matches(p.w, '^(?:di|meng|ter)') THEN regexp_replace(p.b, '^({keep})an$', '\\1') "
         f"WHEN regexp_matches(p.b, '^({keep})i$') AND NOT regexp_matches(p.w, '^(?:ber|ke|peng)') THEN regexp_replace(p.b, '^({keep})i$', '\\1') "
         f"ELSE p.b END)"
     )
-    four = f"list_transform({three}, s -> regexp_replace(s, '^(?:ber|bel|be|per|pel|pe)({keep})$', '\\1'))"
+    four = f"list_transform({three}, lambda s: regexp_replace(s, '^(?:ber|bel|be|per|pel|pe)({keep})$', '\\1'))"
     return f"array_to_string({four}, ' ')"
 
 
