@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from html.entities import name2codepoint
 
@@ -14,32 +14,45 @@ from reviewloom.functions.text import strip
 NOISE = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 TAG = r"(?s)<[^>]*>"
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once. Inside lambdas Spark shares no subexpressions."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def drop_noise(html: Column) -> Column:
     """Remove scripts, styles and comments."""
     return F.regexp_replace(html, NOISE, "")
 
 
+def _reference(piece: Column) -> Column:
+    """Decode the reference that a piece of text after "&" starts with, if it is one."""
+    names = F.create_map(*[F.lit(x) for name, code in name2codepoint.items() for x in (name, chr(code))])
+    hexa = F.regexp_extract(piece, r"^#[xX]([0-9A-Fa-f]{1,6});", 1)
+    deci = F.regexp_extract(piece, r"^#([0-9]{1,7});", 1)
+    code = F.when(hexa != "", F.conv(hexa, 16, 10)).when(deci != "", deci).otherwise("").try_cast("int")
+    valid = let(code, lambda c: F.when(c.between(1, 0x10FFFF) & ~c.between(0xD800, 0xDFFF), c))
+    numeric = F.decode(F.unhex(F.lpad(F.hex(valid), 8, "0")), "UTF-32")
+    named = F.try_element_at(names, F.substring_index(piece, ";", 1))
+    char = F.when(piece.startswith("#"), numeric).otherwise(named)
+    rest = F.regexp_replace(piece, r"^#?[A-Za-z0-9]+;", "")
+    return let(char, lambda c: F.when(c.isNull(), F.concat(F.lit("&"), piece)).otherwise(F.concat(c, rest)))
+
+
 def decode_entities(text: Column) -> Column:
     """Decode named, decimal and hexadecimal character references, each once.
 
-    The text is split at "&", so only pieces that start like a reference are looked up.
+    The text is split at "&", so only pieces that look like a reference are worked on.
     """
-    names = F.create_map(*[F.lit(x) for name, code in name2codepoint.items() for x in (name, chr(code))])
 
     def one(piece: Column) -> Column:
-        hexa = F.regexp_extract(piece, r"^#[xX]([0-9A-Fa-f]{1,6});", 1)
-        deci = F.regexp_extract(piece, r"^#([0-9]{1,7});", 1)
-        code = F.when(hexa != "", F.conv(hexa, 16, 10)).when(deci != "", deci).otherwise("").try_cast("int")
-        valid = F.when(code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF), code)
-        numeric = F.decode(F.unhex(F.lpad(F.hex(valid), 8, "0")), "UTF-32")
-        named = F.try_element_at(names, F.regexp_extract(piece, r"^([A-Za-z][A-Za-z0-9]*);", 1))
-        char = F.when(piece.startswith("#"), numeric).otherwise(named)
-        rest = F.regexp_replace(piece, r"^#?[A-Za-z0-9]+;", "")
-        return F.when(char.isNull(), F.concat(F.lit("&"), piece)).otherwise(F.concat(char, rest))
+        plain = F.concat(F.lit("&"), piece)
+        return F.when(F.rlike(piece, F.lit(r"^#?[A-Za-z0-9]+;")), _reference(piece)).otherwise(plain)
+
+    def whole(pieces: Column) -> Column:
+        later = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), one)
+        return F.concat(F.get(pieces, F.lit(0)), F.array_join(later, ""))
 
-    pieces = F.split(text, "&", -1)
-    later = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), one)
-    return F.when(text.contains("&"), F.concat(F.get(pieces, F.lit(0)), F.array_join(later, ""))).otherwise(text)
+    return let(text, lambda t: F.when(t.contains("&"), let(F.split(t, "&", -1), whole)).otherwise(t))
 
 
 def inner_text(html: Column) -> Column:
@@ -49,8 +62,8 @@ def inner_text(html: Column) -> Column:
 
 def compact_text(html: Column) -> Column:
     """Text with every run between two tags stripped on its own, then joined without separators."""
-    runs = F.transform(F.split(html, TAG, -1), lambda r: strip(decode_entities(r)))
-    return F.array_join(runs, "")
+    runs = F.regexp_extract_all(html, F.lit("(?:^|<[^>]*>)([^<]+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda r: strip(decode_entities(r))), "")
 
 
 def elements(html: Column, tag: str, attr: str = "") -> Column:
@@ -62,13 +75,13 @@ def elements(html: Column, tag: str, attr: str = "") -> Column:
 
 def first_text(html: Column, tag: str, attr: str) -> Column:
     """Text of the first matching element, null when there is none."""
-    return F.get(F.transform(elements(html, tag, attr), inner_text), F.lit(0))
+    return inner_text(F.get(elements(html, tag, attr), F.lit(0)))
 
 
 def contains_any(text: Column, words: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words], F.lit(False))
 
 
-def first_match(texts: Column, condition) -> Column:
+def first_match(texts: Column, condition: Callable[[Column], Column]) -> Column:
     """First element of an array that meets ``condition``, null when none does."""
     return F.get(F.filter(texts, condition), F.lit(0))

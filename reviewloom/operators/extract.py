@@ -29,6 +29,7 @@ from reviewloom.functions.html import (
     first_match,
     first_text,
     inner_text,
+    let,
 )
 from reviewloom.functions.text import clean_text
 
@@ -68,31 +69,35 @@ def distinct_urls(links: DataFrame, url: str = "url") -> DataFrame:
 def _cards(html: Column) -> Column:
     """Contents of review cards. A card may hold nested divs: its end is the closing tag that brings
     the count of open divs back to zero."""
-    pieces = F.split(html, rf"(?i)(?=<div\b[^>]*{CARD})", -1)
-    starts = F.filter(pieces, lambda p: F.rlike(p, F.lit(rf"(?i)^<div\b[^>]*{CARD}")))
+    pieces = F.split(html, rf"(?=<(?i:div)\b[^>]*{CARD})", -1)
+    starts = F.filter(pieces, lambda p: F.rlike(p, F.lit(rf"^<(?i:div)\b[^>]*{CARD}")))
 
-    def cut(piece: Column) -> Column:
-        marks = F.regexp_extract_all(piece, F.lit(r"(?i)<(/?)div\b"), F.lit(1))
+    def balance(piece: Column) -> Column:
+        """Closing tags up to the one that ends the card; 0 when the card is never closed."""
         zero = F.struct(F.lit(0).alias("open"), F.lit(0).alias("closed"), F.lit(False).alias("done"))
 
         def step(acc: Column, mark: Column) -> Column:
-            closes = mark == "/"
-            now = acc["open"] + F.when(closes, -1).otherwise(1)
-            return F.when(acc["done"], acc).otherwise(
-                F.struct(
-                    now.alias("open"),
-                    (acc["closed"] + closes.cast("int")).alias("closed"),
-                    (now == 0).alias("done"),
-                )
-            )
-
-        end = F.aggregate(marks, zero, step)
+            closes = (mark == "/").cast("int")
+            now = acc["open"] + 1 - 2 * closes
+            after = F.struct(now.alias("open"), (acc["closed"] + closes).alias("closed"), (now == 0).alias("done"))
+            return F.when(acc["done"], acc).otherwise(after)
+
+        marks = F.regexp_extract_all(piece, F.lit(r"(?i)<(/?)div\b"), F.lit(1))
+        return F.aggregate(marks, zero, step, lambda end: F.when(end["done"], end["closed"]).otherwise(0))
+
+    def cut(piece: Column) -> Column:
         whole = F.regexp_replace(piece, r"(?i)</div\s*>", "</div>")
-        upto = F.slice(F.split(whole, "</div>", -1), F.lit(1), end["closed"])
-        body = F.when(end["done"], F.array_join(upto, "</div>")).otherwise(piece)
-        return F.regexp_replace(body, r"(?is)^<div\b[^>]*>", "")
+        parts = F.split(whole, "</div>", -1)
+        upto = let(
+            balance(piece), lambda n: F.when(n > 0, F.array_join(F.slice(parts, F.lit(1), n), "</div>")).otherwise(piece)
+        )
+        return F.regexp_replace(upto, r"(?is)^<div\b[^>]*>", "")
+
+    return F.when(page_has_card(html), F.transform(starts, cut)).otherwise(F.array().cast("array<string>"))
+
 
-    return F.transform(starts, cut)
+def page_has_card(html: Column) -> Column:
+    return html.contains(CARD)
 
 
 def _leaf_divs(html: Column) -> Column:
@@ -126,23 +131,28 @@ def select_review_containers(
     page = F.col("_page")
     base = pages.select(*keep, drop_noise(F.col(html)).alias("_page"))
 
-    def fits(fragment: Column, bounds: tuple[int, int]) -> Column:
-        text = compact_text(fragment)
+    def fits(text: Column, bounds: tuple[int, int]) -> Column:
         return (F.length(text) > bounds[0]) & (F.length(text) < bounds[1]) & contains_any(text, markers)
 
-    base = base.withColumn("_cards", _cards(page)).withColumn("_articles", elements(page, "article"))
+    def with_text(fragments: Column) -> Column:
+        return F.transform(fragments, lambda f: F.struct(f.alias("html"), compact_text(f).alias("text")))
+
+    def html_of(boxes: Column) -> Column:
+        return F.transform(boxes, lambda b: b["html"])
+
+    base = base.withColumn("_cards", _cards(page))
+    no_cards = F.size("_cards") == 0
     if variant == "old":
+        base = base.withColumn("_articles", F.when(no_cards, elements(page, "article")))
         options = [("card", F.col("_cards")), ("article", F.col("_articles"))]
     else:
         lo, hi = child_bounds
-        articles = F.filter("_articles", lambda a: fits(a, article_bounds))
-        divs = F.filter(
-            _leaf_divs(page),
-            lambda d: fits(d, div_bounds) & (_child_count(d) > lo) & (_child_count(d) < hi),
-        )
-        base = base.withColumn("_fit", F.when(F.size("_cards") == 0, articles))
-        base = base.withColumn("_divs", F.when(F.size("_fit") == 0, divs))
-        options = [("card", F.col("_cards")), ("article", F.col("_fit")), ("div", F.col("_divs"))]
+        articles = F.filter(with_text(elements(page, "article")), lambda b: fits(b["text"], article_bounds))
+        base = base.withColumn("_articles", F.when(no_cards, html_of(articles)))
+        few_children = lambda b: let(_child_count(b["html"]), lambda n: (n > lo) & (n < hi))
+        divs = F.filter(with_text(_leaf_divs(page)), lambda b: fits(b["text"], div_bounds) & few_children(b))
+        base = base.withColumn("_divs", F.when(F.size("_articles") == 0, html_of(divs)))
+        options = [("card", F.col("_cards")), ("article", F.col("_articles")), ("div", F.col("_divs"))]
     strategy, chosen = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
     for name, found in reversed(options):
         strategy = F.when(F.size(found) > 0, F.lit(name)).otherwise(strategy)
@@ -219,7 +229,7 @@ def extract_date_text(container: Column, words: Sequence[str] = tuple(DATE_WORDS
 
 def validate_review(df: DataFrame, review: str = "Review", min_len: int = 10) -> DataFrame:
     """Drop rows without text or with fewer than ``min_len`` characters."""
-    return df.filter(F.col(review).isNotNull() & (F.col(review) != "") & (F.length(review) >= min_len))
+    return df.filter(F.length(review) >= max(min_len, 1))
 
 
 def filter_by_rating(df: DataFrame, ratings: Sequence[int | str] | None = None, rating: str = "Rating") -> DataFrame:
@@ -235,8 +245,7 @@ def extract_reviews(
 ) -> DataFrame:
     """The review record of each container, without those that hold no review text."""
     box = F.col("container")
-    rows = containers.select(
-        *keep,
+    record = F.struct(
         F.col("url").alias("Source_URL"),
         extract_username(box, variant=variant).alias("Username"),
         extract_review_text(box, variant=variant).alias("Review"),
@@ -244,6 +253,9 @@ def extract_reviews(
         rating_defaulted(box, variant=variant).alias("rating_defaulted"),
         extract_date_text(box, variant=variant).alias("Date"),
     )
+    # Unfolding a one-element array keeps the filter behind the extraction: pushed below it, the
+    # filter would extract every text a second time.
+    rows = containers.select(*keep, F.inline(F.array(record)))
     return validate_review(rows, min_len=min_len if variant == "new" else 1).withColumn(
         "Cleaned_Review", clean_text("Review")
     )

@@ -8,17 +8,21 @@ cut falls into.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewloom.functions.keys import order_hash
-from reviewloom.operators.bounded import broadcast_bounded
+from reviewloom.operators.bounded import few_rows, small_table
+from reviewloom.session import cut_lineage
 
 HASH_DIGITS = 4  # 65,536 buckets per class
-MAX_CUTS = 100_000  # classes x cuts; checked at run time
+MAX_GROUPS = 10_000  # groups and cuts are small sets; both are checked when read
+MAX_CUTS = 100_000
 
 
 def bucketed_row_number(
@@ -62,65 +66,78 @@ def exact_rank_by_hash(df: DataFrame, group: str, id_col: str, seed: int = 42, o
     return bucketed_row_number(df, [group], [F.substring(h, 1, HASH_DIGITS)], [h, F.col(id_col)], out, start=0)
 
 
-def hash_cuts(df: DataFrame, group: str, id_col: str, quotas: DataFrame, seed: int = 42) -> DataFrame:
-    """For each ``(group, cut, n)`` in ``quotas``: the hash and id of the group's n-th row in hash order.
+class HashOrder:
+    """The seeded hash order of the rows of each group, known by its bucket counts.
 
-    Two reads of ``df`` narrowed to two columns: one to count buckets (combined map-side), one that
-    keeps only the buckets a cut falls into, a 65,536th of the rows each. Returns
-    ``(group, cut, cut_hash, cut_id)``. A cut at 0 sorts before every row; one above the group's
-    size raises.
+    The counts (at most 65,536 per group) are written once; every cut is then found with one more
+    narrow read that keeps a 65,536th of the rows. Rows of a null group take no part.
     """
-    h = order_hash(id_col, seed)
-    keyed = df.select(group, F.col(id_col).alias("_id"), h.alias("_h")).withColumn(
-        "_bucket", F.substring("_h", 1, HASH_DIGITS)
-    )
-    counts = keyed.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    upto = W.partitionBy(group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)
-    cum = counts.select(
-        group,
-        "_bucket",
-        F.sum("_n").over(upto).alias("_cum"),
-        (F.sum("_n").over(upto) - F.col("_n")).alias("_before"),
-        F.sum("_n").over(W.partitionBy(group)).alias("_size"),
-    )
-    too_many = F.raise_error(
-        F.concat(F.lit("asked for "), F.col("n"), F.lit(" rows of a group that has "), F.col("_size"))
-    ).cast("bigint")
-    n = F.when(F.col("n") > F.col("_size"), too_many).otherwise(F.col("n"))
-    edge = (
-        cum.join(broadcast_bounded(quotas, MAX_CUTS, "cuts"), group)
-        .withColumn("n", n)
-        .filter((F.col("n") > F.col("_before")) & (F.col("n") <= F.col("_cum")))
-        .select(group, "cut", "_bucket", (F.col("n") - F.col("_before")).alias("_need"))
-    )
-    edge = broadcast_bounded(edge, MAX_CUTS, "cuts")
-    local = W.partitionBy(group, "_bucket", "cut").orderBy("_h", "_id")
-    nth = (
-        keyed.join(edge, [group, "_bucket"])
-        .withColumn("_rn", F.row_number().over(local))
-        .filter(F.col("_rn") == F.col("_need"))
-        .select(group, "cut", F.col("_h").alias("cut_hash"), F.col("_id").alias("cut_id"))
-    )
-    none = F.lit(None).cast(dict(nth.dtypes)["cut_id"])
-    zero = quotas.filter(F.col("n") == 0).select(group, "cut", F.lit("").alias("cut_hash"), none.alias("cut_id"))
-    return nth.unionByName(zero)
-
 
-def cut_index(df: DataFrame, group: str, id_col: str, cuts: DataFrame, seed: int = 42, out: str = "cut_index") -> DataFrame:
-    """Number of the group's cuts that lie before each row: 0 for rows up to the first cut.
-
-    ``cuts`` come from :func:`hash_cuts`: one short array per class, so every row is placed by a
-    map-side lookup, without shuffling or sorting the rows.
-    """
-    arrays = cuts.groupBy(F.col(group).alias("_group")).agg(
-        F.collect_list(F.struct(F.col("cut_hash").alias("h"), F.col("cut_id").alias("i"))).alias("_cuts")
-    )
-    own = F.struct(order_hash(id_col, seed).alias("h"), F.col(id_col).alias("i"))
-    passed = F.size(F.filter(F.coalesce(F.col("_cuts"), F.array()), lambda c: F.col("_own") > c))
-    return (
-        df.withColumn("_own", own)
-        .join(broadcast_bounded(arrays, MAX_CUTS, "cuts"), F.col(group) == F.col("_group"), "left")
-        .withColumn("_passed", passed)
-        .drop("_own", "_cuts", "_group")
-        .withColumnRenamed("_passed", out)
-    )
+    def __init__(self, df: DataFrame, group: str, id_col: str, seed: int = 42):
+        self.group, self.id_col, self.seed = group, id_col, seed
+        h = order_hash(id_col, seed)
+        self.keyed = df.filter(F.col(group).isNotNull()).select(
+            F.col(group).alias("_g"), F.col(id_col).alias("_id"), h.alias("_h"), F.substring(h, 1, HASH_DIGITS).alias("_b")
+        )
+        self.counts = cut_lineage(self.keyed.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n")))
+        sizes = self.counts.groupBy("_g").agg(F.sum("_n").alias("n"))
+        self.sizes = {r["_g"]: r["n"] for r in few_rows(sizes, MAX_GROUPS, "groups")}
+
+    def cuts(self, quotas: Mapping[Any, Sequence[int]]) -> DataFrame:
+        """``(_g, _cuts)``: for each n of a group's quotas the hash and id of its n-th row.
+
+        n = 0 gives a cut before the first row; an n above the group's size raises.
+        """
+        wanted, zero = [], []
+        for value, ns in quotas.items():
+            for number, n in enumerate(ns):
+                if n > self.sizes.get(value, 0):
+                    raise ValueError(f"asked for {n} rows of group {value!r}, which has {self.sizes.get(value, 0)}")
+                (wanted if n else zero).append((value, number, n))
+        found = {(value, number): ("", None) for value, number, _ in zero}
+        if wanted:
+            for row in self._nth_rows(wanted):
+                found[row["_g"], row["cut"]] = (row["_h"], row["_id"])
+        by_group: dict[Any, list] = {}
+        for (value, number), (h, i) in sorted(found.items(), key=lambda e: e[0][1]):
+            by_group.setdefault(value, []).append({"h": h, "i": i})
+        types = dict(self.keyed.dtypes)
+        schema = T._parse_datatype_string(f"_g {types['_g']}, _cuts array<struct<h:string,i:{types['_id']}>>")
+        rows = [{"_g": value, "_cuts": cuts} for value, cuts in by_group.items()]
+        return small_table(self.keyed.sparkSession, rows, schema)
+
+    def _nth_rows(self, wanted: Sequence[tuple]) -> list:
+        """Rows of the given ranks. Only the buckets they fall into are ordered."""
+        spark = self.keyed.sparkSession
+        types = dict(self.keyed.dtypes)
+        asked = small_table(
+            spark,
+            [{"_g": value, "cut": number, "n": n} for value, number, n in wanted],
+            T._parse_datatype_string(f"_g {types['_g']}, cut int, n bigint"),
+        )
+        upto = W.partitionBy("_g").orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
+        running = self.counts.withColumn("_to", F.sum("_n").over(upto))
+        inside = (F.col("n") > F.col("_to") - F.col("_n")) & (F.col("n") <= F.col("_to"))
+        edges = running.join(F.broadcast(asked), "_g").filter(inside)
+        edges = edges.select("_g", "_b", "cut", (F.col("n") - F.col("_to") + F.col("_n")).alias("need"))
+        edge_type = T._parse_datatype_string(f"_g {types['_g']}, _b string, cut int, need bigint")
+        edge_rows = [r.asDict() for r in few_rows(edges, MAX_CUTS, "cuts")]
+        local = W.partitionBy("_g", "_b", "cut").orderBy("_h", "_id")
+        hits = self.keyed.join(F.broadcast(small_table(spark, edge_rows, edge_type)), ["_g", "_b"])
+        hits = hits.withColumn("_rn", F.row_number().over(local)).filter(F.col("_rn") == F.col("need"))
+        return few_rows(hits.select("_g", "cut", "_h", "_id"), MAX_CUTS, "cuts")
+
+    def place(self, df: DataFrame, cuts: DataFrame, out: str) -> DataFrame:
+        """Add the number of its group's cuts that lie before each row: 0 up to the first cut.
+
+        A map-side lookup in a table of one row per group; the rows are neither shuffled nor sorted.
+        """
+        own = F.struct(order_hash(self.id_col, self.seed).alias("h"), F.col(self.id_col).alias("i"))
+        passed = F.size(F.filter(F.coalesce(F.col("_cuts"), F.array()), lambda c: F.col("_own") > c))
+        return (
+            df.withColumn("_own", own)
+            .join(F.broadcast(cuts), F.col(self.group) == F.col("_g"), "left")
+            .withColumn("_passed", passed)
+            .drop("_own", "_cuts", "_g")
+            .withColumnRenamed("_passed", out)
+        )

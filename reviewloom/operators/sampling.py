@@ -1,17 +1,18 @@
-"""Balancing and splitting: exact sizes, chosen by seeded hash order, so results are repeatable."""
+"""Balancing and splitting: exact sizes, chosen by seeded hash order, so results are repeatable.
+
+Class sizes are read first (one row per class), the quotas follow from them, and each row is then
+placed by a map-side comparison with its class's cut.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.functions.keys import order_hash
-from reviewloom.operators.ranking import cut_index, hash_cuts
-
-
-def _class_sizes(df: DataFrame, label: str) -> DataFrame:
-    return df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("size"))
+from reviewloom.operators.ranking import HashOrder
 
 
 def undersample_majority(
@@ -21,17 +22,11 @@ def undersample_majority(
 
     Raises when the majority class has fewer rows than asked for.
     """
-    sizes = _class_sizes(df, label)
-    others = F.coalesce(F.sum(F.when(F.col(label) != majority, F.col("size"))), F.lit(0))
-    target = others if n is None else F.lit(n)
-    quotas = sizes.agg(target.cast("bigint").alias("n")).select(
-        F.lit(majority).alias(label), F.lit(0).alias("cut"), "n"
-    )
     rows = df.filter(F.col(label).isNotNull())
-    top = rows.filter(F.col(label) == majority)
-    cuts = hash_cuts(top, label, id_col, quotas, seed)
-    kept = cut_index(top, label, id_col, cuts, seed).filter(F.col("cut_index") == 0).drop("cut_index")
-    return rows.filter(F.col(label) != majority).unionByName(kept)
+    order = HashOrder(rows, label, id_col, seed)
+    target = sum(size for value, size in order.sizes.items() if value != majority) if n is None else n
+    placed = order.place(rows, order.cuts({majority: [target]}), "_cut")
+    return placed.filter(F.col("_cut") == 0).drop("_cut")
 
 
 def shuffle_rows(df: DataFrame, id_col: str, seed: int = 42, out: str = "order_key") -> DataFrame:
@@ -40,25 +35,19 @@ def shuffle_rows(df: DataFrame, id_col: str, seed: int = 42, out: str = "order_k
     return df.withColumn(out, order_hash(id_col, seed))
 
 
-def _largest_remainder(sizes: DataFrame, label: str, share: float) -> DataFrame:
-    """Exact test quota per class: total ceil(share * n), spread by largest remainder.
+def split_quotas(sizes: dict, share: float) -> dict:
+    """Exact test rows per class: ceil(share * n) in total, spread by largest remainder.
 
-    Ties go to the alphabetically first class. The table has one row per class.
+    Ties go to the alphabetically first class.
     """
-    everything = W.partitionBy(F.lit(1))
-    exact = F.col("size") * F.col("_total") / F.sum("size").over(everything)
-    quota = (
-        sizes.withColumn("_total", F.ceil(F.round(F.sum("size").over(everything) * F.lit(share), 6)))
-        .withColumn("_exact", exact)
-        .withColumn("_floor", F.floor("_exact"))
-    )
-    left = F.col("_total") - F.sum("_floor").over(everything)
-    turn = F.row_number().over(
-        W.partitionBy(F.lit(1)).orderBy(F.desc(F.round(F.col("_exact") - F.col("_floor"), 9)), F.col(label))
-    )
-    return quota.select(label, "size", left.alias("_left"), turn.alias("_turn"), "_floor").select(
-        label, (F.col("_floor") + (F.col("_turn") <= F.col("_left")).cast("int")).cast("bigint").alias("n")
-    )
+    total = sum(sizes.values())
+    wanted = math.ceil(round(total * share, 6))
+    exact = {value: size * wanted / total for value, size in sizes.items()}
+    quotas = {value: math.floor(e) for value, e in exact.items()}
+    turn = sorted(sizes, key=lambda v: (-round(exact[v] - quotas[v], 9), v))
+    for value in turn[: wanted - sum(quotas.values())]:
+        quotas[value] += 1
+    return quotas
 
 
 def stratified_split(
@@ -69,15 +58,28 @@ def stratified_split(
     De-duplicate first (see ``dedup``): ids must be unique.
     """
     rows = df.filter(F.col(label).isNotNull())
-    quotas = _largest_remainder(_class_sizes(rows, label), label, test)
-    cuts = hash_cuts(rows, label, id_col, quotas.select(label, F.lit(0).alias("cut"), "n"), seed)
-    part = F.when(F.col("cut_index") == 0, "test").otherwise("train")
-    return cut_index(rows, label, id_col, cuts, seed).withColumn("cut_index", part).withColumnRenamed("cut_index", out)
+    order = HashOrder(rows, label, id_col, seed)
+    quotas = split_quotas(order.sizes, test) if order.sizes else {}
+    placed = order.place(rows, order.cuts({value: [n] for value, n in quotas.items()}), "_cut")
+    part = F.when(F.col("_cut") == 0, "test").otherwise("train")
+    return placed.withColumn("_cut", part).withColumnRenamed("_cut", out)
+
+
+def fold_quotas(sizes: dict, k: int) -> dict:
+    """Rows per class up to the end of folds 0 .. k-2, when the rows, sorted by class, are dealt
+    round-robin over the folds."""
 
+    def dealt(upto: int, fold: int) -> int:
+        return (upto + k - 1 - fold) // k
 
-def _positions_in_fold(upto: Column, fold: int, k: int) -> Column:
-    """How many of the positions 0 .. upto-1 leave remainder ``fold`` modulo ``k``."""
-    return F.floor((upto + F.lit(k - 1 - fold)) / F.lit(k))
+    quotas, start = {}, 0
+    for value in sorted(sizes):
+        end, running, cuts = start + sizes[value], 0, []
+        for fold in range(k - 1):
+            running += dealt(end, fold) - dealt(start, fold)
+            cuts.append(running)
+        quotas[value], start = cuts, end
+    return quotas
 
 
 def stratified_kfold(
@@ -85,22 +87,11 @@ def stratified_kfold(
 ) -> DataFrame:
     """Assign every row a fold 0..k-1: per class, consecutive runs in hash order.
 
-    Fold sizes are dealt round-robin over the rows sorted by class, so within a class they differ
-    by at most one and the whole folds are level too.
+    Within a class the fold sizes differ by at most one, and the whole folds are level too.
     """
     rows = df.filter(F.col(label).isNotNull())
-    sizes = _class_sizes(rows, label)
-    earlier = W.partitionBy(F.lit(1)).orderBy(label).rowsBetween(W.unboundedPreceding, -1)
-    placed = sizes.withColumn("_from", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
-    to = F.col("_from") + F.col("size")
-    fold_size = [_positions_in_fold(to, i, k) - _positions_in_fold(F.col("_from"), i, k) for i in range(k)]
-    cut_at, running = [], F.lit(0)
-    for i in range(k - 1):
-        running = running + fold_size[i]
-        cut_at.append(F.struct(F.lit(i).alias("cut"), running.cast("bigint").alias("n")))
-    quotas = placed.select(label, F.inline(F.array(*cut_at)))
-    cuts = hash_cuts(rows, label, id_col, quotas, seed)
-    return cut_index(rows, label, id_col, cuts, seed, out)
+    order = HashOrder(rows, label, id_col, seed)
+    return order.place(rows, order.cuts(fold_quotas(order.sizes, k)), out)
 
 
 def split_report(split: DataFrame, label: str, part: str = "split") -> DataFrame:

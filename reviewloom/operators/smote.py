@@ -11,38 +11,42 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewloom.functions.keys import int_hash, unit_hash
-from reviewloom.operators.bounded import broadcast_bounded
-from reviewloom.operators.encode import MAX_CLASSES
+from reviewloom.operators.bounded import small_table
 from reviewloom.operators.neighbors import blocked_knn
-from reviewloom.operators.ranking import cut_index, hash_cuts
+from reviewloom.operators.ranking import HashOrder
 
 CHUNK = 1000  # synthetic rows one base row yields per task
 
 
-def allocation(df: DataFrame, label: str) -> DataFrame:
-    """``(label, size, deficit)``; a class of one row that needs more rows raises."""
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.agg(F.max("size").alias("m")).scalar()
-    alone = F.raise_error(F.concat(F.lit("class with a single row has no neighbour: "), F.col(label).cast("string"))).cast("bigint")
-    deficit = largest - F.col("size")
-    return sizes.withColumn("deficit", F.when((F.col("size") == 1) & (deficit > 0), alone).otherwise(deficit))
+def deficits(sizes: dict) -> dict:
+    """Rows each class lacks; a class of one row that needs more raises."""
+    largest = max(sizes.values(), default=0)
+    lacking = {value: largest - size for value, size in sizes.items() if size < largest}
+    alone = [value for value in lacking if sizes[value] == 1]
+    if alone:
+        raise ValueError(f"class with a single row has no neighbour: {alone[0]!r}")
+    return lacking
 
 
 def _synthetic(
     rows: DataFrame, payload: str, label: str, id_col: str, k: int, seed: int, sparse: bool, blend: Callable[[Column, Column, Column], Column]
 ) -> DataFrame:
-    plan = allocation(rows, label)
-    short = broadcast_bounded(plan.filter(F.col("deficit") > 0), MAX_CLASSES, "classes")
+    order = HashOrder(rows, label, id_col, seed)
+    lacking = deficits(order.sizes)
     # The largest class needs no rows and takes no part in the neighbour search.
-    base = rows.join(short, label)
-    quotas = plan.filter(F.col("deficit") > 0).select(
-        label, F.lit(0).alias("cut"), (F.col("deficit") % F.col("size")).alias("n")
+    base = rows.filter(F.col(label).isin(list(lacking)))
+    each = small_table(
+        rows.sparkSession,
+        [{"_value": v, "_each": d // order.sizes[v]} for v, d in lacking.items()],
+        T.StructType([T.StructField("_value", rows.schema[label].dataType), T.StructField("_each", T.IntegerType())]),
     )
-    placed = cut_index(base, label, id_col, hash_cuts(base, label, id_col, quotas, seed), seed)
-    copies = (F.floor(F.col("deficit") / F.col("size")) + (F.col("cut_index") == 0).cast("int")).cast("int")
-    placed = placed.withColumn("_copies", copies).filter(F.col("_copies") > 0).drop("cut_index", "size", "deficit")
+    cuts = order.cuts({value: [d % order.sizes[value]] for value, d in lacking.items()})
+    placed = order.place(base, cuts, "_cut").join(F.broadcast(each), F.col(label) == F.col("_value"))
+    copies = F.col("_each") + (F.col("_cut") == 0).cast("int")
+    placed = placed.withColumn("_copies", copies).filter(F.col("_copies") > 0).drop("_cut", "_value", "_each")
 
     near = blocked_knn(base.select(label, id_col, payload), label, id_col, payload, k, sparse)
     targets = base.select(F.col(id_col).alias("nn_id"), F.col(payload).alias("_nn"))

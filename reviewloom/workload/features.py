@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reviewloom.operators import features as X
-from reviewloom.session import scratch_path
+from reviewloom.plans import training as T
+from reviewloom.plans.training import build_matrix
+from reviewloom.session import cut_lineage, scratch_path
 from reviewloom.sources import matrix
 from reviewloom.workload.base import STOP_WORDS, query, sql_list, view
-from reviewloom.workload.prepare import SPLIT_SQL, split_rows
+from reviewloom.workload.prepare import SPLIT_SQL
 
 R = ("reviews",)
 TOKENS = r"regexp_extract_all(lower(review), '[\p{L}\p{N}_]{2,}')"
@@ -27,19 +29,18 @@ best AS (SELECT term, chi2 FROM chi ORDER BY round(chi2, 9) DESC, term DESC LIMI
 TRAIN = f"WITH {SPLIT_SQL}, {COUNTS}, {IDF}, {WEIGHTS}"
 
 
-def train_rows(spark, d):
-    return split_rows(spark, d, "review").filter(F.col("split") == "train")
+def matrix_of(spark, d):
+    """The split reviews with their counts, idf and weights."""
+    return build_matrix(split_reviews(spark, d), "sentiment", "review_id", "review")
 
 
-def train_counts(docs):
-    return X.term_counts(docs, "review_id", "review", keep=["sentiment"])
+def split_reviews(spark, d):
+    return T.split_reviews(view(spark, d, "reviews").select("review_id", "username", "review", "sentiment"), "sentiment", "review_id", ["username", "review"])
 
 
-def train_matrix(spark, d):
-    """Training documents and their TF-IDF rows."""
-    docs = train_rows(spark, d)
-    counts = train_counts(docs)
-    return docs, X.tfidf_transform(counts, X.tfidf_fit(counts, docs), "review_id")
+def train_scores(spark, d):
+    docs, weights = matrix_of(spark, d).part("train")
+    return X.chi2_scores(weights, docs, "review_id", "sentiment")
 
 
 @query("tokenize", f"SELECT review_id, term, count(*) AS n FROM (SELECT review_id, unnest({TOKENS}) AS term FROM reviews) GROUP BY ALL", R)
@@ -50,7 +51,7 @@ def tokenize(spark, d):
 
 @query("term_counts", f"SELECT review_id, sentiment, term, count(*) AS n FROM (SELECT review_id, sentiment, unnest({TOKENS}) AS term FROM reviews) GROUP BY ALL", R)
 def term_counts(spark, d):
-    return train_counts(view(spark, d, "reviews"))
+    return X.term_counts(view(spark, d, "reviews"), "review_id", "review", keep=["sentiment"])
 
 
 @query("term_document_frequency", f"SELECT term, count(DISTINCT review_id) AS df FROM (SELECT review_id, unnest({TOKENS}) AS term FROM reviews) GROUP BY term", R)
@@ -65,8 +66,7 @@ def vocabulary(spark, d):
 
 @query("tfidf_fit", f"WITH {SPLIT_SQL}, {COUNTS}, {IDF} SELECT term, df, round(idf, 6) AS idf FROM idf", R)
 def tfidf_fit(spark, d):
-    docs = train_rows(spark, d)
-    return X.tfidf_fit(train_counts(docs), docs).withColumn("idf", F.round("idf", 6))
+    return matrix_of(spark, d).idf.withColumn("idf", F.round("idf", 6))
 
 
 # The test part, weighted with the vocabulary of the training part.
@@ -80,24 +80,18 @@ UNION ALL SELECT review_id, 'train', term, round(weight, 6) FROM tf"""
 
 @query("tfidf_transform", TEST_TF, R)
 def tfidf_transform(spark, d):
-    every = split_rows(spark, d, "review")
-    counts = X.term_counts(every, "review_id", "review", keep=["split"])
-    train = every.filter(F.col("split") == "train")
-    idf = X.tfidf_fit(counts.filter(F.col("split") == "train"), train)
-    weighted = X.tfidf_transform(counts, idf, "review_id")
-    return weighted.select("review_id", F.col("split").alias("part"), "term", F.round("weight", 6).alias("weight"))
+    weights = matrix_of(spark, d).weights
+    return weights.select("review_id", F.col("split").alias("part"), "term", F.round("weight", 6).alias("weight"))
 
 
 @query("chi2_scores", f"{TRAIN}, {CHI2} SELECT term, round(chi2, 6) AS chi2 FROM chi", R)
 def chi2_scores(spark, d):
-    docs, tf = train_matrix(spark, d)
-    return X.chi2_scores(tf.drop("sentiment"), docs, "review_id", "sentiment").withColumn("chi2", F.round("chi2", 6))
+    return train_scores(spark, d).withColumn("chi2", F.round("chi2", 6))
 
 
 @query("select_k_best", f"{TRAIN}, {CHI2} SELECT term, round(chi2, 6) AS chi2 FROM best", R)
 def select_k_best(spark, d):
-    docs, tf = train_matrix(spark, d)
-    scores = X.chi2_scores(tf.drop("sentiment"), docs, "review_id", "sentiment")
+    scores = train_scores(spark, d)
     return X.select_k_best(scores, 1000).withColumn("chi2", F.round("chi2", 6))
 
 
@@ -107,8 +101,7 @@ def select_k_best(spark, d):
     R,
 )
 def selection_shape_report(spark, d):
-    docs, tf = train_matrix(spark, d)
-    scores = X.chi2_scores(tf.drop("sentiment"), docs, "review_id", "sentiment")
+    scores = cut_lineage(train_scores(spark, d))
     return X.selection_shape_report(scores, X.select_k_best(scores, 1000))
 
 
@@ -124,7 +117,7 @@ def selection_shape_report(spark, d):
 )
 def top_keywords(spark, d):
     docs = view(spark, d, "reviews")
-    counts = X.term_counts(docs, "review_id", "review", keep=["product"])
+    counts = cut_lineage(X.term_counts(docs, "review_id", "review", keep=["product"]))
     return X.top_keywords(counts, X.tfidf_fit(counts, docs), "product").withColumn("weight", F.round("weight", 6))
 
 
@@ -153,8 +146,8 @@ def word_pair_frequencies(spark, d):
 
 def stored_matrix(spark, d):
     path = scratch_path(spark, "matrix")
-    docs, tf = train_matrix(spark, d)
-    matrix.write_sparse_matrix(tf.drop("sentiment"), docs.select("review_id", "sentiment"), path)
+    docs, weights = matrix_of(spark, d).part("train")
+    matrix.write_sparse_matrix(weights, docs.select("review_id", "sentiment"), path)
     return matrix.read_sparse_matrix(spark, path)
 
 
@@ -172,9 +165,9 @@ def read_sparse_matrix(spark, d):
 def to_sparse_vectors(spark, d):
     from pyspark.ml.functions import vector_to_array
 
-    docs, tf = train_matrix(spark, d)
-    best = X.select_k_best(X.chi2_scores(tf.drop("sentiment"), docs, "review_id", "sentiment"), 1000)
-    vectors = X.to_sparse_vectors(tf, X.vocabulary(best), 1000, "review_id")
+    docs, weights = matrix_of(spark, d).part("train")
+    best = cut_lineage(X.select_k_best(X.chi2_scores(weights, docs, "review_id", "sentiment"), 1000))
+    vectors = X.to_sparse_vectors(weights, X.vocabulary(best), 1000, "review_id")
     dense = vector_to_array("features")
     return vectors.select(
         "review_id",
