@@ -6,7 +6,7 @@ from importlib import import_module
 
 from reviewloom.workload.base import ORACLES, QUERIES
 
-MODULES = ("text", "prepare", "features", "scoring", "mining")
+MODULES = ("text", "prepare", "features", "scoring", "mining", "models")
 
 
 def _load() -> None:
