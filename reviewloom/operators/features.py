@@ -78,16 +78,13 @@ def chi2_scores(tf: DataFrame, labels: DataFrame, id_col: str, label: str) -> Da
 
     Observed o = weight per class, expected e = class share p times total weight t. Over all
     classes, those without the term included, sum((o - e)^2 / e) = sum(o^2 / p) / t - t, so absent
-    (term, class) pairs need no rows.
+    (term, class) pairs need no rows. ``tf`` may carry the label; then no join is needed.
     """
     counted = labels.filter(F.col(label).isNotNull())
     total = counted.agg(F.count(F.lit(1)).alias("n")).scalar()
     share = counted.groupBy(label).agg((F.count(F.lit(1)) / total).alias("share"))
-    observed = (
-        tf.join(counted.select(id_col, label), id_col)
-        .groupBy("term", label)
-        .agg(F.sum("weight").alias("observed"))
-    )
+    labelled = tf.filter(F.col(label).isNotNull()) if label in tf.columns else tf.join(counted.select(id_col, label), id_col)
+    observed = labelled.groupBy("term", label).agg(F.sum("weight").alias("observed"))
     per_term = (
         observed.join(share, label)
         .groupBy("term")

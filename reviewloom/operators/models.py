@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from threading import Lock
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
@@ -13,10 +14,12 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewloom.constants import GRID
-from reviewloom.operators.evaluate import classification_report, confusion_matrix
-from reviewloom.operators.features import chi2_scores, select_k_best, vector_from_entries, vocabulary
+from reviewloom.operators.bounded import few_rows, small_table
+from reviewloom.operators.encode import MAX_CLASSES
+from reviewloom.operators.features import chi2_scores, select_k_best, vector_from_entries
 from reviewloom.operators.smote import smote_sparse
 from reviewloom.session import cut_lineage
 
@@ -75,13 +78,18 @@ class MacroF1Evaluator(Evaluator):
         self.labelCol, self.predictionCol = labelCol, predictionCol
 
     def _evaluate(self, dataset: DataFrame) -> float:
-        coded = dataset.select(
-            F.col(self.labelCol).cast("int").cast("string").alias("a"),
-            F.col(self.predictionCol).cast("int").cast("string").alias("p"),
-        )
-        report = classification_report(confusion_matrix(coded, "a", "p"))
-        row = report.filter((F.col("label") == "macro avg") & (F.col("metric") == "f1")).first()
-        return float(row["value"]) if row else 0.0
+        pairs = dataset.groupBy(
+            F.col(self.labelCol).cast("int").alias("actual"), F.col(self.predictionCol).cast("int").alias("predicted")
+        ).agg(F.count(F.lit(1)).alias("n"))
+        # The confusion table has one row per pair of classes.
+        cells = few_rows(pairs, MAX_CLASSES, "pairs of classes")
+        classes = {c for r in cells for c in (r["actual"], r["predicted"])}
+        scores = []
+        for value in classes:
+            hit = sum(r["n"] for r in cells if r["actual"] == r["predicted"] == value)
+            seen = sum(r["n"] * ((r["actual"] == value) + (r["predicted"] == value)) for r in cells)
+            scores.append(2.0 * hit / seen if seen else 0.0)
+        return sum(scores) / len(scores) if scores else 0.0
 
     def isLargerBetter(self) -> bool:
         return True
@@ -117,21 +125,58 @@ class ResampleSelectClassifier(Estimator, _SelectParams):
         twin.classifier = self.classifier.copy(extra)
         return twin
 
-    def _fit(self, dataset: DataFrame) -> "ResampleSelectModel":
+    def _prepare(self, dataset: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+        """Resampled and selected training vectors, the selected terms, and their number."""
         k, id_col = self.getOrDefault(self.k), self.idCol
         rows = dataset.select(id_col, F.col("label_idx").cast("int").alias("label_idx"), "weights")
         if self.getOrDefault(self.resample):
             rows = smote_sparse(rows, "label_idx", id_col, "weights", self.getOrDefault(self.neighbors), self.getOrDefault(self.seed))
-            rows = rows.withColumnRenamed("row_id", id_col).drop("synthetic")
-        rows = cut_lineage(rows)
+            rows = cut_lineage(rows.withColumnRenamed("row_id", id_col).drop("synthetic"))
         long = rows.select(id_col, "label_idx", F.inline("weights"))
-        best = select_k_best(chi2_scores(long.drop("label_idx"), rows, id_col, "label_idx"), k)
-        index = cut_lineage(vocabulary(best))
-        size = index.count()
-        vectors = cut_lineage(vectorize(rows, index, size, id_col).select("label_idx", "features"))
-        trees = OneVsRest(classifier=self.classifier, featuresCol="features", labelCol="label_idx")
-        model = ResampleSelectModel(trees.fit(_with_label_metadata(vectors)), index, size, id_col)
-        return self._copyValues(model)
+        best = select_k_best(chi2_scores(long, rows, id_col, "label_idx"), k)
+        # At most k terms, a number the caller chose for the width of a vector.
+        terms = sorted(r["term"] for r in few_rows(best.select("term"), k, "selected terms"))
+        index = small_table(
+            dataset.sparkSession,
+            [{"term": t, "term_idx": i} for i, t in enumerate(terms)],
+            T.StructType([T.StructField("term", T.StringType()), T.StructField("term_idx", T.IntegerType())]),
+        )
+        vectors = cut_lineage(vectorize(rows, index, len(terms), id_col).select("label_idx", "features"))
+        return _with_label_metadata(vectors), index, len(terms)
+
+    def _train(self, classifier: GBTClassifier, prepared: tuple[DataFrame, DataFrame, int]) -> "ResampleSelectModel":
+        vectors, index, size = prepared
+        trees = OneVsRest(classifier=classifier, featuresCol="features", labelCol="label_idx")
+        return self._copyValues(ResampleSelectModel(trees.fit(vectors), index, size, self.idCol))
+
+    def _fit(self, dataset: DataFrame) -> "ResampleSelectModel":
+        return self._train(self.classifier, self._prepare(dataset))
+
+    def fitMultiple(self, dataset: DataFrame, paramMaps: Sequence[dict]) -> Iterator[tuple[int, "ResampleSelectModel"]]:
+        """Models for several parameter maps. Resampling and selection do not depend on the trees'
+        parameters, so a grid over these prepares each training fold once."""
+        if any(p.parent == self.uid for m in paramMaps for p in m):
+            return super().fitMultiple(dataset, paramMaps)
+        prepared = self._prepare(dataset)
+        return _Fits(lambda n: self._train(self.classifier.copy(paramMaps[n]), prepared), len(paramMaps))
+
+
+class _Fits:
+    """Iterator over fits that several threads may draw from."""
+
+    def __init__(self, fit: Callable[[int], "ResampleSelectModel"], total: int):
+        self.fit, self.total, self.next_number, self.lock = fit, total, 0, Lock()
+
+    def __iter__(self):
+        return self
+
+    def __next__(self):
+        with self.lock:
+            number = self.next_number
+            if number >= self.total:
+                raise StopIteration
+            self.next_number += 1
+        return number, self.fit(number)
 
 
 class ResampleSelectModel(Model, _SelectParams):
@@ -181,7 +226,7 @@ def train_baseline(rows: DataFrame, params: Mapping[str, float] | None = None, k
     """Boosted trees on TF-IDF without resampling.
 
     The ``k`` best terms become the vector: Spark's trees hold one bin per feature and row, so the
-    number of features has to be bounded. A k above the vocabulary keeps every term.
+    number of features has to be bounded. A k above the size of the vocabulary keeps every term.
     """
     stage = ResampleSelectClassifier(classifier=boosted_trees(params, seed), idCol=id_col, k=k, resample=False, seed=seed)
     return stage.fit(rows)
@@ -193,7 +238,7 @@ def grid_search(
     fold: str = "fold",
     folds: int = 3,
     estimator: ResampleSelectClassifier | None = None,
-    parallelism: int = 2,
+    parallelism: int = 4,
 ) -> CrossValidatorModel:
     """Cross-validated search by macro F1 over folds given in a column; refits the best on all rows."""
     stage = estimator or ResampleSelectClassifier(resample=False)

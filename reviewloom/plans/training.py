@@ -62,12 +62,14 @@ def entry_rows(docs: DataFrame, weights: DataFrame, id_col: str, out: str = "wei
     return docs.join(packed, id_col, "left").withColumn(out, F.coalesce(out, empty))
 
 
-def model_rows(matrix: Matrix, part: str) -> tuple[DataFrame, DataFrame]:
-    """Rows for the models ``(id, label_idx, weights)`` of a part, and the label map of the training part."""
+def model_rows(matrix: Matrix) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Training rows and test rows ``(id, label, label_idx, weights)``, written once, and the label map
+    of the training part. A label that only the test part has raises."""
     label_map = cut_lineage(fit_label_map(matrix.part("train")[0], matrix.label))
-    docs, weights = matrix.part(part)
-    coded = label_encode(docs.select(matrix.id_col, matrix.label), matrix.label, label_map)
-    return entry_rows(coded, weights, matrix.id_col), label_map
+    packed = cut_lineage(entry_rows(matrix.docs, matrix.weights.drop("split"), matrix.id_col))
+    coded = label_encode(packed, matrix.label, label_map)
+    train = coded.filter(F.col("split") == "train").drop("split")
+    return train, coded.filter(F.col("split") == "test").drop("split"), label_map
 
 
 def scenario_report(predicted: DataFrame, actual: str = "label_idx", guess: str = "prediction") -> DataFrame:

@@ -20,10 +20,7 @@ GRID = {"max_depth": [2, 3], "subsample": [0.8, 1.0], "n_estimators": [2], "lear
 
 def parts(spark, d):
     """Training and test rows, and the label map."""
-    matrix = matrix_of(spark, d)
-    train, label_map = T.model_rows(matrix, "train")
-    test, _ = T.model_rows(matrix, "test")
-    return cut_lineage(train), cut_lineage(test), label_map
+    return T.model_rows(matrix_of(spark, d))
 
 
 def shown(predicted, label_map):
