@@ -83,8 +83,8 @@ def token_array(col: Column | str, min_len: int = 2) -> Column:
 STEM_KEEP = "[^aiueo]*[aiueo][^aiueo]*[aiueo].*"
 STEM_PARTICLE = f"^({STEM_KEEP})(?:kah|lah|pun)$"
 STEM_POSSESSIVE = f"^({STEM_KEEP})(?:nya|ku|mu)$"
-STEM_PREFIX_S = f"^(?:meny|peny)([aiueo]{STEM_KEEP})$"
-STEM_PREFIX_P = f"^(?:mem|pem)([aiueo]{STEM_KEEP})$"
+STEM_PREFIX_S = "^(?:meny|peny)([aiueo][^aiueo]*[aiueo].*)$"
+STEM_PREFIX_P = "^(?:mem|pem)([aiueo][^aiueo]*[aiueo].*)$"
 STEM_PREFIX_PLAIN = f"^(?:meng|peng|men|pen|mem|pem|me|di|ter|ke)({STEM_KEEP})$"
 STEM_SUFFIX_KAN = f"^({STEM_KEEP})kan$"
 STEM_SUFFIX_AN = f"^({STEM_KEEP})an$"

@@ -40,7 +40,7 @@ def stream_ingest_reviews(
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = dedup(prepare(batch).withColumn(KEY, row_digest(keys)), [KEY], list(order))
         try:
-            stored = spark.read.parquet(target).filter(F.col(BATCH) < batch_id).select(KEY)
+            stored = spark.read.parquet(target).filter(F.col(BATCH) != batch_id).select(KEY)
             rows = rows.join(stored, KEY, "left_anti")
         except AnalysisException as error:
             if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):

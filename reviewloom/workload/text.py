@@ -34,8 +34,8 @@ def sql_stem(expr: str) -> str:
     one = f"list_transform(string_split({base}, ' '), lambda t: regexp_replace(regexp_replace(t, '^({keep})(?:kah|lah|pun)$', '\\1'), '^({keep})(?:nya|ku|mu)$', '\\1'))"
     two = (
         f"list_transform({one}, lambda w: struct_pack(w := w, b := CASE "
-        f"WHEN regexp_matches(w, '^(?:meny|peny)([aiueo]{keep})$') THEN regexp_replace(w, '^(?:meny|peny)([aiueo]{keep})$', 's\\1') "
-        f"WHEN regexp_matches(w, '^(?:mem|pem)([aiueo]{keep})$') THEN regexp_replace(w, '^(?:mem|pem)([aiueo]{keep})$', 'p\\1') "
+        f"WHEN regexp_matches(w, '^(?:meny|peny)([aiueo][^aiueo]*[aiueo].*)$') THEN regexp_replace(w, '^(?:meny|peny)([aiueo][^aiueo]*[aiueo].*)$', 's\\1') "
+        f"WHEN regexp_matches(w, '^(?:mem|pem)([aiueo][^aiueo]*[aiueo].*)$') THEN regexp_replace(w, '^(?:mem|pem)([aiueo][^aiueo]*[aiueo].*)$', 'p\\1') "
         f"ELSE regexp_replace(w, '^(?:meng|peng|men|pen|mem|pem|me|di|ter|ke)({keep})$', '\\1') END))"
     )
     three = (

@@ -118,8 +118,9 @@ def test_dedup_nulls_order_and_idempotence(spark):
 
 
 def test_dedup_drops_copies_before_the_exchange(spark):
-    text = plan(dedup.dedup(spark.range(10).select("id", F.lit("k").alias("k")), ["k"], ["id"]))
-    assert text.count("WindowGroupLimit") == 2
+    text = plan(dedup.dedup(spark.range(10).select("id", (F.col("id") % 3).alias("k")), ["k"], ["id"]))
+    limit = text.index("row_number(), 1, Partial")
+    assert limit > text.index("Exchange hashpartitioning")  # plans list the input last
 
 
 def test_merge_keeps_old_rows(spark):
@@ -197,7 +198,7 @@ def test_top_terms_limit_before_exchange(spark):
     df = spark.createDataFrame([("g", "aa bb aa")], "y string, t string")
     out = features.word_frequencies(df, "y", "t", n=1)
     assert [(r.term, r.n) for r in out.collect()] == [("aa", 2)]
-    assert plan(out).count("WindowGroupLimit") == 2
+    assert "row_number(), 1, Partial" in plan(out)
     pairs = features.word_frequencies(df, "y", "t", ngram=2).collect()
     assert {(r.term, r.n) for r in pairs} == {("aa bb", 1), ("bb aa", 1)}
 
@@ -258,7 +259,7 @@ def test_aspect_forms_agree_and_match_substrings(spark):
     inline = aspects.aspect_tag(df, "t", impl="inline").orderBy("id").collect()
     machine = aspects.aspect_tag(df, "t", impl="automaton").orderBy("id").collect()
     assert [r.keywords for r in inline] == [r.keywords for r in machine]
-    assert inline[0].keywords == ["cas", "panas", "panas saat cas", "ram"]
+    assert inline[0].keywords == ["cas", "mah", "panas", "panas saat cas", "ram"]
     assert inline[0].aspects == ["performa", "baterai"]
     word = aspects.aspect_tag(df, "t", mode="word").orderBy("id").first()
     assert "ram" not in word.keywords
