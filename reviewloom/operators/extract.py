@@ -20,6 +20,7 @@ from reviewloom.constants import (
     RATING_WORD,
     URL_IGNORE,
 )
+from reviewloom.functions.arrays import unfold
 from reviewloom.functions.html import (
     compact_text,
     contains_any,
@@ -40,7 +41,7 @@ CARD = 'data-testid="reviewCard"'
 def extract_links(pages: DataFrame, html: str = "html", keep: Sequence[str] = ("page_id",)) -> DataFrame:
     """One row per ``<a href>`` on a page."""
     hrefs = F.regexp_extract_all(F.col(html), F.lit(r"""(?i)<a\b[^>]*\bhref=["']([^"']*)["']"""), F.lit(1))
-    return pages.select(*keep, F.explode(hrefs).alias("href")).withColumn("href", decode_entities(F.col("href")))
+    return unfold(pages, keep, hrefs, "href").withColumn("href", decode_entities(F.col("href")))
 
 
 def filter_product_urls(
@@ -158,7 +159,7 @@ def select_review_containers(
         strategy = F.when(F.size(found) > 0, F.lit(name)).otherwise(strategy)
         chosen = F.when(F.size(found) > 0, found).otherwise(chosen)
     picked = base.select(*keep, strategy.alias("strategy"), chosen.alias("_chosen"))
-    return picked.select(*keep, "strategy", F.posexplode("_chosen").alias("container_no", "container"))
+    return unfold(picked, [*keep, "strategy"], F.col("_chosen"), "container", "container_no")
 
 
 # --- fields of one container ------------------------------------------------------------------

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reviewloom.functions.arrays import unfold
 from reviewloom.functions.text import token_array
 from reviewloom.operators.ranking import bucketed_row_number
 from reviewloom.operators.skew import join_by_weight
@@ -20,7 +21,7 @@ TIE_DIGITS = 9  # scores are compared after rounding, so that summation order ca
 
 def tokenize(df: DataFrame, id_col: str, text: str, min_len: int = 2, keep: Sequence[str] = ()) -> DataFrame:
     """One row per token occurrence."""
-    return df.select(id_col, *keep, F.explode(token_array(text, min_len)).alias("term"))
+    return unfold(df, [id_col, *keep], token_array(text, min_len), "term")
 
 
 def term_counts(df: DataFrame, id_col: str, text: str, min_len: int = 2, keep: Sequence[str] = ()) -> DataFrame:
@@ -149,9 +150,9 @@ def word_frequencies(
         base = df.select(by, tokens.alias("_tokens"))
         starts = F.when(F.size("_tokens") >= ngram, F.sequence(F.lit(1), F.size("_tokens") - ngram + 1))
         grams = F.transform(starts, lambda i: F.array_join(F.slice("_tokens", i, ngram), " "))
-        terms = base.select(by, F.explode(grams).alias("term"))
+        terms = unfold(base, [by], grams, "term")
     else:
-        terms = df.select(by, F.explode(tokens).alias("term"))
+        terms = unfold(df, [by], tokens, "term")
     counts = terms.filter(F.col(by).isNotNull()).groupBy(by, "term").agg(F.count(F.lit(1)).alias("n"))
     return _top_per_group(counts, by, [F.desc("n"), F.col("term")], n)
 

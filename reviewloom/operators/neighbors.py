@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from reviewloom.operators.bounded import broadcast_bounded
 from reviewloom.operators.encode import MAX_CLASSES
 from reviewloom.operators.skew import join_by_weight
+from reviewloom.session import cut_lineage
 
 DENSE_BLOCK = 2048
 SPARSE_BLOCK = 512
@@ -153,9 +154,10 @@ def blocked_knn(
     distinct = lowest.groupBy("grp", "vkey").agg(
         F.sort_array(F.collect_list("id")).alias("ids"), F.any_value("vec").alias("vec")
     )
-    distinct = distinct.withColumn("rep", F.get("ids", F.lit(0)))
+    # Read three times below, so it is written once; likewise the result of the search.
+    distinct = cut_lineage(distinct.withColumn("rep", F.get("ids", F.lit(0))).join(copies, ["grp", "vkey"]))
 
-    sizes = copies.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    sizes = distinct.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
     placed = (
         distinct.select("grp", F.col("rep").alias("id"), "vec")
         .join(broadcast_bounded(sizes, MAX_CLASSES, "classes"), "grp")
@@ -180,11 +182,8 @@ def blocked_knn(
         .groupBy("grp", "rep")
         .agg(F.sort_array(F.collect_list(F.struct("dist", "nn_id"))).alias("near"))
     )
-    per_vector = (
-        distinct.select("grp", "vkey", "rep")
-        .join(copies, ["grp", "vkey"])
-        .join(lists, ["grp", "rep"])
-        .select("grp", "vkey", "copies", "near")
+    per_vector = cut_lineage(
+        distinct.select("grp", "vkey", "rep", "copies").join(lists, ["grp", "rep"]).select("grp", "vkey", "copies", "near")
     )
     members = join_by_weight(rows.select("grp", "vkey", "id"), per_vector, ["grp", "vkey"], "copies")
     # F.filter with the row's own id: itself is not its neighbour.

@@ -16,6 +16,8 @@ def join_by_weight(big: DataFrame, small: DataFrame, keys: Sequence[str], weight
     Keys that hold at least 1/``limit`` of the total weight number at most ``limit``, whatever the
     data: this part of ``small`` is broadcast. Every other key is too light to skew a task, and the
     rest joins by shuffle. A key that holds a third of all rows thus never meets in one task.
+
+    ``small`` is read several times: write it first (``cut_lineage``) when it is costly to compute.
     """
     keys = list(keys)
     threshold = small.agg((F.sum(weight) / limit).alias("t")).scalar()

@@ -118,7 +118,7 @@ def selection_shape_report(spark, d):
 def top_keywords(spark, d):
     docs = view(spark, d, "reviews")
     counts = cut_lineage(X.term_counts(docs, "review_id", "review", keep=["product"]))
-    return X.top_keywords(counts, X.tfidf_fit(counts, docs), "product").withColumn("weight", F.round("weight", 6))
+    return X.top_keywords(counts, cut_lineage(X.tfidf_fit(counts, docs)), "product").withColumn("weight", F.round("weight", 6))
 
 
 def words_sql(source: str) -> str:
