@@ -11,6 +11,7 @@ from reviewloom.constants import ASPECT_KEYWORDS, POSITIVE
 from reviewloom.operators.aspects import Lexicon, aspect_tag, product_results, product_sums
 from reviewloom.operators.ranking import bucketed_row_number
 from reviewloom.operators.store import metric_rows
+from reviewloom.session import cut_lineage
 
 ORDER_CHUNK = 65_536
 
@@ -86,7 +87,8 @@ def recommend(
     candidates has reviews has no rows.
     """
     results = score_products(reviews, ["request_id", "url"], text, sentiment, lexicon, prepared)
-    detail = candidates.join(results, ["request_id", "url"])
+    # Ranking reads the results several times; written once, the reviews are read once.
+    detail = cut_lineage(candidates.join(results, ["request_id", "url"]))
     ranked = rank_products(detail, "request_id", "candidate_order")
     best = winners(ranked, "request_id", "name")
     return ranked.join(best, "request_id")
