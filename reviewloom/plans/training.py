@@ -36,10 +36,7 @@ class Matrix:
 def split_reviews(
     reviews: DataFrame, label: str, id_col: str, keys: list[str], test: float = 0.2, seed: int = 42
 ) -> DataFrame:
-    """De-duplicated reviews, tagged train or test, written once.
-
-    Ids decide the split, so only ids, labels and keys take part in it; the text is joined by nobody.
-    """
+    """De-duplicated reviews, written once, and tagged train or test by a map-side comparison."""
     unique = cut_lineage(dedup.dedup(reviews, keys, [id_col]))
     return sampling.stratified_split(unique, label, id_col, test, seed)
 

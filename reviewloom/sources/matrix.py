@@ -6,7 +6,6 @@ import os
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 FEATURES, LABELS = "features.parquet", "labels.parquet"
 
@@ -23,7 +22,3 @@ def read_sparse_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
         return tuple(spark.read.parquet(os.path.join(path, name)) for name in (FEATURES, LABELS))
     except AnalysisException as error:
         raise FileNotFoundError(f"no complete matrix under {path}") from error
-
-
-def row_count(df: DataFrame, out: str) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias(out))

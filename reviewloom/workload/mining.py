@@ -11,7 +11,7 @@ from reviewloom.operators import store as S
 from reviewloom.session import scratch_path
 from reviewloom.sources import csv, tables
 from reviewloom.streaming.ingest import BATCH, KEY, stream_ingest_reviews
-from reviewloom.workload.base import MARKERS, VIEWS, query, sql_list, table, view
+from reviewloom.workload.base import MARKERS, VIEWS, query, table, view
 from reviewloom.workload.text import SQL_BRAND, SQL_NAME, sql_clean, sql_strip
 
 # Review pages built from the documents: every document becomes a card, five cards make a page. Names,
