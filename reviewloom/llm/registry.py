@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("language_id", "exact_dedup", "simhash", "decontaminate")
+MODULES = ("language_id", "exact_dedup", "simhash", "decontaminate", "sharding")
 
 
 def queries():
