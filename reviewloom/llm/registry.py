@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("language_id", "exact_dedup", "simhash", "decontaminate", "sharding")
+import corpus_pipeline
+
+MODULES = ("language_id", "exact_dedup", "simhash", "decontaminate", "sharding", "mixing")
 
 
 def queries():
-    found = {}
+    found = {"pipeline": corpus_pipeline.run}
     for name in MODULES:
         found.update(import_module(f"reviewloom.llm.{name}").QUERIES)
     return found
 
 
 def oracles():
-    found = {}
+    found = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
     for name in MODULES:
         found.update(getattr(import_module(f"reviewloom.llm.{name}"), "ORACLES", {}))
     return found

@@ -228,15 +228,18 @@ def find_links(prints: DataFrame, distance: int = 3) -> DataFrame:
     return dealt.repartition(parts, *group).sortWithinPartitions(*group, "fp").mapInPandas(link_groups(distance), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, distance: int = 3, keep=()) -> DataFrame:
-    """doc_id, fp, component_id for every row, and the columns or expressions ``keep``."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, distance: int = 3, keep=(), roots: bool = False) -> DataFrame:
+    """doc_id, fp, component_id for every row, and the columns or expressions ``keep``.
+
+    With ``roots`` also root, the component's smallest fingerprint, which is known without ids too.
+    """
     rows = cut_lineage(docs.select(F.col(doc_id).alias("doc_id"), fingerprint_column(text_or_empty(text), words).alias("fp"), *keep))
     prints = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("weight")))
-    roots = components(find_links(prints, distance))
-    reps = prints.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+    linked_to = components(find_links(prints, distance))
+    reps = prints.join(linked_to, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     reps = cut_lineage(reps.select("fp", "first_id", "weight", "root"))
     firsts = reps.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    placed = cut_lineage(reps.join(firsts, "root").select("fp", "weight", "component_id"))
+    placed = cut_lineage(reps.join(firsts, "root").select("fp", "weight", "component_id", *["root"] * roots))
     return join_by_weight(rows, placed, ["fp"], "weight")
 
 
