@@ -7,8 +7,8 @@ on one diagonal (same distance between the two places) belong to one occurrence;
 value of the document. So a question with other numbers, names or units is caught, and one whose numbers
 are mixed up is not. ``exact`` says that all slots have the item's own values.
 
-The benchmark's windows are broadcast after counting them (at most 2^20), else joined by shuffle. A document
-is read in one row; only windows that match leave it, so frequent passages are combined where they are found.
+The benchmark's windows are broadcast after counting them (at most 2^20), else joined by shuffle. Only
+windows that match leave the row of their document, and frequent passages are combined where they are found.
 
 Defined results: null and empty texts match nothing; an item of fewer than ``LEAST`` template words identifies
 nothing and is never matched; one of fewer than ``WINDOW`` words is one window of its own length. Repeated
@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewloom.functions.arrays import unfold
 from reviewloom.llm.common import documents, small_enough, text_or_empty
 from reviewloom.session import cut_lineage
 
@@ -56,49 +57,61 @@ def template(text: Column) -> Column:
 
 
 def windows(rows: DataFrame, keep: list[str], size: int) -> DataFrame:
-    """One row per window of ``size`` words of the arrays ``_t`` (template) and ``_w`` (words): its place and
-    hash. Arrays stay in the row; the columns of a window are views of them."""
+    """One row per window of ``size`` words of the array ``_t``: its place and hash. No array is kept."""
     count = F.size("_t") - (size - 1)
-    shifted = [F.slice("_t", 1 + k, F.greatest(count, F.lit(0))) for k in range(size)]
-    zipped = F.arrays_zip(*[s.alias(f"w{k}") for k, s in enumerate(shifted)])
-    opened = rows.select(*keep, "_w", F.posexplode(F.when(count > 0, zipped)).alias("_at", "_g"))
-    return opened.select(*keep, "_w", "_at", F.xxhash64(F.lit(size), *[F.col(f"_g.w{k}") for k in range(size)]).alias("_hash"))
+    zipped = F.arrays_zip(*[F.slice("_t", 1 + k, F.greatest(count, F.lit(0))).alias(f"w{k}") for k in range(size)])
+    opened = unfold(rows, keep, F.when(count > 0, zipped), "_g", "_at")
+    return opened.select(*keep, "_at", F.xxhash64(F.lit(size), *[F.col(f"_g.w{k}") for k in range(size)]).alias("_hash"))
 
 
-def arrays(rows: DataFrame, key: str, text: str) -> DataFrame:
-    lined = rows.select(F.col(key).alias("_key"), text_or_empty(text).alias("_x"))
-    return lined.select("_key", F.split(template(F.col("_x")), " ").alias("_t"), words(F.col("_x")).alias("_w"))
+def templates(rows: DataFrame, key: str, text: str) -> DataFrame:
+    return rows.select(F.col(key).alias("_key"), F.split(template(text_or_empty(text)), " ").alias("_t"))
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, item_id, coverage, slots, exact: the best occurrence of each item in each document."""
-    items = arrays(benchmark, item_id, text).withColumn("_n", F.size("_t")).filter(F.col("_n") >= LEAST)
-    items = cut_lineage(items.withColumn("_size", F.least("_n", F.lit(window))).withColumnsRenamed({"_key": "item_id", "_w": "_iw"}))
+    items = benchmark.select(F.col(item_id).alias("item_id"), F.split(template(text_or_empty(text)), " ").alias("_t"), words(text_or_empty(text)).alias("_iw"))
+    items = items.withColumn("_n", F.size("_t")).filter(F.col("_n") >= LEAST).withColumn("_size", F.least("_n", F.lit(window)))
+    items = cut_lineage(items)
     sizes = [r["_size"] for r in items.select("_size").distinct().collect()]  # at most ``window`` values
-    parts = arrays(docs, doc_id, text)
+    parts = templates(docs, doc_id, text)
     hits = None
     for size in sizes:
-        own = windows(items.filter(F.col("_size") == size).withColumn("_w", F.col("_iw")), ["item_id", "_t", "_n"], size)
-        own = own.select("item_id", F.col("_at").alias("_item_at"), "_hash", (F.col("_n") - size + 1).alias("_windows"), F.slice("_t", F.col("_at") + 1, size).alias("_it"), F.slice("_w", F.col("_at") + 1, size).alias("_iw"))
-        found = windows(parts, ["_key"], size).join(small_enough(cut_lineage(own)), "_hash")
-        theirs = F.slice("_w", F.col("_at") + 1, size)
-        slot = F.arrays_zip(F.col("_it").alias("t"), F.col("_iw").alias("i"), theirs.alias("d"))
-        slots = F.transform(F.filter(slot, lambda s: s["t"].startswith("<")), lambda s: F.struct(s["i"].alias("i"), s["d"].alias("d")))
-        part = found.select(F.col("_key").alias("doc_id"), "item_id", (F.col("_at") - F.col("_item_at")).alias("_diagonal"), "_item_at", "_windows", slots.alias("_slots"))
+        own = windows(items.filter(F.col("_size") == size), ["item_id", "_n"], size)
+        own = cut_lineage(own.select("item_id", F.col("_at").alias("_item_at"), "_hash", (F.col("_n") - size + 1).alias("_windows")))
+        found = windows(parts, ["_key"], size).join(small_enough(own), "_hash")
+        part = found.select(F.col("_key").alias("doc_id"), "item_id", (F.col("_at") - F.col("_item_at")).alias("_diagonal"), "_item_at", "_windows")
         hits = part if hits is None else hits.unionByName(part)
     if hits is None:
         return docs.select(F.col(doc_id).alias("doc_id"), F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("coverage"), F.lit(0).alias("slots"), F.lit(True).alias("exact")).limit(0)
     places = ["doc_id", "item_id", "_diagonal"]
-    # The places of an item bound both sets, however often a document repeats the passage.
-    seen = hits.groupBy(*places).agg(F.countDistinct("_item_at").alias("_seen"), F.max("_windows").alias("_windows"))
-    seen = seen.filter(F.col("_seen") >= F.col("_windows") * coverage)
-    values = hits.select(*places, F.explode("_slots").alias("s")).groupBy(*places).agg(F.countDistinct("s.i").alias("_values"), F.countDistinct("s").alias("slots"), F.min((F.col("s.i") == F.col("s.d")).cast("int")).alias("_same"))
-    both = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in places]
-    judged = seen.alias("l").join(values.alias("r"), both[0] & both[1] & both[2], "left")
-    judged = judged.select("l.doc_id", "l.item_id", (F.col("_seen") / F.col("_windows")).alias("coverage"), F.coalesce("slots", F.lit(0)).alias("slots"), (F.coalesce("_same", F.lit(1)) == 1).alias("exact"), F.coalesce("_values", F.lit(0)).alias("_values"))
-    good = judged.filter(F.col("_values") == F.col("slots"))
+    # The places of an item bound the set, however often a document repeats the passage.
+    seen = hits.groupBy(*places).agg(F.collect_set("_item_at").alias("_places"), F.max("_windows").alias("_windows"))
+    seen = cut_lineage(seen.filter(F.size("_places") >= F.col("_windows") * coverage))
+    judged = slot_values(seen, docs, items, doc_id, text)
     best = F.max(F.struct("exact", "coverage", "slots"))
-    return good.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.coverage", F.col("b.slots").cast("int").alias("slots"), "b.exact")
+    return judged.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.coverage", "b.slots", "b.exact")
+
+
+def slot_values(seen: DataFrame, docs: DataFrame, items: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, item_id, coverage, slots, exact of the occurrences ``seen`` whose slots are consistent.
+
+    Only occurrences of items with slots read their documents once more.
+    """
+    placed = seen.join(small_enough(items.select("item_id", "_t", "_iw", "_size")), "item_id")
+    covered = F.flatten(F.transform("_places", lambda p: F.sequence(p, p + F.col("_size") - 1)))
+    slots = F.filter(F.array_distinct(covered), lambda p: F.element_at("_t", p + 1).startswith("<"))
+    placed = placed.select("doc_id", "item_id", "_diagonal", (F.size("_places") / F.col("_windows")).alias("coverage"), slots.alias("_slots"), "_iw")
+    plain = placed.filter(F.size("_slots") == 0).select("doc_id", "item_id", "coverage", F.lit(0).alias("slots"), F.lit(True).alias("exact"))
+    slotted = cut_lineage(placed.filter(F.size("_slots") > 0))
+    wanted = small_enough(cut_lineage(slotted.select(F.col("doc_id").alias("_id")).distinct()))
+    read = docs.join(wanted, F.col(doc_id).eqNullSafe(F.col("_id")), "left_semi").select(F.col(doc_id).alias("_id"), words(text_or_empty(text)).alias("_w")).distinct()
+    pairs = F.transform("_slots", lambda p: F.struct(F.element_at("_iw", p + 1).alias("i"), F.try_element_at("_w", p + F.col("_diagonal") + 1).alias("d")))
+    known = slotted.join(read, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_pairs", F.array_distinct(pairs))
+    values = F.size(F.array_distinct(F.transform("_pairs", lambda p: p["i"])))
+    known = known.filter(values == F.size("_pairs"))
+    known = known.select("doc_id", "item_id", "coverage", F.size("_pairs").alias("slots"), F.forall("_pairs", lambda p: p["i"].eqNullSafe(p["d"])).alias("exact"))
+    return plain.unionByName(known)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
