@@ -206,7 +206,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", max_rows: i
     """
     usable = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text is not null and lang is not null")
     drawn = sample_rows(usable, "text", "lang", max_rows)
-    found = drawn.select("lang", "text").mapInPandas(count_grams, "lang string, buckets array<smallint>, counts array<float>").toPandas()
+    found = drawn.select("lang", "text").mapInPandas(count_grams, "lang string, buckets array<smallint>, counts array<float>").toArrow().to_pandas()
     found = found.assign(key=[(a, tuple(b)) for a, b in zip(found["lang"], found["buckets"])]).sort_values("key").reset_index(drop=True)
     languages = tuple(sorted(set(found["lang"])))
     rows = list(zip(found["buckets"], found["counts"]))

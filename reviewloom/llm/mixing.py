@@ -133,7 +133,7 @@ def plan_mix(rows: DataFrame, shards: int = SHARDS, total: float = TOTAL, weight
     known = small_table(rows.sparkSession, [{"_s": s, "_source": i, "source_size": size[s], "target": aim[i]} for i, s in enumerate(names)], schema)
     blocks = min(BLOCKS, BLOCK_LIMIT // max(1, len(names)))
     numbered = Mix(known, known, known, blocks).numbered(rows)
-    found = numbered.groupBy("_source", "_block").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).toPandas()
+    found = numbered.groupBy("_source", "_block").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).toArrow().to_pandas()
     found = found.sort_values(["_source", "_block"]).reset_index(drop=True)
 
     plans, pools, quotas = [], [], np.zeros(max(1, len(names)), dtype=np.int64)

@@ -38,6 +38,7 @@ SEED = 42
 CHUNK = 16_384
 SAMPLE = 4096  # fingerprints on which the costs of parts and thresholds are estimated
 KEY_COST = 20  # a key is shuffled and sorted, a candidate is compared: their cost ratio
+MASK_COST = 10_000  # every mask is an expression of the plan
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -124,14 +125,14 @@ def allocate(costs: list[list[float]], distance: int) -> tuple[float, tuple[int,
 
 def plan(sample: np.ndarray, rows: int, distance: int) -> list[tuple[tuple[int, ...], int]]:
     """(bits, threshold) of each probed part, of the cheapest number of parts."""
-    found = []
+    found, rows = [], max(rows, 2)
     for count in range(1, min(distance + 1, 8) + 1):
         costs, parts = [], parts_of_bits(sample, count)
         for part in parts:
             most = min(distance, 3, len(part) - 1)
             shares = near_shares(sample, part, most)
             keys = [float(np.prod([(len(part) - i) / (i + 1) for i in range(t)])) for t in range(most + 1)]
-            costs.append([rows * k * KEY_COST + rows * rows / 2 * s for k, s in zip(keys, shares)])
+            costs.append([MASK_COST * k + rows * k * KEY_COST + rows * rows / 2 * s for k, s in zip(keys, shares)])
         if sum(len(c) for c in costs) >= distance + 1:
             cost, chosen = allocate(costs, distance)
             found.append((cost, [(p, t) for p, t in zip(parts, chosen) if t >= 0]))
@@ -214,7 +215,7 @@ def find_links(prints: DataFrame, distance: int = 3) -> DataFrame:
     """Links (a, b) that connect the distinct fingerprints ``prints.fp`` as all links do. ``prints`` is written."""
     total = prints.count()
     drawn = prints.filter(F.pmod(F.xxhash64("fp"), F.lit(max(1, total))) < 2 * SAMPLE).limit(SAMPLE)
-    sample = drawn.toPandas()["fp"].to_numpy(dtype=np.int64).view(np.uint64)
+    sample = drawn.toArrow().to_pandas()["fp"].to_numpy(dtype=np.int64).view(np.uint64)
     probes = plan(sample, total, distance)
     keys = prints.select("fp", F.explode(keys_column(probes)).alias("k")).select("fp", "k.probe", "k.key")
     # At most keys / CHUNK rows; each stands for more than CHUNK fingerprints.
