@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +13,6 @@ from reviewloom.operators.bounded import bounded
 
 Lexicon = Mapping[str, Sequence[str]]
 MAX_LEXICON = 100_000  # keywords; the lexicon is configuration, and its size is checked on load
-INLINE_KEYWORDS = 500  # up to here every keyword is a literal in the generated code
 
 
 def lexicon_from_table(lexicon: DataFrame) -> dict[str, list[str]]:
@@ -27,33 +24,15 @@ def lexicon_from_table(lexicon: DataFrame) -> dict[str, list[str]]:
     return found
 
 
-def aspect_keyword_match(keyword: str, lowered: Column, prepared: Column, mode: str = "substring") -> Column:
+def aspect_keyword_match(keyword: str | Column, lowered: Column, prepared: Column, mode: str = "substring") -> Column:
     """Is the keyword in the lower-cased raw text or in the prepared text? Substrings count: "ram"
     matches "ramah". ``mode='word'`` asks for whole words instead."""
+    word = F.lit(keyword) if isinstance(keyword, str) else keyword
+    inside = lowered.contains(word) | prepared.contains(word)
     if mode == "substring":
-        return lowered.contains(keyword) | prepared.contains(keyword)
-    quoted = r"(?<![\p{L}\p{N}_])" + re.escape(keyword) + r"(?![\p{L}\p{N}_])"
-    return F.rlike(lowered, F.lit(quoted)) | F.rlike(prepared, F.lit(quoted))
-
-
-def _automaton_hits(words: list[str]):
-    """Arrow-batched tagging for large lexicons: one pass per text, whatever the number of keywords."""
-
-    @F.pandas_udf("array<string>")
-    def hits(lowered: pd.Series, prepared: pd.Series) -> pd.Series:
-        import ahocorasick
-
-        machine = ahocorasick.Automaton()
-        for word in words:
-            machine.add_word(word, word)
-        machine.make_automaton()
-
-        def scan(pair):
-            return sorted({w for text in pair if text for _, w in machine.iter(text)})
-
-        return pd.Series([scan(p) for p in zip(lowered, prepared)])
-
-    return hits
+        return inside
+    quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), word, F.lit(r"\E(?![\p{L}\p{N}_])"))
+    return F.when(inside, F.rlike(lowered, quoted) | F.rlike(prepared, quoted)).otherwise(False)
 
 
 def aspect_tag(
@@ -62,29 +41,22 @@ def aspect_tag(
     lexicon: Lexicon = ASPECT_KEYWORDS,
     prepared: str | None = None,
     mode: str = "substring",
-    impl: str = "auto",
 ) -> DataFrame:
     """Add ``keywords`` (sorted distinct matches) and ``aspects`` (matched aspects, lexicon order).
 
-    Narrow: no join, no shuffle. The lexicon is compiled into the expression (``impl='inline'``) or,
-    when it is large, into a keyword automaton run over Arrow batches (``impl='automaton'``).
+    Narrow: no join, no shuffle. The keywords are one literal array, filtered in the row, whatever
+    their number.
     """
     words = sorted({w for group in lexicon.values() for w in group})
-    if impl == "auto":
-        impl = "inline" if len(words) <= INLINE_KEYWORDS or mode != "substring" else "automaton"
     lowered, ready = F.col("_lowered"), F.col("_prepared")
     base = df.withColumn("_lowered", F.lower(F.coalesce(F.col(text), F.lit(""))))
     base = base.withColumn("_prepared", F.coalesce(F.col(prepared), F.lit("")) if prepared else F.lit(""))
-    if impl == "automaton":
-        if mode != "substring":
-            raise ValueError("the automaton finds substrings only")
-        tagged = base.withColumn("keywords", _automaton_hits(words)(lowered, ready))
-    else:
-        found = [F.when(aspect_keyword_match(w, lowered, ready, mode), F.lit(w)) for w in words]
-        tagged = base.withColumn("keywords", F.array_compact(F.array(*found)))
+    found = F.filter(F.lit(words) if words else F.array().cast("array<string>"), lambda w: aspect_keyword_match(w, lowered, ready, mode))
+    tagged = base.withColumn("keywords", found)
     aspects = [
-        F.when(F.arrays_overlap("keywords", F.array(*[F.lit(w) for w in group])), F.lit(aspect))
+        F.when(F.arrays_overlap("keywords", F.lit(list(group))), F.lit(aspect))
         for aspect, group in lexicon.items()
+        if group
     ]
     return tagged.withColumn("aspects", F.array_compact(F.array(*aspects))).drop("_lowered", "_prepared")
 

@@ -13,9 +13,11 @@ from pyspark.sql import types as T
 
 from reviewloom.functions.arrays import unfold
 from reviewloom.functions.text import token_array
-from reviewloom.operators.ranking import bucketed_row_number
+from reviewloom.operators.bounded import broadcast_bounded
 from reviewloom.operators.skew import join_by_weight
+from reviewloom.session import cut_lineage
 
+MAX_CLASSES = 10_000
 TIE_DIGITS = 9  # scores are compared after rounding, so that summation order cannot reorder ties
 
 
@@ -41,10 +43,20 @@ def term_document_frequency(counts: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, out: str = "term_idx") -> DataFrame:
-    """Distinct terms with their 0-based alphabetical index, ranked bucket by bucket."""
-    terms = counts.select("term").distinct()
-    prefixes: list[Column] = [F.substring("term", 1, length) for length in (2, 4)]
-    return bucketed_row_number(terms, [], prefixes, [F.col("term")], out, start=0)
+    """Distinct terms with their 0-based alphabetical index.
+
+    The terms are dealt to ranges of equal size, sorted there and written; an index is the place in the
+    range plus the sizes of the ranges before it, a table of one row per range.
+    """
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    terms = counts.select("term").distinct().repartitionByRange(parts, "term").sortWithinPartitions("term")
+    # The upper bits of this id are the range, the lower 33 the place in it.
+    placed = cut_lineage(terms.withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    before = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    offsets = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(before, F.lit(0)).alias("_offset"))
+    numbered = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")  # a row per range
+    return numbered.select("term", (F.col("_offset") + place).cast("long").alias(out))
 
 
 def tfidf_fit(counts: DataFrame, docs: DataFrame) -> DataFrame:
@@ -79,7 +91,8 @@ def chi2_scores(tf: DataFrame, labels: DataFrame, id_col: str, label: str) -> Da
 
     Observed o = weight per class, expected e = class share p times total weight t. Over all
     classes, those without the term included, sum((o - e)^2 / e) = sum(o^2 / p) / t - t, so absent
-    (term, class) pairs need no rows. ``tf`` may carry the label; then no join is needed.
+    (term, class) pairs need no rows. ``tf`` may carry the label; then no join is needed. A term whose
+    weights sum to 0 has a null score and is selected last.
     """
     counted = labels.filter(F.col(label).isNotNull())
     total = counted.agg(F.count(F.lit(1)).alias("n")).scalar()
@@ -87,14 +100,14 @@ def chi2_scores(tf: DataFrame, labels: DataFrame, id_col: str, label: str) -> Da
     labelled = tf.filter(F.col(label).isNotNull()) if label in tf.columns else tf.join(counted.select(id_col, label), id_col)
     observed = labelled.groupBy("term", label).agg(F.sum("weight").alias("observed"))
     per_term = (
-        observed.join(share, label)
+        observed.join(broadcast_bounded(share, MAX_CLASSES, "classes"), label)
         .groupBy("term")
         .agg(
             F.sum("observed").alias("t"),
             F.sum(F.col("observed") * F.col("observed") / F.col("share")).alias("s"),
         )
     )
-    return per_term.select("term", (F.col("s") / F.col("t") - F.col("t")).alias("chi2"))
+    return per_term.select("term", (F.try_divide("s", "t") - F.col("t")).alias("chi2"))
 
 
 def select_k_best(scores: DataFrame, k: int | None) -> DataFrame:
@@ -160,11 +173,11 @@ def word_frequencies(
 def to_sparse_vectors(tf: DataFrame, index: DataFrame, size: int, id_col: str, out: str = "features") -> DataFrame:
     """One ML sparse vector per document, built without leaving the JVM.
 
-    ``index`` is ``(term, term_idx)`` for at most ``size`` selected terms. The vector is parsed from
+    ``index`` is ``(term, term_idx)`` for at most ``size`` selected terms, which is checked. The vector is parsed from
     its struct form, which is how Spark itself stores it.
     """
     entries = (
-        tf.join(F.broadcast(index), "term")
+        tf.join(broadcast_bounded(index.select("term", "term_idx"), size, "selected terms"), "term")
         .groupBy(id_col)
         .agg(F.sort_array(F.collect_list(F.struct(F.col("term_idx").cast("int").alias("i"), F.col("weight").alias("w")))).alias("_e"))
     )

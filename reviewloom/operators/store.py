@@ -11,8 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.functions.text import clean_product_name, derive_brand
+from reviewloom.operators.bounded import broadcast_bounded
 from reviewloom.operators.dedup import dedup
 
+MAX_MODELS = 100_000
+
 
 def stable_id(col: str):
     return F.md5(F.col(col))
@@ -63,8 +66,10 @@ def lookup_user_by_email(requests: DataFrame, users: DataFrame, email: str = "us
 
 
 def lookup_model_by_name(requests: DataFrame, models: DataFrame, name: str = "model_name") -> DataFrame:
-    """Requests whose model is registered; the others are dropped."""
-    return requests.join(models.select(name), name, "left_semi")
+    """Requests whose model is registered; the others are dropped. Few names hold all requests, so
+    the registry is broadcast and they are not shuffled."""
+    registered = broadcast_bounded(models.select(name).distinct(), MAX_MODELS, "registered models")
+    return requests.join(registered, name, "left_semi")
 
 
 def drop_empty_candidates(candidates: DataFrame, reviews: DataFrame, keys: Sequence[str]) -> DataFrame:

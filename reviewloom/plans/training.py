@@ -21,9 +21,9 @@ class Matrix:
     """TF-IDF rows of the training and the test part, fitted on the training part only."""
 
     docs: DataFrame  # (id, label, split)
-    counts: DataFrame  # (id, split, term, n)
+    counts: DataFrame  # (id, split, label, term, n)
     idf: DataFrame  # (term, df, idf)
-    weights: DataFrame  # (id, split, term, weight)
+    weights: DataFrame  # (id, split, label, term, weight); the label saves chi-square a join
     id_col: str
     label: str
 
@@ -44,7 +44,7 @@ def split_reviews(
 def build_matrix(split: DataFrame, label: str, id_col: str, text: str) -> Matrix:
     """Tokenise once, fit on train, transform both parts."""
     docs = split.select(id_col, label, "split")
-    counts = cut_lineage(features.term_counts(split, id_col, text, keep=["split"]))
+    counts = cut_lineage(features.term_counts(split, id_col, text, keep=["split", label]))
     train = counts.filter(F.col("split") == "train")
     idf = cut_lineage(features.tfidf_fit(train, docs.filter(F.col("split") == "train")))
     weights = features.tfidf_transform(counts, idf, id_col)

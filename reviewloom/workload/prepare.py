@@ -9,6 +9,7 @@ from reviewloom.operators import merge as M
 from reviewloom.operators import profile as P
 from reviewloom.operators import sampling as S
 from reviewloom.operators.smote import smote, smote_report
+from reviewloom.session import cut_lineage
 from reviewloom.workload.base import query, table, view
 from reviewloom.workload.text import sql_clean
 from reviewloom.functions.text import clean_text
@@ -199,7 +200,8 @@ def split_rows(spark, d, *cols):
     """The de-duplicated reviews, tagged train or test."""
     rows = reviews(spark, d)
     uniq = D.dedup(rows.select("review_id", "username", "review", "sentiment"), ["username", "review"], ["review_id"])
-    return S.stratified_split(uniq.select("review_id", "sentiment", *cols), "sentiment", "review_id")
+    uniq = cut_lineage(uniq.select("review_id", "sentiment", *cols))  # read for counts, for cuts and for placing
+    return S.stratified_split(uniq, "sentiment", "review_id")
 
 
 @query("stratified_split", f"WITH {SPLIT_SQL} SELECT review_id, sentiment, split FROM split", R)

@@ -66,9 +66,13 @@ def aspect_tag(spark, d):
     )
 
 
+# Hundreds of more keywords, none of which occurs.
+LARGE_LEXICON = LEXICON | {"garansi": [*LEXICON["garansi"], *(f"kata{i}tak" for i in range(400))]}
+
+
 @query("aspect_tag_large_lexicon", f"WITH {TAGS} SELECT review_id, array_to_string({HITS}, ',') AS keywords, {ASPECT_JOIN} AS aspects FROM reviews r", R)
 def aspect_tag_large_lexicon(spark, d):
-    rows = A.aspect_tag(reviews(spark, d), "review", LEXICON, impl="automaton")
+    rows = A.aspect_tag(reviews(spark, d), "review", LARGE_LEXICON)
     return rows.select(
         "review_id", F.array_join("keywords", ",").alias("keywords"), F.array_join("aspects", ",").alias("aspects")
     )
