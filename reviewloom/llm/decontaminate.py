@@ -12,7 +12,7 @@ windows that match leave the row of their document, and frequent passages are co
 
 Defined results: null and empty texts match nothing; an item of fewer than ``LEAST`` template words identifies
 nothing and is never matched; one of fewer than ``WINDOW`` words is one window of its own length. Repeated
-rows are judged alike and give their (id, item) once. Extra columns are not read.
+rows are judged alike and give their (id, item) once; ids of either may be null. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -71,20 +71,20 @@ def templates(rows: DataFrame, key: str, text: str) -> DataFrame:
 def occurrences(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, item_id, coverage, slots, exact: the best occurrence of each item in each document."""
     items = benchmark.select(F.col(item_id).alias("item_id"), F.split(template(text_or_empty(text)), " ").alias("_t"), words(text_or_empty(text)).alias("_iw"))
-    items = items.withColumn("_n", F.size("_t")).filter(F.col("_n") >= LEAST).withColumn("_size", F.least("_n", F.lit(window)))
+    items = items.distinct().withColumn("_item", F.xxhash64("item_id", "_iw")).withColumn("_n", F.size("_t")).filter(F.col("_n") >= LEAST).withColumn("_size", F.least("_n", F.lit(window)))
     items = cut_lineage(items)
     sizes = [r["_size"] for r in items.select("_size").distinct().collect()]  # at most ``window`` values
     parts = templates(docs, doc_id, text)
     hits = None
     for size in sizes:
-        own = windows(items.filter(F.col("_size") == size), ["item_id", "_n"], size)
-        own = cut_lineage(own.select("item_id", F.col("_at").alias("_item_at"), "_hash", (F.col("_n") - size + 1).alias("_windows")))
+        own = windows(items.filter(F.col("_size") == size), ["item_id", "_item", "_n"], size)
+        own = cut_lineage(own.select("item_id", "_item", F.col("_at").alias("_item_at"), "_hash", (F.col("_n") - size + 1).alias("_windows")))
         found = windows(parts, ["_key"], size).join(small_enough(own), "_hash")
-        part = found.select(F.col("_key").alias("doc_id"), "item_id", (F.col("_at") - F.col("_item_at")).alias("_diagonal"), "_item_at", "_windows")
+        part = found.select(F.col("_key").alias("doc_id"), "item_id", "_item", (F.col("_at") - F.col("_item_at")).alias("_diagonal"), "_item_at", "_windows")
         hits = part if hits is None else hits.unionByName(part)
     if hits is None:
         return docs.select(F.col(doc_id).alias("doc_id"), F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("coverage"), F.lit(0).alias("slots"), F.lit(True).alias("exact")).limit(0)
-    places = ["doc_id", "item_id", "_diagonal"]
+    places = ["doc_id", "item_id", "_item", "_diagonal"]
     # The places of an item bound the set, however often a document repeats the passage.
     seen = hits.groupBy(*places).agg(F.collect_set("_item_at").alias("_places"), F.max("_windows").alias("_windows"))
     seen = cut_lineage(seen.filter(F.size("_places") >= F.col("_windows") * coverage))
@@ -98,7 +98,7 @@ def slot_values(seen: DataFrame, docs: DataFrame, items: DataFrame, doc_id: str,
 
     Only occurrences of items with slots read their documents once more.
     """
-    placed = seen.join(small_enough(items.select("item_id", "_t", "_iw", "_size")), "item_id")
+    placed = seen.join(small_enough(items.select("_item", "_t", "_iw", "_size")), "_item")
     covered = F.flatten(F.transform("_places", lambda p: F.sequence(p, p + F.col("_size") - 1)))
     slots = F.filter(F.array_distinct(covered), lambda p: F.element_at("_t", p + 1).startswith("<"))
     placed = placed.select("doc_id", "item_id", "_diagonal", (F.size("_places") / F.col("_windows")).alias("coverage"), slots.alias("_slots"), "_iw")
