@@ -42,18 +42,32 @@ MASK_COST = 10_000  # every mask is an expression of the plan
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """Unsigned fingerprint of a whole text. Python splits bytes exactly at [\\x20\\x09-\\x0D]+."""
+def shingle_hashes(text: str | None, words: int = 3) -> np.ndarray:
+    """XXH64 of every shingle of a whole text. Python splits bytes exactly at [\\x20\\x09-\\x0D]+."""
     parts = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-    if not parts:
-        return 0
     line = b" ".join(parts)
     if len(parts) <= words:
-        return xxhash.xxh64_intdigest(line, SEED)
+        return np.array([xxhash.xxh64_intdigest(line, SEED)] if parts else [], dtype=np.uint64)
     ends = list(accumulate(len(p) + 1 for p in parts))
     starts = [0, *ends]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(line[a : b - 1], SEED) for a, b in zip(starts, ends[words - 1 :])), dtype=np.uint64)
+    return np.fromiter((digest(line[a : b - 1], SEED) for a, b in zip(starts, ends[words - 1 :])), dtype=np.uint64)
+
+
+def rehashed(hashes: np.ndarray, number: int) -> np.ndarray:
+    """The hashes themselves for number 0, else another family of hashes made from them."""
+    if not number:
+        return hashes
+    z = hashes + np.uint64(number * 0x9E3779B97F4A7C15 % (1 << 64))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half of the hashes."""
+    if not len(hashes):
+        return 0
     count, total = np.zeros(BITS, dtype=np.int64), len(hashes)
     for at in range(0, total, 1 << 16):
         block = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -61,12 +75,21 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits((2 * count > total).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
-def fingerprint_column(text: str | Column, words: int = 3) -> Column:
-    """The fingerprint as a signed 64-bit integer of the same bits."""
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """Unsigned fingerprint of a whole text."""
+    return majority(shingle_hashes(text, words))
+
+
+def fingerprint_column(text: str | Column, words: int = 3, count: int = 1) -> Column:
+    """``count`` independent fingerprints as signed 64-bit integers of the same bits."""
 
-    @F.pandas_udf("long")
+    @F.pandas_udf("array<long>")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).astype(np.int64))
+        found = []
+        for t in texts:
+            hashes = shingle_hashes(t, words)
+            found.append(np.array([majority(rehashed(hashes, k)) for k in range(count)], dtype=np.uint64).astype(np.int64))
+        return pd.Series(found)
 
     return of(text)
 
@@ -229,14 +252,36 @@ def find_links(prints: DataFrame, distance: int = 3) -> DataFrame:
     return dealt.repartition(parts, *group).sortWithinPartitions(*group, "fp").mapInPandas(link_groups(distance), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, distance: int = 3, keep=(), roots: bool = False) -> DataFrame:
+def all_links(prints: DataFrame, count: int, distance: int) -> DataFrame:
+    """Links (a, b) between ``prints.fp`` that connect them as any of their ``count`` fingerprints ``fps`` do.
+
+    Per fingerprint, those that share its value hang on one of them, and the distinct values are linked.
+    """
+    links = None
+    for k in range(count):
+        own = prints.select("fp", F.col("fps")[k].alias("value"))
+        values = cut_lineage(own.groupBy("value").agg(F.min("fp").alias("lead")))
+        equal = own.join(values, "value").filter("fp <> lead").select(F.col("fp").alias("a"), F.col("lead").alias("b"))
+        near = find_links(values.select(F.col("value").alias("fp")), distance)
+        for side in ("a", "b"):
+            near = near.join(values.select(F.col("value").alias(side), F.col("lead").alias(f"_{side}")), side).drop(side).withColumnRenamed(f"_{side}", side)
+        part = equal.union(near.select("a", "b"))
+        links = part if links is None else links.union(part)
+    return links
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, distance: int = 3, count: int = 1, keep=(), roots: bool = False) -> DataFrame:
     """doc_id, fp, component_id for every row, and the columns or expressions ``keep``.
 
-    With ``roots`` also root, the component's smallest fingerprint, which is known without ids too.
+    With a ``count`` above 1 each text has so many independent fingerprints, texts link if any of them do,
+    which finds more of the near copies that differ by some words, and ``fp`` is a hash of them all. With
+    ``roots`` also root, the smallest ``fp`` of the component, which is known without ids too.
     """
-    rows = cut_lineage(docs.select(F.col(doc_id).alias("doc_id"), fingerprint_column(text_or_empty(text), words).alias("fp"), *keep))
-    prints = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("weight")))
-    linked_to = components(find_links(prints, distance))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), fingerprint_column(text_or_empty(text), words, count).alias("fps"), *keep)
+    rows = cut_lineage(rows.withColumn("fp", F.col("fps")[0] if count == 1 else F.xxhash64("fps")))
+    prints = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("weight"), F.first("fps").alias("fps")))
+    rows = rows.drop("fps")
+    linked_to = components(find_links(prints, distance) if count == 1 else all_links(prints, count, distance))
     reps = prints.join(linked_to, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     reps = cut_lineage(reps.select("fp", "first_id", "weight", "root"))
     firsts = reps.groupBy("root").agg(F.min("first_id").alias("component_id"))
