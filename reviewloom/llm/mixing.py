@@ -42,7 +42,6 @@ BLOCK_LIMIT = 1 << 20
 MAX_SOURCES = 1 << 16
 POOL = 1000
 SEED = 11
-SHARD_FILES = 8  # files that a shard is written to
 WORD = r"[^\x20\x09-\x0D]+"
 
 
