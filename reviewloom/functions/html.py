@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 from reviewloom.functions.text import strip
 
 NOISE = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
+NAMES = "\u0002".join(f"{name}\u0001{text}" for name, text in html5.items())  # one literal, read as a map once
 TAG = r"(?s)<[^>]*>"
+# What may follow "&": old names need no semicolon, unless they could be the name of a URL's parameter.
+REFERENCE = r"^(?:#[xX]?[0-9A-Fa-f]+;|[A-Za-z][A-Za-z0-9]*(?:;|(?![A-Za-z0-9=])))"
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once. Inside lambdas Spark shares no subexpressions."""
@@ -26,15 +30,16 @@ def drop_noise(html: Column) -> Column:
 
 def _reference(piece: Column) -> Column:
     """Decode the reference that a piece of text after "&" starts with, if it is one."""
-    names = F.create_map(*[F.lit(x) for name, code in name2codepoint.items() for x in (name, chr(code))])
-    hexa = F.regexp_extract(piece, r"^#[xX]([0-9A-Fa-f]{1,6});", 1)
-    deci = F.regexp_extract(piece, r"^#([0-9]{1,7});", 1)
+    # The public HTML 5 names, with their semicolon where they need one.
+    names = F.str_to_map(F.lit(NAMES), F.lit("\u0002"), F.lit("\u0001"))
+    hexa = F.regexp_extract(piece, r"^#[xX]0*([0-9A-Fa-f]{1,6});", 1)
+    deci = F.regexp_extract(piece, r"^#0*([0-9]{1,7});", 1)
     code = F.when(hexa != "", F.conv(hexa, 16, 10)).when(deci != "", deci).otherwise("").try_cast("int")
     valid = let(code, lambda c: F.when(c.between(1, 0x10FFFF) & ~c.between(0xD800, 0xDFFF), c))
     numeric = F.decode(F.unhex(F.lpad(F.hex(valid), 8, "0")), "UTF-32")
-    named = F.try_element_at(names, F.substring_index(piece, ";", 1))
+    named = F.try_element_at(names, F.regexp_extract(piece, r"^[A-Za-z0-9]+;?", 0))
     char = F.when(piece.startswith("#"), numeric).otherwise(named)
-    rest = F.regexp_replace(piece, r"^#?[A-Za-z0-9]+;", "")
+    rest = F.regexp_replace(piece, r"^#?[A-Za-z0-9]+;?", "")
     return let(char, lambda c: F.when(c.isNull(), F.concat(F.lit("&"), piece)).otherwise(F.concat(c, rest)))
 
 
@@ -46,7 +51,7 @@ def decode_entities(text: Column) -> Column:
 
     def one(piece: Column) -> Column:
         plain = F.concat(F.lit("&"), piece)
-        return F.when(F.rlike(piece, F.lit(r"^#?[A-Za-z0-9]+;")), _reference(piece)).otherwise(plain)
+        return F.when(F.rlike(piece, F.lit(REFERENCE)), _reference(piece)).otherwise(plain)
 
     def whole(pieces: Column) -> Column:
         later = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), one)

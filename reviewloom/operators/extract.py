@@ -269,17 +269,20 @@ def stop_after_empty_pages(
     page_no: str,
     keys: Sequence[str],
     max_empty: int = 2,
-    max_pages: int = 100,
+    max_pages: int | None = 100,
 ) -> DataFrame:
-    """Rows that a crawl would have kept: first sightings on pages before the first run of
-    ``max_empty`` pages without a new review, and within ``max_pages``.
+    """Rows that a crawl would have kept, whole: first sightings on pages before the first run of
+    ``max_empty`` pages without a new review, and within ``max_pages`` (None: no limit). Of several rows
+    of one page with the same keys the smallest stays.
 
-    A page without reviews is a row whose keys are all null. The ordered window holds at most
-    ``max_pages`` rows per product, because the per-page counts are aggregated first.
+    A page without reviews is a row whose keys are all null. The ordered window holds one
+    row per page of a product, because the per-page counts are aggregated first.
     """
-    inside = rows.filter(F.col(page_no) <= max_pages)
+    inside = rows if max_pages is None else rows.filter(F.col(page_no) <= max_pages)
     real = F.coalesce(*[F.col(k).cast("string") for k in keys]).isNotNull()
-    first = inside.filter(real).groupBy(product, *keys).agg(F.min(page_no).alias(page_no))
+    others = [c for c in rows.columns if c not in (product, page_no, *keys)]
+    first = inside.filter(real).groupBy(product, *keys).agg(F.min(F.struct(page_no, *others)).alias("_row"))
+    first = first.select(product, *keys, "_row.*")
     fresh = first.groupBy(product, page_no).agg(F.count(F.lit(1)).alias("_new"))
     pages = inside.select(product, page_no).distinct().join(fresh, [product, page_no], "left")
     order = W.partitionBy(product).orderBy(page_no)
@@ -292,4 +295,4 @@ def stop_after_empty_pages(
     stop = F.when((F.col("_seen") == max_empty) & (F.col("_got") == 0), F.col(page_no))
     stops = pages.withColumn("_stop", F.min(stop).over(order.rowsBetween(W.unboundedPreceding, 0)))
     open_pages = stops.filter(F.col("_stop").isNull()).select(product, page_no)
-    return first.join(open_pages, [product, page_no], "left_semi").select(product, page_no, *keys)
+    return first.join(open_pages, [product, page_no], "left_semi").select(*rows.columns)

@@ -50,7 +50,8 @@ def upsert_products(existing: DataFrame, candidates: DataFrame, order: Sequence[
 
 def replace_reviews(existing: DataFrame, batch: DataFrame, key: str = "product_id") -> DataFrame:
     """Stored reviews, with all rows of the batch's products replaced by the batch."""
-    kept = existing.join(batch.select(key).distinct(), key, "left_anti")
+    gone = batch.select(F.col(key).alias("_gone")).distinct()
+    kept = existing.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
     return kept.unionByName(batch)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reviewloom.operators.store import replace_reviews
 
 BUCKET = "bucket"
+COUNT = "_buckets"  # beside the data: readers pass over names that start with an underscore
 
 
 def with_bucket(df: DataFrame, key: str, buckets: int) -> DataFrame:
@@ -15,18 +16,30 @@ def with_bucket(df: DataFrame, key: str, buckets: int) -> DataFrame:
 
 
 def write_review_table(df: DataFrame, path: str, key: str = "product_id", buckets: int = 64) -> None:
-    """Create a review table partitioned by product bucket."""
+    """Create a review table partitioned by product bucket. Their number is stored with the table."""
     with_bucket(df, key, buckets).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
+    df.sparkSession.range(1).select(F.lit(buckets).alias("n")).write.mode("overwrite").parquet(f"{path}/{COUNT}")
+
+
+def stored_buckets(spark: SparkSession, path: str) -> int:
+    return spark.read.parquet(f"{path}/{COUNT}").first()["n"]
 
 
 def replace_reviews_in_table(
-    spark: SparkSession, path: str, batch: DataFrame, key: str = "product_id", buckets: int = 64
+    spark: SparkSession, path: str, batch: DataFrame, key: str = "product_id", buckets: int | None = None
 ) -> None:
-    """Replace all stored rows of the batch's products.
+    """Replace all stored rows of the batch's products, those of a null product too.
+
+    The table's own number of buckets is used; another one that is asked for raises.
 
     Only the buckets that hold those products are read and rewritten; the others stay as they are.
-    The new files replace the old ones when the job commits, so a lost executor leaves the table whole.
+    The new files replace the old ones when the job commits, so a lost executor leaves the table whole;
+    a driver lost during that commit can leave buckets half replaced, and the same call mends them.
     """
+    own = stored_buckets(spark, path)
+    if buckets not in (None, own):
+        raise ValueError(f"the table has {own} buckets, not {buckets}")
+    buckets = own
     stored = spark.read.parquet(path)
     incoming = with_bucket(batch, key, buckets).select(*stored.columns)
     # At most ``buckets`` numbers reach the driver: they become a partition filter.

@@ -161,7 +161,7 @@ def read_sparse_matrix(spark, d):
     return stored_matrix(spark, d)[0].withColumn("weight", F.round("weight", 6)).select("review_id", "term", "weight")
 
 
-@query("to_sparse_vectors")
+@query("to_sparse_vectors", f"{TRAIN}, {CHI2} SELECT review_id, CAST(count(*) AS INTEGER) AS non_zero, round(sum(weight), 6) AS weight_sum FROM tf JOIN best USING (term) GROUP BY review_id", R)
 def to_sparse_vectors(spark, d):
     from pyspark.ml.functions import vector_to_array
 

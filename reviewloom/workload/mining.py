@@ -275,7 +275,8 @@ FROM documents"""
     ("crawl",),
 )
 def stop_after_empty_pages(spark, d):
-    return X.stop_after_empty_pages(view(spark, d, "crawl"), "product", "page_no", ["username", "review"])
+    kept = X.stop_after_empty_pages(view(spark, d, "crawl"), "product", "page_no", ["username", "review"])
+    return kept.select("product", "page_no", "username", "review")
 
 
 # --- stored tables ----------------------------------------------------------------------------

@@ -121,3 +121,18 @@ def test_pagination_rule(spark, rows):
 def test_filter_by_rating(spark):
     df = spark.createDataFrame([("1",), ("5",)], "Rating string")
     assert X.filter_by_rating(df, [1]).count() == 1 and X.filter_by_rating(df, ["ALL"]).count() == 2
+
+
+def test_html_5_references(spark):
+    texts = ["it&apos;s", "&lbrack;x&rbrack;", "a&nbsp b", "&#00000065;", "&#x0000041;", "?a=1&copy=2", "&unknown; &", "&amp;lt;"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(H.decode_entities(F.col("t"))).collect()]
+    assert got == ["it's", "[x]", "a  b", "A", "A", "?a=1&copy=2", "&unknown; &", "&lt;"]
+
+
+def test_pagination_keeps_whole_rows(spark):
+    rows = [("p", 1, "u", "r", 5), ("p", 1, "u", "r", 4), ("p", 2, "u", "r", 3), ("p", 3, "u", "s", 1), ("p", 200, "v", "t", 2)]
+    df = spark.createDataFrame(rows, "product string, page_no int, username string, review string, rating int")
+    got = X.stop_after_empty_pages(df, "product", "page_no", ["username", "review"], max_pages=None)
+    assert got.columns == df.columns
+    assert sorted(tuple(r) for r in got.collect()) == [("p", 1, "u", "r", 4), ("p", 3, "u", "s", 1), ("p", 200, "v", "t", 2)]

@@ -105,3 +105,13 @@ def test_transform_never_resamples_and_models_reload(spark, tmp_path):
 
 def test_grid_has_the_reference_size():
     assert len(M.param_grid(M.boosted_trees())) == 72
+
+
+def test_bucket_count_is_the_tables_own(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.write_review_table(spark.createDataFrame([("a", 1), (None, 2), ("b", 3)], "product_id string, id bigint"), path, buckets=8)
+    batch = spark.createDataFrame([(None, 9), ("a", 10)], "product_id string, id bigint")
+    with pytest.raises(ValueError, match="8 buckets"):
+        tables.replace_reviews_in_table(spark, path, batch, buckets=16)
+    tables.replace_reviews_in_table(spark, path, batch)
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [3, 9, 10]
