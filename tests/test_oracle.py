@@ -8,7 +8,9 @@ import pytest
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 import check  # noqa: E402
-from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
+from __spark_entry__ import entry  # noqa: E402
+from reviewloom.workload import oracles as oracle_sql  # noqa: E402
+from reviewloom.workload import queries  # noqa: E402
 
 EXACT = sorted(oracle_sql())
 SLOW = {"grid_search", "best_params"}
