@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.llm.common import documents, text_or_empty
 from reviewloom.operators.bounded import few_rows
+from reviewloom.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "A-Za-z0-9._%+-"
@@ -56,6 +57,7 @@ CONTEXT = {
 AGAINST = r"(?:version|isbn|order|invoice|page|item|serial|token|sku|ref|section|chapter|no)\W*$"
 BEFORE = 40  # characters before a candidate that the context labeler reads
 LABELERS = ("regex", "gazetteer", "context")
+VOTES, FEATURES = ("v0", "v1", "v2"), ("f0", "f1")
 THRESHOLD = 0.5
 RUN = 256
 SPANS = "array<struct<start:int,end:int,value:string>>"
@@ -155,16 +157,17 @@ class SpanModel:
     weights: dict[str, tuple[float, ...]]
     reliability: dict[str, dict[str, float]]
 
-    def accepted(self, kind: str, value: Column, cast: list[Column]) -> Column:
-        if kind not in self.weights:
-            return F.lit(False)
-        w = self.weights[kind]
-        inputs = [F.lit(1.0), *(f.cast("double") / 10 for f in features(value)), *((f.cast("double") / 10) * (f.cast("double") / 10) for f in features(value))]
-        inputs += [c for v in cast for c in ((v == 1).cast("double"), (v == -1).cast("double"))]
-        total = F.lit(0.0)
-        for weight, x in zip(w, inputs):
-            total = total + F.lit(float(weight)) * x
-        return total >= math.log(THRESHOLD / (1 - THRESHOLD))
+    def accepted(self, s: Column) -> Column:
+        """Whether the classifier takes the candidate ``s``, a struct of ``candidates``."""
+        found = F.lit(False)
+        squares = [s[f] * s[f] / 100 for f in FEATURES]
+        inputs = [F.lit(1.0), *(s[f] / 10 for f in FEATURES), *squares, *((s[v] == y).cast("double") for v in VOTES for y in (1, -1))]
+        for kind, w in self.weights.items():
+            total = F.lit(0.0)
+            for weight, x in zip(w, inputs):
+                total = total + F.lit(float(weight)) * x
+            found = F.when(s["order"] == KINDS.index(kind), total >= math.log(THRESHOLD / (1 - THRESHOLD))).otherwise(found)
+        return found
 
 
 def expectation_maximisation(counts: dict[tuple[int, ...], int]) -> tuple[dict[tuple[int, ...], float], list[dict[int, float]], float]:
@@ -239,20 +242,31 @@ def before(text: Column, span: Column) -> Column:
     return F.substr(text, start + 1, span["start"] - start)
 
 
-def learn(found: DataFrame) -> SpanModel:
-    """EM and the span classifier over all candidates of ``found`` (``with_spans``)."""
+def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, per kind ``base_<kind>`` (start, end), and ``loose``: (start, order, end, votes, features) of the
+    looser candidates beside them. Written, so the texts are searched once."""
     taken = F.concat(*[F.col(f"base_{k}") for k in KINDS])
-    cells = None
-    for k in KINDS:
-        one = found.select("_x", taken.alias("_taken"), F.explode(f"loose_{k}").alias("s")).filter(free(F.col("s"), F.col("_taken")))
-        cast = votes(k, F.col("s.value"), before(F.col("_x"), F.col("s")))
-        part = one.select(F.lit(k).alias("kind"), *[v.alias(f"v{i}") for i, v in enumerate(cast)], *[f.alias(f"f{i}") for i, f in enumerate(features(F.col("s.value")))])
-        cells = part if cells is None else cells.unionByName(part)
-    names = ["kind", "v0", "v1", "v2", "f0", "f1"]
+
+    def judged(order: int, kind: str):
+        def of(s):
+            cast = [v.alias(n) for v, n in zip(votes(kind, s["value"], before(F.col("_x"), s)), VOTES)]
+            return F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), *cast, *[f.alias(n) for f, n in zip(features(s["value"]), FEATURES)])
+
+        return F.transform(F.filter(f"loose_{kind}", lambda s: free(s, taken)), of)
+
+    loose = F.concat(*[judged(i, k) for i, k in enumerate(KINDS)])
+    base = [F.transform(f"base_{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(f"base_{k}") for k in KINDS]
+    return cut_lineage(with_spans(docs, doc_id, text).select("doc_id", *base, loose.alias("loose")))
+
+
+def learn(found: DataFrame) -> SpanModel:
+    """EM and the span classifier over all looser ``candidates``."""
+    names = ["order", *VOTES, *FEATURES]
+    cells = found.select(F.explode("loose").alias("s")).select(*[F.col(f"s.{n}") for n in names])
     rows = few_rows(cells.groupBy(*names).count(), len(KINDS) * 27 * 20 * 10, "vote cells")  # cannot be more
     weights, reliability = {}, {}
-    for k in KINDS:
-        own = sorted(((r["v0"], r["v1"], r["v2"]), (r["f0"], r["f1"]), r["count"]) for r in rows if r["kind"] == k)
+    for order, k in enumerate(KINDS):
+        own = sorted((tuple(r[v] for v in VOTES), tuple(r[f] for f in FEATURES), r["count"]) for r in rows if r["order"] == order)
         if not own:
             continue
         counts: dict[tuple[int, ...], int] = {}
@@ -264,25 +278,27 @@ def learn(found: DataFrame) -> SpanModel:
     return SpanModel(weights, reliability)
 
 
-def find(docs: DataFrame, model: SpanModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, base_<kind> arrays and ``spans``: array of (start, order, end, kind, value), base and accepted."""
-    found = with_spans(docs, doc_id, text)
-    taken = F.concat(*[F.col(f"base_{k}") for k in KINDS])
+def find(found: DataFrame, model: SpanModel) -> DataFrame:
+    """doc_id, base_<kind> arrays and ``spans`` of ``candidates``: (start, order, end, kind, base), base spans and
+    those that the classifier takes. Of overlapping looser spans the first stays."""
+
+    def placed(s, kind: Column, order: Column, base: bool):
+        return F.struct(s["start"].alias("start"), order.alias("order"), s["end"].alias("end"), kind.alias("kind"), F.lit(base).alias("base"))
 
-    def kept(k):
-        def good(s):
-            return free(s, taken) & model.accepted(k, s["value"], votes(k, s["value"], before(F.col("_x"), s)))
+    def base_of(order: int, kind: str):
+        return F.transform(f"base_{kind}", lambda s: placed(s, F.lit(kind), F.lit(order), True))
 
-        return F.filter(f"loose_{k}", good)
+    names = F.array(*[F.lit(k) for k in KINDS])
+    taken = F.transform(F.filter("loose", model.accepted), lambda s: placed(s, F.get(names, s["order"]), s["order"], False))
+    every = F.sort_array(F.concat(*[base_of(i, k) for i, k in enumerate(KINDS)], taken))
+    rows = found.select("doc_id", *[f"base_{k}" for k in KINDS], every.alias("_all"))
+    rows = rows.withColumn("_extra", F.filter("_all", lambda s: ~s["base"]))
 
-    def placed(array, order, base):
-        return F.transform(array, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(KINDS[order]).alias("kind"), F.lit(base).alias("base")))
+    def first(s):
+        earlier = F.filter("_extra", lambda t: ((t["start"] < s["start"]) | ((t["start"] == s["start"]) & (t["order"] < s["order"]))) & (s["start"] < t["end"]))
+        return s["base"] | (F.size(earlier) == 0)
 
-    every = [placed(F.col(f"base_{k}"), i, True) for i, k in enumerate(KINDS)] + [placed(kept(k), i, False) for i, k in enumerate(KINDS)]
-    rows = found.select("doc_id", *[f"base_{k}" for k in KINDS], F.sort_array(F.concat(*every)).alias("_all"))
-    # Of overlapping looser spans the first stays.
-    extra = F.filter("_all", lambda s: ~s["base"])
-    clear = F.filter("_all", lambda s: s["base"] | ~F.exists(extra, lambda t: ((t["start"] < s["start"]) | ((t["start"] == s["start"]) & (t["order"] < s["order"]))) & (s["start"] < t["end"])))
+    clear = F.when(F.size("_extra") > 0, F.filter("_all", first)).otherwise(F.col("_all"))
     return rows.select("doc_id", *[f"base_{k}" for k in KINDS], clear.alias("spans"))
 
 
@@ -292,7 +308,8 @@ def joined(array: Column) -> Column:
 
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    found = find(docs, learn(with_spans(docs)))
+    seen = candidates(docs)
+    found = find(seen, learn(seen))
     base = joined(F.filter("spans", lambda s: s["base"]))
     counts = [F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

@@ -74,7 +74,7 @@ TEXTS = [
 
 def test_base_spans_and_positions(spark):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
-    found = P.find(docs, P.SpanModel({}, {})).select("doc_id", P.joined(F.col("spans")).alias("s"))
+    found = P.find(P.candidates(docs), P.SpanModel({}, {})).select("doc_id", P.joined(F.col("spans")).alias("s"))
     for r in found.collect():
         assert (r["s"].split(",") if r["s"] else []) == base_spans(TEXTS[r["doc_id"]])
 
@@ -99,7 +99,7 @@ def test_weak_labelers_are_weighed():
 def test_looser_spans(spark):
     texts = [f"write to me: joe{i} (at) gmail (dot) com or tel 030 1234 567{i % 10}, host 10[.]0[.]0[.]{i}" for i in range(40)] + ["we met at the gate at noon"] * 40
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    model = P.learn(P.with_spans(docs))
-    rows = {r["doc_id"]: r["s"] for r in P.find(docs, model).select("doc_id", P.joined(F.col("spans")).alias("s")).collect()}
+    seen = P.candidates(docs)
+    rows = {r["doc_id"]: r["s"] for r in P.find(seen, P.learn(seen)).select("doc_id", P.joined(F.col("spans")).alias("s")).collect()}
     assert all({x.split(":")[0] for x in rows[i].split(",")} == {"email", "phone", "ip"} for i in range(40))
     assert all(rows[i] == "" for i in range(40, 80))
