@@ -1,7 +1,7 @@
 """Licence scans by sentence rules.
 
 Texts are cut into sentences (at ``. ; : ?`` before white space, and at blank lines; line breaks inside a
-sentence are blanks). A normalised sentence, lower-case letters and digits with single blanks, is looked up
+sentence are blanks). The colon of an SPDX tag and the full stop of "v. 2" do not cut. A normalised sentence, lower-case letters and digits with single blanks, is looked up
 among the known licence sentences; one that is not known is looked up line by line. The known ones of a
 document, in order, form a sequence of identifiers. Licence rules are tried in the order of ``RULES``: a rule
 holds if its identifiers occur in this order, others between them, and are not all used by rules before it.
@@ -48,30 +48,47 @@ SENTENCES = {
         "released under the apache license version 2 0",
         "spdx license identifier apache 2 0",
     ],
+    "isc-ref": ["licensed under the isc license", "spdx license identifier isc"],
+    "bsd3-ref": ["spdx license identifier bsd 3 clause"],
+    "bsd2-ref": ["spdx license identifier bsd 2 clause"],
     "apache-limit": ["you may not use this file except in compliance with the license"],
     "apache-copy": ["you may obtain a copy of the license at", "you may obtain a copy of the license at http www apache org licenses license 2 0"],
     "gpl-free": [
         "this program is free software",
         "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
     ],
+    "gpl3-notice": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "gpl2-notice": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"],
+    "lgpl-free": ["you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"],
+    "agpl-free": ["you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"],
     "gpl3-later": ["either version 3 of the license or at your option any later version"],
     "gpl2-later": ["either version 2 of the license or at your option any later version"],
     "gpl3-ref": [
         "this work is licensed under the gnu general public license version 3",
         "licensed under the gnu general public license version 3",
         "this program is licensed under the gnu general public license version 3",
+        "spdx license identifier gpl 3 0",
         "spdx license identifier gpl 3 0 only",
         "spdx license identifier gpl 3 0 or later",
     ],
-    "gpl2-ref": ["this work is licensed under the gnu general public license version 2", "licensed under the gnu general public license version 2", "spdx license identifier gpl 2 0 only", "spdx license identifier gpl 2 0 or later"],
-    "lgpl-ref": ["licensed under the gnu lesser general public license version 3", "licensed under the gnu lesser general public license version 2 1", "this library is free software"],
-    "agpl-ref": ["licensed under the gnu affero general public license version 3", "this work is licensed under the gnu affero general public license version 3"],
-    "mpl-ref": ["this source code form is subject to the terms of the mozilla public license v 2 0", "licensed under the mozilla public license version 2 0"],
-    "cc0-ref": ["this work is dedicated to the public domain", "licensed under cc0 1 0", "released under cc0 1 0"],
-    "ccby-ref": ["licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"],
-    "ccbysa-ref": ["licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"],
-    "ccbync-ref": ["licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
-    "ccbynd-ref": ["licensed under cc by nd 4 0"],
+    "gpl2-ref": ["this work is licensed under the gnu general public license version 2", "licensed under the gnu general public license version 2", "spdx license identifier gpl 2 0", "spdx license identifier gpl 2 0 only", "spdx license identifier gpl 2 0 or later"],
+    "lgpl-ref": [
+        "licensed under the gnu lesser general public license version 3", "licensed under the gnu lesser general public license version 2 1", "this library is free software",
+        *[f"you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version {v} of the license or at your option any later version" for v in ("2 1", "3")],
+        *[f"spdx license identifier lgpl {v}{end}" for v in ("2 1", "3 0") for end in ("", " only", " or later")],
+    ],
+    "agpl-ref": [
+        "licensed under the gnu affero general public license version 3",
+        "this work is licensed under the gnu affero general public license version 3",
+        "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        *[f"spdx license identifier agpl 3 0{end}" for end in ("", " only", " or later")],
+    ],
+    "mpl-ref": ["this source code form is subject to the terms of the mozilla public license v 2 0", "licensed under the mozilla public license version 2 0", "spdx license identifier mpl 2 0"],
+    "cc0-ref": ["this work is dedicated to the public domain", "licensed under cc0 1 0", "released under cc0 1 0", "spdx license identifier cc0 1 0"],
+    "ccby-ref": ["licensed under cc by 4 0", "spdx license identifier cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"],
+    "ccbysa-ref": ["licensed under cc by sa 4 0", "spdx license identifier cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"],
+    "ccbync-ref": ["licensed under cc by nc 4 0", "spdx license identifier cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
+    "ccbynd-ref": ["licensed under cc by nd 4 0", "spdx license identifier cc by nd 4 0"],
     "copyright": [],  # any sentence that starts with "copyright" and a year
     "reserved": ["all rights reserved"],
 }
@@ -82,6 +99,12 @@ RULES = [
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"], False),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"], False),
     ("ISC", ["isc-grant"], False),
+    ("AGPL-3.0", ["gpl-free", "agpl-free", "gpl3-later"], True),
+    ("AGPL-3.0", ["agpl-free", "gpl3-later"], True),
+    ("LGPL", ["gpl-free", "lgpl-free", "gpl3-later"], True),
+    ("LGPL", ["lgpl-free"], True),
+    ("GPL-3.0", ["gpl3-notice"], True),
+    ("GPL-2.0", ["gpl2-notice"], True),
     ("GPL-3.0", ["gpl-free", "gpl3-later"], True),
     ("GPL-2.0", ["gpl-free", "gpl2-later"], True),
     ("Apache-2.0", ["apache-ref", "apache-limit", "apache-copy"], False),
@@ -93,6 +116,9 @@ RULES = [
     ("GPL-3.0", ["gpl3-ref"], True),
     ("GPL-2.0", ["gpl2-ref"], True),
     ("MPL-2.0", ["mpl-ref"], False),
+    ("ISC", ["isc-ref"], False),
+    ("BSD-3-Clause", ["bsd3-ref"], False),
+    ("BSD-2-Clause", ["bsd2-ref"], False),
     ("CC0-1.0", ["cc0-ref"], False),
     ("CC-BY-SA-4.0", ["ccbysa-ref"], True),
     ("CC-BY-NC-4.0", ["ccbync-ref"], True),
@@ -104,6 +130,8 @@ RULES = [
 CUT = "\u0001"
 SPLIT = r"([.;:?])[ \t-\r]+|\n[ \t\r]*\n"
 LINES = r"[\n\r]+"
+# Marks that are no ends of sentences, as groups of what stays.
+INNER = [(r"(?i)(spdx-license-identifier)[ \t]*:[ \t]*", "$1 "), (r"(?i)\b(v)\.[ \t-\r]+([0-9])", "$1 $2")]
 
 
 def normalise(sentence: Column) -> Column:
@@ -124,7 +152,10 @@ def look_up(units: DataFrame, known: DataFrame) -> DataFrame:
 def sentence_hits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, _tag, _at, _line, _sentence: the known sentences of every text with their places."""
     known = known_sentences(docs.sparkSession)
-    cut = F.split(F.regexp_replace(text_or_empty(text), SPLIT, "$1" + CUT), CUT)
+    whole = text_or_empty(text)
+    for inner, stays in INNER:
+        whole = F.regexp_replace(whole, inner, stays)
+    cut = F.split(F.regexp_replace(whole, SPLIT, "$1" + CUT), CUT)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("_tag"), F.posexplode(cut).alias("_at", "_unit"))
     whole = look_up(rows, known)
     lines = F.when(F.col("_sentence").isNotNull(), F.array(F.lit(""))).otherwise(F.split("_unit", LINES))
