@@ -1,17 +1,22 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become templates: words in lower case, with numbers, names and units replaced by typed placeholders.
-All windows of ``WINDOW`` template words of the documents meet those of the benchmark in a hash join. Windows
-on one diagonal (same distance between the two places) belong to one occurrence; it counts if it covers
-``COVERAGE`` of the item's windows and if its slots are consistent: every value of the item stands for one
-value of the document. So a question with other numbers, names or units is caught, and one whose numbers
-are mixed up is not. ``exact`` says that all slots have the item's own values.
+Texts become templates: words in lower case, with numbers, names and units replaced by typed placeholders. A
+number is one placeholder however it is written (3.5, 1,000, twenty-five), a unit may be attached to it (5kg),
+and a run of placeholders of one type is one.
+
+All windows of ``PIECE`` template words of the documents meet those of the benchmark in a hash join. Windows on
+one diagonal (same distance between the two places) or on diagonals at most ``SHIFT`` apart belong to one
+occurrence, so words may be changed, added or dropped, names outside the list among them. It counts if its
+windows cover ``SHARE`` of the item's words or ``QUOTED`` words, ``WINDOW`` in any case, and if its slots are
+consistent: every value of the item stands for one value of the document. So a question with other numbers,
+names or units is caught, and one whose numbers are mixed up is not. ``coverage`` is the share of the item's
+words; ``exact`` says that all slots have the item's own values.
 
 The benchmark's windows are broadcast after counting them (at most 2^20), else joined by shuffle. Only
 windows that match leave the row of their document, and frequent passages are combined where they are found.
 
 Defined results: null and empty texts match nothing; an item of fewer than ``LEAST`` template words identifies
-nothing and is never matched; one of fewer than ``WINDOW`` words is one window of its own length. Repeated
+nothing and is never matched; one of fewer than ``WINDOW`` words is one window of its own length and matches whole. Repeated
 rows are judged alike and give their (id, item) once; ids of either may be null. Extra columns are not read.
 """
 
@@ -26,8 +31,11 @@ from reviewloom.session import cut_lineage
 
 WINDOW = 8
 LEAST = 5
-COVERAGE = 0.8
-WORD = r"[\p{L}\p{N}]+"
+COVERAGE = 0.8  # of the item's windows on one diagonal: the SQL's rule
+PIECE = 4
+SHIFT = 8
+SHARE = 0.5
+QUOTED = 24
 # Words that stand for numbers, units and given names.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split()
 UNITS = (
@@ -42,18 +50,39 @@ NAMES = (
     "hannah isabel jason kate leo lucy max mia natalia noah olivia pedro rosa simon tina victor wendy zoe"
 ).split()
 
+_WORDS_OF_NUMBERS = "|".join(NUMBER_WORDS)
+# The forms of one word of a slot, and its placeholder.
+SLOTS = [
+    (rf"\p{{N}}[\p{{N}}_]*|(?:{_WORDS_OF_NUMBERS})(?:_(?:{_WORDS_OF_NUMBERS}))*", "<num>"),
+    ("|".join(UNITS), "<unit>"),
+    ("|".join(NAMES), "<name>"),
+]
+
+
+def marked(text: Column) -> Column:
+    """The words in lower case, joined by blanks. A run of slot words of one type is one word, joined by "_"."""
+    lined = F.translate(F.lower(text), "_", " ")
+    lined = F.regexp_replace(lined, r"(?<=\p{N}),(?=\p{N}{3}(?!\p{N}))", "")
+    lined = F.regexp_replace(lined, r"(?<=\p{N})[.,](?=\p{N})", "_")
+    lined = F.trim(F.regexp_replace(lined, r"[^\p{L}\p{N}_]+", " "))
+    lined = F.regexp_replace(lined, r"(?<![^ ])(\p{N}[\p{N}_]*)(?=\p{L})", "$1 ")
+    lined = F.regexp_replace(lined, rf"(?<![^ ])(hundred|thousand|million) and (?=(?:{_WORDS_OF_NUMBERS})(?![^ ]))", "$1_")
+    for one, _ in SLOTS:
+        lined = F.regexp_replace(lined, rf"(?<![^ ])({one}) (?=(?:{one})(?![^ ]))", "$1_")
+    return lined
+
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    """The words of a text, as many as ``template`` has."""
+    return F.split(marked(text), " ")
 
 
 def template(text: Column) -> Column:
     """The template's words joined by blanks, one per word of ``words``."""
-    lined = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")
-    fixed = [(r"[\p{N}]+|" + "|".join(NUMBER_WORDS), "<num>"), ("|".join(UNITS), "<unit>"), ("|".join(NAMES), "<name>")]
-    for alternatives, slot in fixed:
-        lined = F.regexp_replace(lined, rf"(?<![\p{{L}}\p{{N}}<])(?:{alternatives})(?![\p{{L}}\p{{N}}>])", slot)
-    return F.trim(lined)
+    lined = marked(text)
+    for one, slot in SLOTS:
+        lined = F.regexp_replace(lined, rf"(?<![^ ])(?:{one})(?:_(?:{one}))*(?![^ ])", slot)
+    return lined
 
 
 def windows(rows: DataFrame, keep: list[str], size: int) -> DataFrame:
@@ -68,45 +97,61 @@ def templates(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(F.col(key).alias("_key"), F.split(template(text_or_empty(text)), " ").alias("_t"))
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
+def occurrences(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """doc_id, item_id, coverage, slots, exact: the best occurrence of each item in each document."""
     items = benchmark.select(F.col(item_id).alias("item_id"), F.split(template(text_or_empty(text)), " ").alias("_t"), words(text_or_empty(text)).alias("_iw"))
-    items = items.distinct().withColumn("_item", F.xxhash64("item_id", "_iw")).withColumn("_n", F.size("_t")).filter(F.col("_n") >= LEAST).withColumn("_size", F.least("_n", F.lit(window)))
-    items = cut_lineage(items)
+    items = items.distinct().withColumn("_item", F.xxhash64("item_id", "_iw")).withColumn("_n", F.size("_t")).filter(F.col("_n") >= LEAST).withColumn("_size", F.when(F.col("_n") < window, F.col("_n")).otherwise(F.lit(min(PIECE, window))))
+    least = F.greatest(F.least(F.ceil(F.col("_n") * share), F.lit(QUOTED)), F.least("_n", F.lit(window)))
+    items = cut_lineage(items.withColumn("_least", least.cast("int")))
     sizes = [r["_size"] for r in items.select("_size").distinct().collect()]  # at most ``window`` values
     parts = templates(docs, doc_id, text)
     hits = None
     for size in sizes:
-        own = windows(items.filter(F.col("_size") == size), ["item_id", "_item", "_n"], size)
-        own = cut_lineage(own.select("item_id", "_item", F.col("_at").alias("_item_at"), "_hash", (F.col("_n") - size + 1).alias("_windows")))
+        own = windows(items.filter(F.col("_size") == size), ["item_id", "_item"], size)
+        own = cut_lineage(own.select("item_id", "_item", F.col("_at").alias("_item_at"), "_hash"))
         found = windows(parts, ["_key"], size).join(small_enough(own), "_hash")
-        part = found.select(F.col("_key").alias("doc_id"), "item_id", "_item", (F.col("_at") - F.col("_item_at")).alias("_diagonal"), "_item_at", "_windows")
+        part = found.select(F.col("_key").alias("doc_id"), "item_id", "_item", (F.col("_at") - F.col("_item_at")).alias("_diagonal"), "_item_at")
         hits = part if hits is None else hits.unionByName(part)
     if hits is None:
         return docs.select(F.col(doc_id).alias("doc_id"), F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("coverage"), F.lit(0).alias("slots"), F.lit(True).alias("exact")).limit(0)
-    places = ["doc_id", "item_id", "_item", "_diagonal"]
     # The places of an item bound the set, however often a document repeats the passage.
-    seen = hits.groupBy(*places).agg(F.collect_set("_item_at").alias("_places"), F.max("_windows").alias("_windows"))
-    seen = cut_lineage(seen.filter(F.size("_places") >= F.col("_windows") * coverage))
+    runs = hits.groupBy("doc_id", "item_id", "_item", "_diagonal").agg(F.collect_set("_item_at").alias("_places"))
+    # Every diagonal for itself, and twice with its neighbours: those at most SHIFT apart meet once at least.
+    wide = 2 * SHIFT
+    near = [F.col("_diagonal"), F.floor(F.col("_diagonal") / wide), F.floor((F.col("_diagonal") + SHIFT) / wide)]
+    near = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), d.cast("long").alias("d")) for k, d in enumerate(near)]))
+    runs = runs.select("doc_id", "item_id", "_item", F.struct(F.size("_places").alias("size"), F.col("_diagonal").alias("diagonal"), F.col("_places").alias("places")).alias("_run"), near.alias("_near"))
+    seen = runs.groupBy("doc_id", "item_id", "_item", "_near").agg(F.collect_list("_run").alias("_runs"))
+    seen = seen.join(small_enough(items.select("_item", "_n", "_size", "_least").distinct()), "_item")
+    seen = seen.withColumn("_covered", covered(F.flatten("_runs.places"))).filter(F.size("_covered") >= F.col("_least"))
+    seen = cut_lineage(seen.drop("_near", "_size", "_least"))
     judged = slot_values(seen, docs, items, doc_id, text)
     best = F.max(F.struct("exact", "coverage", "slots"))
     return judged.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.coverage", "b.slots", "b.exact")
 
 
+def covered(places: Column) -> Column:
+    """The places of the words in the windows at ``places``."""
+    return F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p, p + F.col("_size") - 1))))
+
+
 def slot_values(seen: DataFrame, docs: DataFrame, items: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id, item_id, coverage, slots, exact of the occurrences ``seen`` whose slots are consistent.
 
-    Only occurrences of items with slots read their documents once more.
+    A slot is read on the diagonal that covers it with the most windows. Only occurrences of items with slots read
+    their documents once more.
     """
     placed = seen.join(small_enough(items.select("_item", "_t", "_iw", "_size")), "_item")
-    covered = F.flatten(F.transform("_places", lambda p: F.sequence(p, p + F.col("_size") - 1)))
-    slots = F.filter(F.array_distinct(covered), lambda p: F.element_at("_t", p + 1).startswith("<"))
-    placed = placed.select("doc_id", "item_id", "_diagonal", (F.size("_places") / F.col("_windows")).alias("coverage"), slots.alias("_slots"), "_iw")
+    slots = F.filter("_covered", lambda p: F.element_at("_t", p + 1).startswith("<"))
+    runs = F.reverse(F.array_sort("_runs"))
+    covers = lambda run, p: F.exists(run["places"], lambda w: (w <= p) & (p < w + F.col("_size")))
+    slots = F.transform(slots, lambda p: F.struct(p.alias("p"), F.element_at(F.filter(runs, lambda r: covers(r, p)), 1)["diagonal"].alias("d")))
+    placed = placed.select("doc_id", "item_id", (F.size("_covered") / F.col("_n")).alias("coverage"), slots.alias("_slots"), "_iw")
     plain = placed.filter(F.size("_slots") == 0).select("doc_id", "item_id", "coverage", F.lit(0).alias("slots"), F.lit(True).alias("exact"))
     slotted = cut_lineage(placed.filter(F.size("_slots") > 0))
     wanted = small_enough(cut_lineage(slotted.select(F.col("doc_id").alias("_id")).distinct()))
     read = docs.join(wanted, F.col(doc_id).eqNullSafe(F.col("_id")), "left_semi").select(F.col(doc_id).alias("_id"), words(text_or_empty(text)).alias("_w")).distinct()
-    pairs = F.transform("_slots", lambda p: F.struct(F.element_at("_iw", p + 1).alias("i"), F.try_element_at("_w", p + F.col("_diagonal") + 1).alias("d")))
+    pairs = F.transform("_slots", lambda s: F.struct(F.element_at("_iw", s["p"] + 1).alias("i"), F.try_element_at("_w", s["p"] + s["d"] + 1).alias("d")))
     known = slotted.join(read, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_pairs", F.array_distinct(pairs))
     values = F.size(F.array_distinct(F.transform("_pairs", lambda p: p["i"])))
     known = known.filter(values == F.size("_pairs"))
