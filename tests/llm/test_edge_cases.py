@@ -55,7 +55,7 @@ def test_empty_tables(spark, empty_dir, name):
     assert registry.queries()[name](spark, empty_dir).count() == 0
 
 
-PER_ROW = ["op1_language_id", "op2_personal_data", "op4_toxicity", "op5_mixing", "op6_exact_dedup", "op7_sharding", "op8_token_output", "op9_simhash"]
+PER_ROW = ["op1_language_id", "op2_personal_data", "op4_toxicity", "op5_mixing", "op6_exact_dedup", "op7_sharding", "op8_token_output", "op9_simhash", "op11_secrets"]
 
 
 @pytest.mark.parametrize("name", PER_ROW)
