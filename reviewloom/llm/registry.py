@@ -6,7 +6,7 @@ from importlib import import_module
 
 import corpus_pipeline
 
-MODULES = ("language_id", "exact_dedup", "simhash", "decontaminate", "sharding", "mixing", "licenses", "token_output", "toxicity", "personal_data", "secrets", "spelling")
+MODULES = ("language_id", "exact_dedup", "simhash", "decontaminate", "sharding", "mixing", "licenses", "token_output", "toxicity", "personal_data", "secrets", "spelling", "prefix_trie")
 
 
 def queries():
