@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from reviewloom.llm import decontaminate, language_id, mixing, sharding, shingle_join
+from reviewloom.llm import decontaminate, language_id, mixing, sharding, simhash
 from reviewloom.llm.common import id_remainder, small_enough, text_or_empty
 from reviewloom.session import cut_lineage
 
@@ -26,13 +26,14 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, which share five-word shingles at a Jaccard similarity of
-    0.8 or more, directly or over others: the row of the smallest id (null ids last; among rows that share the
-    id, the smallest text hash)."""
+    """One document of each group whose fingerprints of three-word shingles link at 3 or fewer differing bits,
+    directly or over others: the row of the smallest id (null ids last; among rows that share the id, the
+    smallest text hash; of repeated rows, the first by source and language). Null and empty texts share
+    fingerprint zero, so one of them stays; an empty table gives none."""
     docs = docs.select(*COLUMNS)
     tag = F.xxhash64(text_or_empty("text"))
-    rows = shingle_join.near_groups(docs, keep=["doc_id", tag.alias("_tag")])
-    # Who leads a group follows from sums over rows; only groups of several rows are joined.
+    rows = simhash.near_duplicates(docs, words=3, distance=3, keep=[tag.alias("_tag")], roots=True)
+    # Who leads a group follows from sums over rows; only one row of each group is joined.
     lead = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_tag")))
     stays = cut_lineage(rows.groupBy("root").agg(lead.alias("l")).select(F.col("l.doc_id").alias("_id"), F.col("l._tag").alias("_tag")))
     kept = docs.withColumn("_own", tag).join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_tag")))
