@@ -35,6 +35,64 @@ def aspect_keyword_match(keyword: str | Column, lowered: Column, prepared: Colum
     return F.when(inside, F.rlike(lowered, quoted) | F.rlike(prepared, quoted)).otherwise(False)
 
 
+WORD_CHAR = r"[\p{L}\p{N}_]"
+WAYS = 5  # alternatives that a pattern tries one by one
+
+
+def _trie_pattern(words: Sequence[str]) -> str:
+    """A pattern that matches the longest of the words at a place; common beginnings are written once.
+
+    Many ways to go on are split by classes of their first characters, so few are tried.
+    """
+
+    def char(c: str) -> str:
+        return c if c.isascii() and c.isalnum() else rf"\x{{{ord(c):x}}}"
+
+    def either(heads: dict[str, list[str]]) -> str:
+        if len(heads) <= WAYS:
+            ways = [char(c) + branch(rest) for c, rest in heads.items()]
+        else:
+            step, order = -(-len(heads) // WAYS), list(heads)
+            runs = [order[i : i + step] for i in range(0, len(order), step)]
+            ways = [f"(?=[{''.join(map(char, run))}]){either({c: heads[c] for c in run})}" for run in runs]
+        return ways[0] if len(ways) == 1 else "(?:" + "|".join(ways) + ")"
+
+    def branch(group: Sequence[str]) -> str:
+        heads: dict[str, list[str]] = {}
+        for word in sorted(group):
+            if word:
+                heads.setdefault(word[0], []).append(word[1:])
+        more = either(heads) if heads else ""
+        return f"(?:{more})?" if more and "" in group else more
+
+    return branch(words)
+
+
+def _places(text: Column, words: Sequence[str], mode: str) -> Column:
+    """The longest word at each place of a text, distinct: one pattern for all words, tried at every place, so
+    the cost of a text hardly grows with their number."""
+    edge = ("", "") if mode == "substring" else (rf"(?<!{WORD_CHAR})", rf"(?!{WORD_CHAR})")
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"{edge[0]}(?=({_trie_pattern(words)}){edge[1]})"), F.lit(1)))
+
+
+def _with_beginnings(found: Column, words: Sequence[str], mode: str) -> Column:
+    """``found``, and the words that begin one of them at the same place. ``words`` is sorted."""
+    begun: dict[str, list[str]] = {}  # word -> those that it begins with
+    stack: list[str] = []
+    for word in words:
+        while stack and not word.startswith(stack[-1]):
+            stack.pop()
+        heads = [h for h in stack if mode == "substring" or not (word[len(h)].isalnum() or word[len(h)] == "_")]
+        if heads:
+            begun[word] = heads
+        stack.append(word)
+    if not begun:
+        return F.array_sort(found)
+    known = F.create_map(*[x for word, heads in begun.items() for x in (F.lit(word), F.lit(heads))])
+    more = F.flatten(F.transform(found, lambda w: F.coalesce(F.try_element_at(known, w), F.array().cast("array<string>"))))
+    return F.array_sort(F.array_union(found, more))
+
+
 def aspect_tag(
     df: DataFrame,
     text: str,
@@ -42,23 +100,29 @@ def aspect_tag(
     prepared: str | None = None,
     mode: str = "substring",
 ) -> DataFrame:
-    """Add ``keywords`` (sorted distinct matches) and ``aspects`` (matched aspects, lexicon order).
+    """Add ``keywords`` (sorted distinct matches in the raw or the prepared text) and ``aspects``
+    (matched aspects, lexicon order).
 
-    Narrow: no join, no shuffle. The keywords are one literal array, filtered in the row, whatever
-    their number.
+    Narrow: no join, no shuffle, and one pattern whatever the number of keywords.
     """
     words = sorted({w for group in lexicon.values() for w in group})
-    lowered, ready = F.col("_lowered"), F.col("_prepared")
-    base = df.withColumn("_lowered", F.lower(F.coalesce(F.col(text), F.lit(""))))
-    base = base.withColumn("_prepared", F.coalesce(F.col(prepared), F.lit("")) if prepared else F.lit(""))
-    found = F.filter(F.lit(words) if words else F.array().cast("array<string>"), lambda w: aspect_keyword_match(w, lowered, ready, mode))
-    tagged = base.withColumn("keywords", found)
+    searched = F.lower(F.coalesce(F.col(text), F.lit("")))
+    if prepared:  # no keyword holds the character between the two
+        searched = F.concat(searched, F.lit("\0"), F.coalesce(F.col(prepared), F.lit("")))
+    real = [w for w in words if w]
+    none = F.array().cast("array<string>")
+    # In a column of its own, or the texts would be searched once per use.
+    base = df.withColumn("_found", _places(searched, real, mode) if real else none)
+    found = _with_beginnings(F.col("_found"), real, mode)
+    if len(real) < len(words):  # the empty keyword is in every text
+        found = F.concat(F.array(F.lit("")), found)
+    tagged = base.withColumn("keywords", found).drop("_found")
     aspects = [
         F.when(F.arrays_overlap("keywords", F.lit(list(group))), F.lit(aspect))
         for aspect, group in lexicon.items()
         if group
     ]
-    return tagged.withColumn("aspects", F.array_compact(F.array(*aspects))).drop("_lowered", "_prepared")
+    return tagged.withColumn("aspects", F.array_compact(F.array(*aspects)))
 
 
 def product_sums(tagged: DataFrame, by: Sequence[str], lexicon: Lexicon, sentiment: str) -> DataFrame:

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewloom.constants import ASPECT_KEYWORDS, POSITIVE
 from reviewloom.operators.aspects import Lexicon, aspect_tag, product_results, product_sums
 from reviewloom.operators.ranking import bucketed_row_number
 from reviewloom.operators.store import metric_rows
-from reviewloom.session import cut_lineage
 
 ORDER_CHUNK = 65_536
 
@@ -54,17 +53,19 @@ def product_metrics(results: DataFrame, analysis_id: str, model_name: str) -> Da
 
 
 def rank_products(
-    scored: DataFrame, by: str, order: str, score: str = "general_score", out: str = "rank"
+    scored: DataFrame, by: str, order: str, score: str = "general_score", out: str = "rank", giant: bool = False
 ) -> DataFrame:
     """Rank the candidates of each request by score, best first; ties keep request order.
 
-    Works for requests of any size: rows fall into whole-percent buckets and runs of request
-    positions before they are ordered.
+    One window per request. ``giant=True`` is for requests that one task should not order: rows fall into
+    whole-percent buckets and runs of request positions first, which costs several exchanges.
     """
-    buckets = [-F.floor(score), F.floor(F.col(order) / ORDER_CHUNK)]
+    best = [-F.round(F.col(score), 9), F.col(order)]
+    if not giant:
+        return scored.withColumn(out, F.row_number().over(Window.partitionBy(by).orderBy(*best)).cast("bigint"))
     # Within a whole percent the score still decides before the position does.
-    fine = [-F.round(F.col(score), 9)]
-    return bucketed_row_number(scored, [by], [buckets[0], *fine, buckets[1]], [F.col(order)], out)
+    buckets = [-F.floor(score), best[0], F.floor(F.col(order) / ORDER_CHUNK)]
+    return bucketed_row_number(scored, [by], buckets, [F.col(order)], out)
 
 
 def winners(ranked: DataFrame, by: str, name: str, rank: str = "rank") -> DataFrame:
@@ -87,11 +88,9 @@ def recommend(
     candidates has reviews has no rows.
     """
     results = score_products(reviews, ["request_id", "url"], text, sentiment, lexicon, prepared)
-    # Ranking reads the results several times; written once, the reviews are read once.
-    detail = cut_lineage(candidates.join(results, ["request_id", "url"]))
-    ranked = rank_products(detail, "request_id", "candidate_order")
-    best = winners(ranked, "request_id", "name")
-    return ranked.join(best, "request_id")
+    ranked = rank_products(candidates.join(results, ["request_id", "url"]), "request_id", "candidate_order")
+    whole = Window.partitionBy("request_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return ranked.withColumn("winning_product", F.first("name").over(whole))
 
 
 def responses(recommended: DataFrame) -> DataFrame:

@@ -78,6 +78,22 @@ def aspect_tag_large_lexicon(spark, d):
     )
 
 
+# Raw text or prepared text: here the prepared text is the lower-cased text backwards.
+EITHER = f"list_filter({sql_list(WORDS)}, lambda k: contains(lower(review), k) OR contains(reverse(lower(review)), k))"
+
+
+@query("aspect_tag_prepared", f"SELECT review_id, array_to_string({EITHER}, ',') AS keywords FROM reviews", R)
+def aspect_tag_prepared(spark, d):
+    rows = reviews(spark, d).withColumn("prepared", F.reverse(F.lower("review")))
+    return A.aspect_tag(rows, "review", LEXICON, "prepared").select("review_id", F.array_join("keywords", ",").alias("keywords"))
+
+
+@query("rank_products_giant_request", "SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars % 101 DESC, doc_id) AS rank FROM documents WHERE lang IS NOT NULL")
+def rank_products_giant_request(spark, d):
+    rows = spark.read.parquet(f"{d}/documents.parquet").filter("lang is not null").select("doc_id", "lang", (F.col("n_chars") % 101).alias("score"))
+    return P.rank_products(rows, "lang", "doc_id", "score", giant=True).select("doc_id", "rank")
+
+
 @query("keywords_array", f"SELECT review_id, len({HITS}) AS n_keywords, array_to_string({HITS}, '|') AS keywords FROM reviews", R)
 def keywords_array(spark, d):
     rows = tagged(spark, d)

@@ -263,6 +263,24 @@ def test_aspects_match_substrings(spark):
     assert "ram" not in word.keywords
 
 
+@pytest.mark.parametrize("mode", ["substring", "word"])
+def test_keywords_against_plain_search(spark, mode):
+    import re
+
+    lexicon = {"a": ["ram", "rambu", "tahan", "tahan lama", "cas", "cepat", "cepat habis", "panas", "panas saat cas", "type-c"], "b": ["hz", "4k", "c++", "😀", "é", "(x)"], "c": [], "d": ["x y"]}
+    lexicon["e"] = [f"kata{i}tak" for i in range(300)]
+    rows = [
+        ("Ramah RAM tahan lama type-c", "kipas rambu"), ("tahanlama casing cas panas saat cas", ""), ("", None), (None, "ram"), ("4kx hz c++ fhdram 😀jam (X)", "cepat habis"),
+        ("cepat", "habis"), ("cepat habisx É kata7tak kata77", "xx yy"), ("cepatcepat habis", "kata299tak"),
+    ]
+    words = sorted({w for group in lexicon.values() for w in group})
+    for row in aspects.aspect_tag(spark.createDataFrame(rows, "t string, p string"), "t", lexicon, "p", mode).collect():
+        texts = [(row.t or "").lower(), row.p or ""]
+        pattern = (lambda w: re.escape(w)) if mode == "substring" else (lambda w: rf"(?<!\w){re.escape(w)}(?!\w)")
+        assert row.keywords == [w for w in words if any(re.search(pattern(w), t) for t in texts)]
+        assert row.aspects == [a for a, group in lexicon.items() if set(group) & set(row.keywords)]
+
+
 def test_ties_take_lexicon_order_and_products_without_aspects(spark):
     lexicon = {"one": ["x"], "two": ["y"], "none": ["q"]}
     df = spark.createDataFrame(
