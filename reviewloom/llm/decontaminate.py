@@ -78,11 +78,25 @@ def words(text: Column) -> Column:
 
 
 def template(text: Column) -> Column:
-    """The template's words joined by blanks, one per word of ``words``."""
-    lined = marked(text)
-    for one, slot in SLOTS:
-        lined = F.regexp_replace(lined, rf"(?<![^ ])(?:{one})(?:_(?:{one}))*(?![^ ])", slot)
-    return lined
+    """The template's words, one per word of ``words``.
+
+    Numbers are replaced first, as they stand in the text; all other slot words are looked up word by word in
+    fixed sets. Every pattern begins with a character that few places have.
+    """
+    lined = F.translate(F.lower(text), "_", " ")
+    lined = F.regexp_replace(lined, r",(?=\p{N}{3}(?!\p{N}))(?<=\p{N},)", "")
+    lined = F.regexp_replace(lined, r"[.,](?=\p{N})(?<=\p{N}[.,])", "_")
+    lined = F.trim(F.regexp_replace(lined, r"[^\p{L}\p{N}_]+", " "))
+    lined = F.rtrim(F.regexp_replace(lined, r"\p{N}(?<![^ ]\p{N})[\p{N}_]* ?", "<num> "))
+    lined = F.regexp_replace(lined, rf" and (?=(?:{_WORDS_OF_NUMBERS})(?![^ ]))(?<=(?<![^ ])(?:hundred|thousand|million) and )", " ")
+
+    def typed(word):
+        return F.when(word.isin(NUMBER_WORDS), "<num>").when(word.isin(UNITS), "<unit>").when(word.isin(NAMES), "<name>").otherwise(word)
+
+    lined = F.array_join(F.transform(F.split(lined, " "), typed), " ")
+    for _, slot in SLOTS:
+        lined = F.regexp_replace(lined, rf"{slot}(?: {slot})+", slot)
+    return F.split(lined, " ")
 
 
 def windows(rows: DataFrame, keep: list[str], size: int) -> DataFrame:
@@ -94,12 +108,12 @@ def windows(rows: DataFrame, keep: list[str], size: int) -> DataFrame:
 
 
 def templates(rows: DataFrame, key: str, text: str) -> DataFrame:
-    return rows.select(F.col(key).alias("_key"), F.split(template(text_or_empty(text)), " ").alias("_t"))
+    return rows.select(F.col(key).alias("_key"), template(text_or_empty(text)).alias("_t"))
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """doc_id, item_id, coverage, slots, exact: the best occurrence of each item in each document."""
-    items = benchmark.select(F.col(item_id).alias("item_id"), F.split(template(text_or_empty(text)), " ").alias("_t"), words(text_or_empty(text)).alias("_iw"))
+    items = benchmark.select(F.col(item_id).alias("item_id"), template(text_or_empty(text)).alias("_t"), words(text_or_empty(text)).alias("_iw"))
     items = items.distinct().withColumn("_item", F.xxhash64("item_id", "_iw")).withColumn("_n", F.size("_t")).filter(F.col("_n") >= LEAST).withColumn("_size", F.when(F.col("_n") < window, F.col("_n")).otherwise(F.lit(min(PIECE, window))))
     least = F.greatest(F.least(F.ceil(F.col("_n") * share), F.lit(QUOTED)), F.least("_n", F.lit(window)))
     items = cut_lineage(items.withColumn("_least", least.cast("int")))
