@@ -1,235 +1,330 @@
-"""Sentiment models on Spark ML: boosted trees, one per class, with selection and resampling inside ``fit``."""
+"""Sentiment models: boosted trees on sparse TF-IDF rows, selection and resampling inside ``fit``, grid search, and
+one artefact that turns raw text into label and confidence.
+
+Trees are fitted in a task, on a bounded number of labelled rows that is a parameter (``FIT_ROWS``, per point of a
+search ``SEARCH_ROWS``); within it every class keeps its share exactly, and every term takes part. Everything else
+covers all rows: vocabulary, idf, resampling, selection, prediction, evaluation. The points and folds of a search
+are spread over the tasks.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
-from threading import Lock
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import GBTClassifier, OneVsRest, OneVsRestModel
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
+from pyspark.ml.util import MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewloom.constants import GRID
+from reviewloom.functions.text import preprocess_serve
+from reviewloom.operators import boosting
+from reviewloom.operators.boosting import BASELINE, Sparse, Trees
 from reviewloom.operators.bounded import few_rows, small_table
 from reviewloom.operators.encode import MAX_CLASSES
-from reviewloom.operators.features import chi2_scores, select_k_best, vector_from_entries
+from reviewloom.operators.features import chi2_scores, select_k_best, term_counts, tfidf_weights
+from reviewloom.operators.ranking import HashOrder
+from reviewloom.operators.sampling import split_quotas, stratified_kfold
 from reviewloom.operators.smote import smote_sparse
 from reviewloom.session import cut_lineage
 
-# Defaults of the baseline model.
-BASELINE = {"learning_rate": 0.3, "max_depth": 6, "n_estimators": 100}
-
-
-def boosted_trees(params: Mapping[str, float] | None = None, seed: int = 42) -> GBTClassifier:
-    """Binary boosted trees from the reference parameter names. ``colsample_bytree`` applies per node."""
-    p = {**BASELINE, **(params or {})}
-    return GBTClassifier(
-        featuresCol="features",
-        labelCol="label_idx",
-        stepSize=p["learning_rate"],
-        maxDepth=int(p["max_depth"]),
-        maxIter=int(p["n_estimators"]),
-        subsamplingRate=p.get("subsample", 1.0),
-        featureSubsetStrategy=_share(p.get("colsample_bytree", 1.0)),
-        seed=seed,
-    )
-
-
-def _share(value: float) -> str:
-    return "all" if value >= 1.0 else str(value)
-
-
-def param_grid(gbt: GBTClassifier, grid: Mapping[str, Sequence[float]] = GRID) -> list[dict]:
-    """Spark ML parameter maps of a grid given in the reference parameter names."""
-    names = {
-        "learning_rate": gbt.stepSize,
-        "max_depth": gbt.maxDepth,
-        "n_estimators": gbt.maxIter,
-        "subsample": gbt.subsamplingRate,
-        "colsample_bytree": gbt.featureSubsetStrategy,
-    }
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        converted = [_share(v) for v in values] if name == "colsample_bytree" else list(values)
-        builder = builder.addGrid(names[name], converted)
-    return builder.build()
-
-
-def predict_confidence(raw: Column) -> Column:
-    """Highest class probability from the one-vs-rest margins: logistic of twice the margin (the
-    boosted trees' own link), normalised over the classes; 1 when there is none."""
-    odds = F.transform(vector_to_array(raw), lambda m: F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * m)))
-    total = F.aggregate(odds, F.lit(0.0), lambda a, x: a + x)
-    return F.coalesce(F.try_divide(F.array_max(odds), total), F.lit(1.0))
+FIT_ROWS = 2048  # labelled rows that one model is fitted on
+SEARCH_ROWS = 512  # labelled rows that a grid search compares its points on
+SCENARIO_3_TERMS = 2000
+NODE = "node int, feature long, threshold double, absent_left boolean, left int, right int, value double"
+MAX_NODES = 1_000_000
 
 
-class MacroF1Evaluator(Evaluator):
-    """Unweighted mean of the per-class F1. (Spark's own "f1" weights by class size.)"""
+# ---------------------------------------------------------------- rows that a task can fit
 
-    def __init__(self, labelCol: str = "label_idx", predictionCol: str = "prediction"):
+
+def bounded_rows(rows: DataFrame, label: str, id_col: str, limit: int, seed: int = 42) -> DataFrame:
+    """All rows, or exactly ``limit`` of them in seeded hash order with every class at its share."""
+    order = HashOrder(rows, label, id_col, seed)
+    total = sum(order.sizes.values())
+    if total <= limit:
+        return rows.filter(F.col(label).isNotNull())
+    quotas = split_quotas(order.sizes, limit / total)
+    placed = order.place(rows.filter(F.col(label).isNotNull()), order.cuts({v: [q] for v, q in quotas.items()}), "_cut")
+    return placed.filter(F.col("_cut") == 0).drop("_cut")
+
+
+def packed(rows: DataFrame, *keep: str) -> DataFrame:
+    """Columns ``keep``, the weights, and ``_f``: 64-bit names of the terms."""
+    return rows.select(*keep, F.transform("weights", lambda e: F.xxhash64(e["term"])).alias("_f"), F.transform("weights", lambda e: e["weight"]).alias("_w"))
+
+
+def _sparse(frame: pd.DataFrame) -> Sparse:
+    return Sparse.of(frame["_f"].tolist(), frame["_w"].tolist())
+
+
+def _trees_of(nodes: pd.DataFrame, classes: int, rounds: int, first: Sequence[int]) -> Trees:
+    columns = {c: nodes[c].to_numpy() for c in ("feature", "threshold", "absent_left", "left", "right", "value")}
+    return Trees(classes, rounds, np.array(first, dtype=np.int64), **columns)
+
+
+# ---------------------------------------------------------------- estimators
+
+
+class BoostedTrees(Estimator):
+    """Softmax boosting on rows ``(id, label_idx, weights)``; parameters go by the reference's names."""
+
+    def __init__(self, params: Mapping[str, float] | None = None, id_col: str = "review_id", fit_rows: int = FIT_ROWS, seed: int = 42):
         super().__init__()
-        self.labelCol, self.predictionCol = labelCol, predictionCol
+        self.settings = {**BASELINE, **(params or {})}
+        self.id_col, self.fit_rows, self.fit_seed = id_col, fit_rows, seed
 
-    def _evaluate(self, dataset: DataFrame) -> float:
-        pairs = dataset.groupBy(
-            F.col(self.labelCol).cast("int").alias("actual"), F.col(self.predictionCol).cast("int").alias("predicted")
-        ).agg(F.count(F.lit(1)).alias("n"))
-        # The confusion table has one row per pair of classes.
-        cells = few_rows(pairs, MAX_CLASSES, "pairs of classes")
-        classes = {c for r in cells for c in (r["actual"], r["predicted"])}
-        scores = []
-        for value in classes:
-            hit = sum(r["n"] for r in cells if r["actual"] == r["predicted"] == value)
-            seen = sum(r["n"] * ((r["actual"] == value) + (r["predicted"] == value)) for r in cells)
-            scores.append(2.0 * hit / seen if seen else 0.0)
-        return sum(scores) / len(scores) if scores else 0.0
+    def _fit(self, dataset: DataFrame) -> "BoostedTreesModel":
+        rows = bounded_rows(dataset, "label_idx", self.id_col, self.fit_rows, self.fit_seed)
+        classes = int((dataset.agg(F.max("label_idx").alias("m")).first()["m"] or 0)) + 1
+        settings, seed = self.settings, self.fit_seed
 
-    def isLargerBetter(self) -> bool:
-        return True
+        def train(frame: pd.DataFrame) -> pd.DataFrame:
+            labels = frame["label_idx"].to_numpy()
+            order = np.lexsort((frame["_id"].to_numpy().astype(str), labels))  # the same rows in the same order
+            frame = frame.iloc[order]
+            trees = boosting.fit(_sparse(frame), frame["label_idx"].to_numpy(), classes, settings, seed, threads=classes)
+            nodes = pd.DataFrame(trees.rows())
+            nodes["first"] = np.isin(nodes["node"], trees.tree)
+            return nodes
+
+        one = packed(rows, "label_idx", F.col(self.id_col).cast("string").alias("_id")).withColumn("_all", F.lit(0))
+        found = one.groupBy("_all").applyInPandas(train, f"{NODE}, first boolean")  # at most fit_rows rows
+        nodes = found.limit(MAX_NODES + 1).toPandas().sort_values("node")
+        if len(nodes) > MAX_NODES:
+            raise ValueError(f"more than {MAX_NODES} nodes")
+        first = nodes["node"][nodes["first"].astype(bool)].tolist()
+        rounds = int(settings["n_estimators"]) if len(nodes) else 0
+        return BoostedTreesModel(_trees_of(nodes, classes, rounds, first))
+
+
+def boosted_trees(params: Mapping[str, float] | None = None, seed: int = 42) -> BoostedTrees:
+    return BoostedTrees(params, seed=seed)
+
+
+class BoostedTreesModel(Model):
+    """Adds ``probability`` (per class), ``prediction`` and ``confidence`` to rows with ``weights``: a narrow pass."""
+
+    def __init__(self, trees: Trees):
+        super().__init__()
+        self.trees = trees
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        trees = self.trees
+
+        @F.pandas_udf("array<double>")
+        def score(features: pd.Series, weights: pd.Series) -> pd.Series:
+            return pd.Series(list(boosting.probabilities(trees.margins(Sparse.of(features.tolist(), weights.tolist())))))
+
+        names = F.transform("weights", lambda e: F.xxhash64(e["term"]))
+        rows = dataset.withColumn("probability", score(names, F.transform("weights", lambda e: e["weight"].cast("double"))))
+        best = F.array_position("probability", F.array_max("probability")) - 1
+        return rows.withColumn("prediction", best.cast("double")).withColumn("confidence", predict_confidence(F.col("probability")))
+
+    def node_table(self, spark: SparkSession) -> DataFrame:
+        """The nodes of all trees; ``tree`` numbers the trees by their first nodes."""
+        rows = [r | {"tree": int(np.searchsorted(self.trees.tree, r["node"], side="right")) - 1} for r in self.trees.rows()]
+        return small_table(spark, rows, T._parse_datatype_string(f"{NODE}, tree int"))
+
+
+def predict_confidence(probability: Column) -> Column:
+    """Highest class probability; 1 when there is none."""
+    return F.coalesce(F.array_max(probability), F.lit(1.0))
 
 
 class _SelectParams(Params):
-    k = Param(Params._dummy(), "k", "number of terms to keep", TypeConverters.toInt)
+    k = Param(Params._dummy(), "k", "number of terms to keep; none keeps all", lambda v: None if v is None else TypeConverters.toInt(v))
     resample = Param(Params._dummy(), "resample", "oversample minority classes in fit", TypeConverters.toBoolean)
     neighbors = Param(Params._dummy(), "neighbors", "neighbours used by oversampling", TypeConverters.toInt)
     seed = Param(Params._dummy(), "seed", "seed", TypeConverters.toInt)
 
     def __init__(self, *args):
         super().__init__(*args)
-        self._setDefault(k=2000, resample=True, neighbors=5, seed=42)
+        self._setDefault(k=SCENARIO_3_TERMS, resample=True, neighbors=5, seed=42)
 
 
 class ResampleSelectClassifier(Estimator, _SelectParams):
     """Oversample → k best terms by chi-square → boosted trees, on rows ``(id, label_idx, weights)``.
 
-    Resampling and selection happen in ``fit`` on the rows given, so cross-validation fits them on
-    the training folds only; the fitted model selects and predicts, and never adds rows.
+    Resampling and selection happen in ``fit`` on the rows given, so a search fits them on the training
+    folds only; the fitted model selects and predicts, and never adds rows.
     """
 
     @keyword_only
-    def __init__(self, *, classifier: GBTClassifier | None = None, idCol: str = "review_id", k: int = 2000, resample: bool = True, neighbors: int = 5, seed: int = 42):
+    def __init__(self, *, classifier: BoostedTrees | None = None, idCol: str = "review_id", k: int | None = SCENARIO_3_TERMS, resample: bool = True, neighbors: int = 5, seed: int = 42):
         super().__init__()
         self.classifier = classifier or boosted_trees(seed=seed)
         self.idCol = idCol
-        self._set(k=k, resample=resample, neighbors=neighbors, seed=seed)
-
-    def copy(self, extra=None):
-        twin = super().copy(extra)
-        twin.classifier = self.classifier.copy(extra)
-        return twin
-
-    def _prepare(self, dataset: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-        """Resampled and selected training vectors, the selected terms, and their number."""
-        k, id_col = self.getOrDefault(self.k), self.idCol
-        rows = dataset.select(id_col, F.col("label_idx").cast("int").alias("label_idx"), "weights")
+        self._set(resample=resample, neighbors=neighbors, seed=seed)
+        self.terms = k  # none is no value that Spark's parameters know
+        if k is not None:
+            self._set(k=k)
+
+    def prepare(self, dataset: DataFrame) -> tuple[DataFrame, list[str] | None]:
+        """Resampled rows with the selected terms only, and these terms (none: all)."""
+        rows = dataset.select(F.col(self.idCol).cast("string").alias("row_id"), F.col("label_idx").cast("int").alias("label_idx"), "weights")
         if self.getOrDefault(self.resample):
-            rows = smote_sparse(rows, "label_idx", id_col, "weights", self.getOrDefault(self.neighbors), self.getOrDefault(self.seed))
-            rows = cut_lineage(rows.withColumnRenamed("row_id", id_col).drop("synthetic"))
-        long = rows.select(id_col, "label_idx", F.inline("weights"))
-        best = select_k_best(chi2_scores(long, rows, id_col, "label_idx"), k)
-        # At most k terms, a number the caller chose for the width of a vector.
-        terms = sorted(r["term"] for r in few_rows(best.select("term"), k, "selected terms"))
-        index = small_table(
-            dataset.sparkSession,
-            [{"term": t, "term_idx": i} for i, t in enumerate(terms)],
-            T.StructType([T.StructField("term", T.StringType()), T.StructField("term_idx", T.IntegerType())]),
-        )
-        vectors = cut_lineage(vectorize(rows, index, len(terms), id_col).select("label_idx", "features"))
-        return _with_label_metadata(vectors), index, len(terms)
-
-    def _train(self, classifier: GBTClassifier, prepared: tuple[DataFrame, DataFrame, int]) -> "ResampleSelectModel":
-        vectors, index, size = prepared
-        trees = OneVsRest(classifier=classifier, featuresCol="features", labelCol="label_idx")
-        return self._copyValues(ResampleSelectModel(trees.fit(vectors), index, size, self.idCol))
+            rows = cut_lineage(smote_sparse(rows, "label_idx", "row_id", "weights", self.getOrDefault(self.neighbors), self.getOrDefault(self.seed)).drop("synthetic"))
+        if self.terms is None:
+            return rows, None
+        rows = cut_lineage(rows) if not self.getOrDefault(self.resample) else rows
+        long = rows.select("row_id", "label_idx", F.inline("weights"))
+        best = select_k_best(chi2_scores(long, rows, "row_id", "label_idx"), self.terms)
+        # At most k terms, a number the caller chose.
+        terms = sorted(r["term"] for r in few_rows(best.select("term"), self.terms, "selected terms"))
+        return rows.withColumn("weights", F.filter("weights", lambda e: e["term"].isin(terms))), terms
 
     def _fit(self, dataset: DataFrame) -> "ResampleSelectModel":
-        return self._train(self.classifier, self._prepare(dataset))
+        rows, terms = self.prepare(dataset)
+        trees = BoostedTrees(self.classifier.settings, "row_id", self.classifier.fit_rows, self.classifier.fit_seed).fit(rows)
+        return self._copyValues(ResampleSelectModel(trees, terms))
 
-    def fitMultiple(self, dataset: DataFrame, paramMaps: Sequence[dict]) -> Iterator[tuple[int, "ResampleSelectModel"]]:
-        """Models for several parameter maps. Resampling and selection do not depend on the trees'
-        parameters, so a grid over these prepares each training fold once."""
-        if any(p.parent == self.uid for m in paramMaps for p in m):
-            return super().fitMultiple(dataset, paramMaps)
-        prepared = self._prepare(dataset)
-        return _Fits(lambda n: self._train(self.classifier.copy(paramMaps[n]), prepared), len(paramMaps))
 
+class ResampleSelectModel(Model, _SelectParams):
+    """Selected terms (none: all) and the fitted trees, which read selected terms only."""
 
-class _Fits:
-    """Iterator over fits that several threads may draw from."""
+    def __init__(self, trees: BoostedTreesModel, terms: Sequence[str] | None):
+        super().__init__()
+        self.trees, self.terms = trees, terms
 
-    def __init__(self, fit: Callable[[int], "ResampleSelectModel"], total: int):
-        self.fit, self.total, self.next_number, self.lock = fit, total, 0, Lock()
+    @property
+    def size(self) -> int | None:
+        return None if self.terms is None else len(self.terms)
 
-    def __iter__(self):
-        return self
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return self.trees.transform(dataset)
 
-    def __next__(self):
-        with self.lock:
-            number = self.next_number
-            if number >= self.total:
-                raise StopIteration
-            self.next_number += 1
-        return number, self.fit(number)
+    def save(self, path: str) -> None:
+        spark = SparkSession.getActiveSession()
+        write_trees(spark, self.trees, path)
+        terms = [{"term": t, "term_idx": i} for i, t in enumerate(self.terms or [])]
+        small_table(spark, terms, T._parse_datatype_string("term string, term_idx int")).write.mode("overwrite").parquet(f"{path}/terms")
+        write_manifest(spark, path, {"kind": "select", "terms": -1 if self.terms is None else len(self.terms)} | tree_facts(self.trees))
 
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "ResampleSelectModel":
+        facts = read_manifest(spark, path, "select")
+        terms = [r["term"] for r in spark.read.parquet(f"{path}/terms").orderBy("term_idx").collect()]
+        if facts["terms"] not in (-1, len(terms)):
+            raise ValueError(f"{path}: {len(terms)} of {facts['terms']} terms")
+        return ResampleSelectModel(read_trees(spark, path, facts), None if facts["terms"] == -1 else terms)
 
-class ResampleSelectModel(Model, _SelectParams):
-    """Selected terms and the fitted trees."""
 
-    def __init__(self, trees: OneVsRestModel, index: DataFrame, size: int, id_col: str):
+def train_baseline(rows: DataFrame, params: Mapping[str, float] | None = None, k: int | None = None, id_col: str = "review_id", seed: int = 42) -> ResampleSelectModel:
+    """Boosted trees on TF-IDF without resampling, on every term unless ``k`` is given."""
+    stage = ResampleSelectClassifier(classifier=boosted_trees(params, seed), idCol=id_col, k=k, resample=False, seed=seed)
+    return stage.fit(rows)
+
+
+# ---------------------------------------------------------------- evaluation and search
+
+
+class MacroF1Evaluator(Evaluator):
+    """Unweighted mean of the per-class F1. (Spark's own "f1" weights by class size.)"""
+
+    def __init__(self, labelCol: str = "label_idx", predictionCol: str = "prediction"):
         super().__init__()
-        self.trees, self.index, self.size, self.id_col = trees, index, size, id_col
+        self.labelCol, self.predictionCol = labelCol, predictionCol
 
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        return self.trees.transform(vectorize(dataset, self.index, self.size, self.id_col))
+    def _evaluate(self, dataset: DataFrame) -> float:
+        pairs = dataset.groupBy(
+            F.col(self.labelCol).cast("int").alias("actual"), F.col(self.predictionCol).cast("int").alias("predicted")
+        ).agg(F.count(F.lit(1)).alias("n"))
+        # The confusion table has one row per pair of classes.
+        cells = few_rows(pairs, MAX_CLASSES, "pairs of classes")
+        return macro_f1({(r["actual"], r["predicted"]): r["n"] for r in cells})
 
-    def save(self, path: str) -> None:
-        self.index.withColumn("size", F.lit(self.size)).withColumn("id_col", F.lit(self.id_col)).write.mode(
-            "overwrite"
-        ).parquet(f"{path}/terms")
-        self.trees.write().overwrite().save(f"{path}/trees")
+    def isLargerBetter(self) -> bool:
+        return True
+
+
+def macro_f1(cells: Mapping[tuple[int, int], int]) -> float:
+    classes = {c for pair in cells for c in pair}
+    scores = []
+    for value in classes:
+        hit = sum(n for (a, p), n in cells.items() if a == p == value)
+        seen = sum(n * ((a == value) + (p == value)) for (a, p), n in cells.items())
+        scores.append(2.0 * hit / seen if seen else 0.0)
+    return sum(scores) / len(scores) if scores else 0.0
 
-    @staticmethod
-    def load(spark: SparkSession, path: str) -> "ResampleSelectModel":
-        terms = spark.read.parquet(f"{path}/terms")
-        head = terms.select("size", "id_col").first()
-        return ResampleSelectModel(OneVsRestModel.load(f"{path}/trees"), terms.select("term", "term_idx"), head["size"], head["id_col"])
 
+def param_grid(stage: BoostedTrees, grid: Mapping[str, Sequence[float]] = GRID) -> list[dict[str, float]]:
+    """All combinations of the grid over the stage's own settings."""
+    return [{**stage.settings, **dict(zip(grid, values))} for values in product(*grid.values())]
 
-def _with_label_metadata(df: DataFrame) -> DataFrame:
-    """Tell one-vs-rest the number of classes, which spares it a pass over the data."""
-    classes = df.agg(F.max("label_idx").alias("m")).first()["m"] + 1
-    meta = {"ml_attr": {"type": "nominal", "num_vals": int(classes)}}
-    return df.withColumn("label_idx", F.col("label_idx").cast("double").alias("label_idx", metadata=meta))
 
+@dataclass
+class Search:
+    """Scores of a grid search, best first, and the model refitted with the best settings."""
 
-def vectorize(rows: DataFrame, index: DataFrame, size: int, id_col: str, out: str = "features") -> DataFrame:
-    """Add the sparse vector of each row's selected terms; rows without any get the zero vector."""
-    entries = (
-        rows.select(id_col, F.inline("weights"))
-        .join(F.broadcast(index), "term")
-        .groupBy(id_col)
-        .agg(F.sort_array(F.collect_list(F.struct(F.col("term_idx").cast("int").alias("i"), F.col("weight").alias("w")))).alias("_e"))
-    )
-    empty = F.array().cast("array<struct<i:int,w:double>>")
-    joined = rows.drop(out).join(entries, id_col, "left")
-    return joined.withColumn(out, vector_from_entries(F.coalesce("_e", empty), size)).drop("_e")
+    scores: list[tuple[float, dict[str, float]]]
+    bestModel: ResampleSelectModel
 
+    @property
+    def best(self) -> dict[str, float]:
+        return self.scores[0][1]
 
-def train_baseline(rows: DataFrame, params: Mapping[str, float] | None = None, k: int = 2000, id_col: str = "review_id", seed: int = 42) -> ResampleSelectModel:
-    """Boosted trees on TF-IDF without resampling.
 
-    The ``k`` best terms become the vector: Spark's trees hold one bin per feature and row, so the
-    number of features has to be bounded. A k above the size of the vocabulary keeps every term.
+def grid_scores(rows: DataFrame, grid: Mapping[str, Sequence[float]], stage: ResampleSelectClassifier, fold: str, folds: int, search_rows: int) -> list[tuple[float, dict[str, float]]]:
+    """(mean macro F1, combination) of every combination, best first; ties keep the grid's order.
+
+    Folds are prepared once each, and the first rounds of a long fit are the short fit, so a combination that differs in
+    its number of rounds only is read off the same trees. Each point and fold is one group of at most
+    ``search_rows`` rows (more after resampling).
     """
-    stage = ResampleSelectClassifier(classifier=boosted_trees(params, seed), idCol=id_col, k=k, resample=False, seed=seed)
-    return stage.fit(rows)
+    sample = cut_lineage(bounded_rows(rows, "label_idx", stage.idCol, search_rows, stage.classifier.fit_seed))
+    if fold not in sample.columns:
+        sample = cut_lineage(stratified_kfold(sample, "label_idx", stage.idCol, folds, out=fold))
+    names = [n for n in grid if n != "n_estimators"]
+    rounds = sorted(int(r) for r in grid.get("n_estimators", [stage.classifier.settings["n_estimators"]]))
+    points = [dict(zip(names, values)) for values in product(*(grid[n] for n in names))]
+    settings = [{**stage.classifier.settings, **p, "n_estimators": rounds[-1]} for p in points]
+    classes = int(sample.agg(F.max("label_idx").alias("m")).first()["m"] or 0) + 1
+    seed, parts = stage.classifier.fit_seed, None
+    for k in range(folds):
+        train, terms = stage.prepare(sample.filter(F.col(fold) != k))
+        train = packed(train, "label_idx", F.col("row_id").alias("_id")).withColumn("_train", F.lit(True))
+        valid = sample.filter(F.col(fold) == k)
+        if terms is not None:
+            valid = valid.withColumn("weights", F.filter("weights", lambda e: e["term"].isin(terms)))  # noqa: B023
+        valid = packed(valid, F.col("label_idx").cast("int").alias("label_idx"), F.col(stage.idCol).cast("string").alias("_id")).withColumn("_train", F.lit(False))
+        both = train.unionByName(valid).withColumn("_fold", F.lit(k))
+        parts = both if parts is None else parts.unionByName(both)
+    parts = cut_lineage(parts)
+
+    def score(key, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.iloc[np.lexsort((frame["_id"].to_numpy().astype(str), frame["label_idx"].to_numpy()))]
+        train, valid = frame[frame["_train"]], frame[~frame["_train"]]
+        trees = boosting.fit(_sparse(train), train["label_idx"].to_numpy(), classes, settings[key[0]], seed)
+        data, actual, found = _sparse(valid), valid["label_idx"].to_numpy(), []
+        for n in rounds:
+            guess = trees.margins(data, n).argmax(axis=1)
+            cells: dict[tuple[int, int], int] = {}
+            for pair in zip(actual.tolist(), guess.tolist()):
+                cells[pair] = cells.get(pair, 0) + 1
+            found.append((key[0], key[1], n, macro_f1(cells)))
+        return pd.DataFrame(found, columns=["point", "fold", "rounds", "macro_f1"])
+
+    every = parts.withColumn("_point", F.explode(F.sequence(F.lit(0), F.lit(len(points) - 1))))
+    # As many partitions as groups: each is the work of minutes.
+    spread = every.repartition(len(points) * folds, "_point", "_fold")
+    scored = spread.groupBy("_point", "_fold").applyInPandas(score, "point int, fold int, rounds int, macro_f1 double")
+    means = {(r["point"], r["rounds"]): r["m"] for r in scored.groupBy("point", "rounds").agg(F.avg("macro_f1").alias("m")).collect()}
+    place = {tuple(p.items()): i for i, p in enumerate(points)}
+    found = []
+    for combination in param_grid(stage.classifier, grid):
+        own = {n: combination[n] for n in grid}
+        score_ = means[place[tuple((n, own[n]) for n in names)], int(combination["n_estimators"])]
+        found.append((float(score_), own))
+    return sorted(found, key=lambda s: -round(s[0], 9))
 
 
 def grid_search(
@@ -238,29 +333,144 @@ def grid_search(
     fold: str = "fold",
     folds: int = 3,
     estimator: ResampleSelectClassifier | None = None,
-    parallelism: int = 4,
-) -> CrossValidatorModel:
-    """Cross-validated search by macro F1 over folds given in a column; refits the best on all rows."""
-    stage = estimator or ResampleSelectClassifier(resample=False)
-    search = CrossValidator(
-        estimator=stage,
-        estimatorParamMaps=param_grid(stage.classifier, grid),
-        evaluator=MacroF1Evaluator(),
-        numFolds=folds,
-        foldCol=fold,
-        parallelism=parallelism,
-    )
-    return search.fit(rows)
-
-
-def best_params(spark: SparkSession, search: CrossValidatorModel) -> DataFrame:
+    search_rows: int = SEARCH_ROWS,
+) -> Search:
+    """Cross-validated search by macro F1, and the best settings fitted on all rows (within ``FIT_ROWS``)."""
+    stage = estimator or ResampleSelectClassifier(k=None, resample=False)
+    scores = grid_scores(rows, grid, stage, fold, folds, search_rows)
+    own = stage.classifier
+    stage.classifier = BoostedTrees({**own.settings, **scores[0][1]}, own.id_col, own.fit_rows, own.fit_seed)
+    return Search(scores, stage.fit(rows))
+
+
+def best_params(spark: SparkSession, search: Search) -> DataFrame:
     """One row per combination: its parameters, mean macro F1, and rank."""
-    rows = []
-    for params, score in zip(search.getEstimatorParamMaps(), search.avgMetrics):
-        settings = {p.name: str(v) for p, v in params.items()}
-        rows.append((float(score), settings))
-    rows.sort(key=lambda r: -r[0])
-    return spark.createDataFrame(
-        [(rank, score, settings) for rank, (score, settings) in enumerate(rows, 1)],
-        "rank int, macro_f1 double, params map<string,string>",
-    )
+    rows = [{"rank": i, "macro_f1": s, "params": [(n, str(v)) for n, v in p.items()]} for i, (s, p) in enumerate(search.scores, 1)]
+    return small_table(spark, rows, T._parse_datatype_string("rank int, macro_f1 double, params map<string,string>"))
+
+
+# ---------------------------------------------------------------- one artefact for serving
+
+
+class SentimentModel(Model, MLWritable, MLReadable):
+    """Raw text → label and confidence: idf table, label map and trees in one stage.
+
+    It is written and read as a whole: the manifest comes last and counts the parts, and a model with a missing or
+    incomplete part does not load. The vocabulary may be of any size: tokens meet their idf by the join that splits
+    frequent terms from rare ones.
+    """
+
+    def __init__(self, idf: DataFrame, labels: Sequence[str], trees: BoostedTreesModel, id_col: str = "review_id", text: str = "review", out: str = "predicted"):
+        super().__init__()
+        self.idf, self.labels, self.trees = idf, list(labels), trees
+        self.id_col, self.text, self.out = id_col, text, out
+
+    def score(self, reviews: DataFrame) -> DataFrame:
+        """id, label, confidence of every row; ids are unique. Texts are not shuffled, only terms are."""
+        prepared = reviews.select(self.id_col, preprocess_serve(self.text).alias("_prepared"))
+        counts = term_counts(prepared, self.id_col, "_prepared")
+        weighted = tfidf_weights(counts, self.idf)
+        entry = F.struct("term", "weight")
+        used = self._used(reviews.sparkSession)
+        if used is not None:
+            marked = weighted.join(used, F.xxhash64("term") == F.col("_name"), "left")
+            entry = F.when(F.col("_name").isNotNull(), entry)  # the norm needs all terms, the trees need theirs
+        else:
+            marked = weighted
+        packed_ = marked.groupBy(self.id_col).agg(F.sort_array(F.collect_list(entry)).alias("_e"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm"))
+        ids = reviews.select(self.id_col)
+        rows = ids.join(packed_, self.id_col, "left")
+        unit = F.transform("_e", lambda e: F.struct(e["term"].alias("term"), (e["weight"] / F.col("_norm")).alias("weight")))
+        none = F.array().cast("array<struct<term:string,weight:double>>")
+        scored = self.trees.transform(rows.select(self.id_col, F.coalesce(unit, none).alias("weights")))
+        label = F.element_at(F.lit(self.labels), F.col("prediction").cast("int") + 1)
+        return scored.select(self.id_col, label.alias(self.out), "confidence")
+
+    def _used(self, spark: SparkSession) -> DataFrame | None:
+        names = [{"_name": int(n)} for n in self.trees.trees.used()]  # at most a name per node
+        return F.broadcast(small_table(spark, names, T._parse_datatype_string("_name long")))
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return dataset.join(self.score(dataset), self.id_col)
+
+    def write(self) -> MLWriter:
+        return _SentimentWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _SentimentReader()
+
+
+class _SentimentWriter(MLWriter):
+    def __init__(self, model: SentimentModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        model, spark = self.model, self.model.idf.sparkSession
+        model.idf.select("term", "df", "idf").write.parquet(f"{path}/idf")
+        labels = [{"label": v, "label_idx": i} for i, v in enumerate(model.labels)]
+        small_table(spark, labels, T._parse_datatype_string("label string, label_idx int")).write.parquet(f"{path}/labels")
+        write_trees(spark, model.trees, path)
+        facts = {"kind": "sentiment", "terms": spark.read.parquet(f"{path}/idf").count(), "labels": len(labels), "id_col": model.id_col, "text": model.text, "out": model.out}
+        write_manifest(spark, path, facts | tree_facts(model.trees))
+
+
+class _SentimentReader(MLReader):
+    def load(self, path: str) -> SentimentModel:
+        spark = self.sparkSession
+        facts = read_manifest(spark, path, "sentiment")
+        try:
+            idf = spark.read.parquet(f"{path}/idf")
+            labels = [r["label"] for r in spark.read.parquet(f"{path}/labels").orderBy("label_idx").collect()]
+            counted = idf.count()
+        except Exception as error:
+            raise ValueError(f"{path}: a part of the model is missing") from error
+        if counted != facts["terms"] or len(labels) != facts["labels"]:
+            raise ValueError(f"{path}: {counted} of {facts['terms']} terms, {len(labels)} of {facts['labels']} labels")
+        return SentimentModel(idf, labels, read_trees(spark, path, facts), facts["id_col"], facts["text"], facts["out"])
+
+
+FACTS = "kind string, terms long, labels int, nodes long, trees int, classes int, rounds int, id_col string, text string, out string"
+
+
+def tree_facts(model: BoostedTreesModel) -> dict:
+    t = model.trees
+    return {"nodes": len(t.left), "trees": len(t.tree), "classes": t.classes, "rounds": t.rounds}
+
+
+def write_trees(spark: SparkSession, model: BoostedTreesModel, path: str) -> None:
+    model.node_table(spark).write.mode("overwrite").parquet(f"{path}/trees")
+
+
+def read_trees(spark: SparkSession, path: str, facts: Mapping) -> BoostedTreesModel:
+    try:
+        nodes = spark.read.parquet(f"{path}/trees").limit(MAX_NODES + 1).toPandas().sort_values("node")
+    except Exception as error:
+        raise ValueError(f"{path}: the trees are missing") from error
+    if len(nodes) != facts["nodes"] or nodes["tree"].nunique() != facts["trees"]:
+        raise ValueError(f"{path}: {len(nodes)} of {facts['nodes']} nodes")
+    return BoostedTreesModel(_trees_of(nodes, facts["classes"], facts["rounds"], nodes.groupby("tree")["node"].min().sort_index().tolist()))
+
+
+def write_manifest(spark: SparkSession, path: str, facts: Mapping) -> None:
+    """The last part: a model without it was not written to the end."""
+    schema = T._parse_datatype_string(FACTS)
+    small_table(spark, [{n: facts.get(n) for n in schema.names}], schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+
+
+def read_manifest(spark: SparkSession, path: str, kind: str) -> dict:
+    try:
+        facts = spark.read.parquet(f"{path}/manifest").first().asDict()
+    except Exception as error:
+        raise FileNotFoundError(f"no whole model under {path}") from error
+    if facts["kind"] != kind:
+        raise ValueError(f"{path} holds a model of kind {facts['kind']}")
+    return facts
+
+
+def fit_sentiment(train: DataFrame, label_map: DataFrame, idf: DataFrame, stage: ResampleSelectClassifier, text: str = "review", out: str = "predicted") -> SentimentModel:
+    """The artefact of a stage fitted on training rows ``(id, label_idx, weights)`` and their idf."""
+    fitted = stage.fit(train)
+    labels = [r["label"] for r in few_rows(label_map.orderBy("label_idx"), MAX_CLASSES, "labels")]
+    return SentimentModel(idf, labels, fitted.trees, stage.idCol, text, out)

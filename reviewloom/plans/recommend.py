@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewloom.constants import ASPECT_KEYWORDS, POSITIVE
+from reviewloom.functions.text import preprocess_serve
 from reviewloom.operators.aspects import Lexicon, aspect_tag, product_results, product_sums
+from reviewloom.operators.models import SentimentModel
 from reviewloom.operators.ranking import bucketed_row_number
 from reviewloom.operators.store import metric_rows
 
@@ -35,6 +37,19 @@ def review_scoring(
     )
 
 
+def label_reviews(reviews: DataFrame, model: SentimentModel, text: str = "review") -> DataFrame:
+    """Add the model's label and confidence to every review, from its raw text."""
+    return reviews.join(model.score(reviews.withColumnRenamed(text, model.text)), model.id_col)
+
+
+def score_raw_reviews(reviews: DataFrame, model: SentimentModel, text: str = "review", lexicon: Lexicon = ASPECT_KEYWORDS) -> DataFrame:
+    """Stored form of each review from its raw text: the model's label and confidence, and the keywords found in the
+    raw or the prepared text."""
+    rows = reviews.withColumn("_ready", preprocess_serve(text))
+    tagged = review_scoring(label_reviews(rows, model, text), text, model.out, lexicon, "_ready", "confidence")
+    return tagged.drop("_ready")
+
+
 def score_products(
     reviews: DataFrame,
     by: Sequence[str],
@@ -42,10 +57,18 @@ def score_products(
     sentiment: str = "sentiment",
     lexicon: Lexicon = ASPECT_KEYWORDS,
     prepared: str | None = None,
+    model: SentimentModel | None = None,
 ) -> DataFrame:
-    """One result row per product: a narrow pass over the reviews and one shuffle of sums."""
-    tagged = aspect_tag(reviews, text, lexicon, prepared)
-    return product_results(product_sums(tagged, by, lexicon, sentiment), by)
+    """One result row per product: a narrow pass over the reviews and one shuffle of sums.
+
+    With a ``model`` the sentiment is its label for the raw text, and keywords are searched in the raw and the
+    prepared text. Texts stay where they are: the label joins rows of ids and aspects.
+    """
+    if model is None:
+        return product_results(product_sums(aspect_tag(reviews, text, lexicon, prepared), by, lexicon, sentiment), by)
+    tagged = aspect_tag(reviews.withColumn("_ready", preprocess_serve(text)), text, lexicon, "_ready").select(model.id_col, *by, "aspects")
+    labelled = tagged.join(model.score(reviews.withColumnRenamed(text, model.text)), model.id_col)
+    return product_results(product_sums(labelled, by, lexicon, model.out), by)
 
 
 def product_metrics(results: DataFrame, analysis_id: str, model_name: str) -> DataFrame:
@@ -80,14 +103,17 @@ def recommend(
     text: str = "review",
     sentiment: str = "sentiment",
     prepared: str | None = None,
+    model: SentimentModel | None = None,
 ) -> DataFrame:
     """Result of every candidate with reviews, its rank, and its request's winner.
 
+    With a ``model`` the reviews are raw text and unique ids; without one they carry a ``sentiment``.
+
     ``candidates`` is ``(request_id, candidate_order, name, url)``; ``reviews`` carries
     ``request_id`` and ``url``. Candidates without reviews are left out; a request none of whose
     candidates has reviews has no rows.
     """
-    results = score_products(reviews, ["request_id", "url"], text, sentiment, lexicon, prepared)
+    results = score_products(reviews, ["request_id", "url"], text, sentiment, lexicon, prepared, model)
     ranked = rank_products(candidates.join(results, ["request_id", "url"]), "request_id", "candidate_order")
     whole = Window.partitionBy("request_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return ranked.withColumn("winning_product", F.first("name").over(whole))

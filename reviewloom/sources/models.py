@@ -1,19 +1,14 @@
-"""Persistence of fitted pipelines."""
+"""Persistence of the serving artefact."""
 
 from __future__ import annotations
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException
-from pyspark.ml import PipelineModel
+from reviewloom.operators.models import SentimentModel
 
 
-def save_model(model: PipelineModel, path: str) -> None:
+def save_model(model: SentimentModel, path: str) -> None:
     model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> PipelineModel:
-    """Load a fitted pipeline; a missing model is an error at once, not at first use."""
-    try:
-        return PipelineModel.load(path)
-    except (AnalysisException, Py4JJavaError) as error:
-        raise FileNotFoundError(f"no model under {path}") from error
+def load_model(path: str) -> SentimentModel:
+    """Load a fitted model as a whole; a missing or incomplete one is an error at once, not at first use."""
+    return SentimentModel.load(path)

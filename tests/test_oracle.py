@@ -13,7 +13,6 @@ from reviewloom.workload import oracles as oracle_sql  # noqa: E402
 from reviewloom.workload import queries  # noqa: E402
 
 EXACT = sorted(oracle_sql())
-SLOW = {"grid_search", "best_params"}
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +32,7 @@ def test_matches_oracle(spark, sf_dir, duck, name):
         assert check.SAME.get(kind, types[column]) == types[column], column
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - set(EXACT) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(queries()) - set(EXACT)))
 def test_runs(spark, sf_dir, name):
     assert queries()[name](spark, sf_dir).count() > 0
 

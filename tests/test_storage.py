@@ -96,7 +96,7 @@ def test_transform_never_resamples_and_models_reload(spark, tmp_path):
     assert out.count() == 60 and model.size == 8
     right = out.filter(F.col("prediction") == F.col("label_idx")).count()
     assert right >= 55
-    confidence = out.select(M.predict_confidence(F.col("rawPrediction")).alias("c")).agg(F.min("c"), F.max("c")).first()
+    confidence = out.select(M.predict_confidence(F.col("probability")).alias("c")).agg(F.min("c"), F.max("c")).first()
     assert 1 / 3 <= confidence[0] <= confidence[1] <= 1
     model.save(str(tmp_path / "m"))
     again = M.ResampleSelectModel.load(spark, str(tmp_path / "m")).transform(df)
