@@ -22,19 +22,21 @@ from reviewloom.constants import (
 )
 from reviewloom.functions.arrays import unfold
 from reviewloom.functions.html import (
+    attribute,
+    child_count,
     compact_text,
     contains_any,
+    contents,
     decode_entities,
     drop_noise,
-    elements,
     first_match,
     first_text,
-    inner_text,
     let,
+    texts_of,
+    tree,
 )
 from reviewloom.functions.text import clean_text
 
-CARD = 'data-testid="reviewCard"'
 
 
 # --- links ------------------------------------------------------------------------------------
@@ -67,54 +69,6 @@ def distinct_urls(links: DataFrame, url: str = "url") -> DataFrame:
 
 
 # --- review containers ------------------------------------------------------------------------
-def _cards(html: Column) -> Column:
-    """Contents of review cards. A card may hold nested divs: its end is the closing tag that brings
-    the count of open divs back to zero."""
-    pieces = F.split(html, rf"(?=<(?i:div)\b[^>]*{CARD})", -1)
-    starts = F.filter(pieces, lambda p: F.rlike(p, F.lit(rf"^<(?i:div)\b[^>]*{CARD}")))
-
-    def balance(piece: Column) -> Column:
-        """Closing tags up to the one that ends the card; 0 when the card is never closed."""
-        zero = F.struct(F.lit(0).alias("open"), F.lit(0).alias("closed"), F.lit(False).alias("done"))
-
-        def step(acc: Column, mark: Column) -> Column:
-            closes = (mark == "/").cast("int")
-            now = acc["open"] + 1 - 2 * closes
-            after = F.struct(now.alias("open"), (acc["closed"] + closes).alias("closed"), (now == 0).alias("done"))
-            return F.when(acc["done"], acc).otherwise(after)
-
-        marks = F.regexp_extract_all(piece, F.lit(r"(?i)<(/?)div\b"), F.lit(1))
-        return F.aggregate(marks, zero, step, lambda end: F.when(end["done"], end["closed"]).otherwise(0))
-
-    def cut(piece: Column) -> Column:
-        whole = F.regexp_replace(piece, r"(?i)</div\s*>", "</div>")
-        parts = F.split(whole, "</div>", -1)
-        upto = let(
-            balance(piece), lambda n: F.when(n > 0, F.array_join(F.slice(parts, F.lit(1), n), "</div>")).otherwise(piece)
-        )
-        return F.regexp_replace(upto, r"(?is)^<div\b[^>]*>", "")
-
-    return F.when(page_has_card(html), F.transform(starts, cut)).otherwise(F.array().cast("array<string>"))
-
-
-def page_has_card(html: Column) -> Column:
-    return html.contains(CARD)
-
-
-def _leaf_divs(html: Column) -> Column:
-    """Contents of divs that hold no other div."""
-    pieces = F.split(html, r"(?i)<div\b", -1)
-    closed = F.filter(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: F.lower(p).contains("</div"))
-    return F.transform(closed, lambda p: F.regexp_extract(p, r"(?is)^[^>]*>(.*?)</div", 1))
-
-
-def _child_count(html: Column) -> Column:
-    """Children of a flat fragment: its elements and the non-empty text runs around them."""
-    opened = F.size(F.regexp_extract_all(html, F.lit(r"(<[A-Za-z])"), F.lit(1)))
-    outside = F.split(F.regexp_replace(html, r"(?is)<([a-z][a-z0-9]*)\b[^>]*>[^<]*</\1\s*>", "\u0000"), "\u0000|<[^>]*>", -1)
-    return opened + F.size(F.filter(outside, lambda r: r != ""))
-
-
 def select_review_containers(
     pages: DataFrame,
     html: str = "html",
@@ -126,33 +80,34 @@ def select_review_containers(
     variant: str = "new",
 ) -> DataFrame:
     """Review containers of each page by the first strategy that finds any: review cards; articles
-    that look like reviews; innermost divs that look like reviews. ``variant='old'`` falls back from
-    cards to all articles. All bounds are exclusive. Returns ``(*keep, strategy, container_no, container)``.
+    that look like reviews; divs that look like reviews, nested ones each for itself. ``variant='old'`` falls back
+    from cards to all articles. All bounds are exclusive. Returns ``(*keep, strategy, container_no, container)``.
     """
-    page = F.col("_page")
+    page, elements = F.col("_page"), F.col("_tree")
     base = pages.select(*keep, drop_noise(F.col(html)).alias("_page"))
+    base = base.withColumn("_tree", tree(page))
 
     def fits(text: Column, bounds: tuple[int, int]) -> Column:
         return (F.length(text) > bounds[0]) & (F.length(text) < bounds[1]) & contains_any(text, markers)
 
-    def with_text(fragments: Column) -> Column:
-        return F.transform(fragments, lambda f: F.struct(f.alias("html"), compact_text(f).alias("text")))
-
-    def html_of(boxes: Column) -> Column:
-        return F.transform(boxes, lambda b: b["html"])
+    def boxes(condition) -> Column:
+        return F.transform(F.filter(elements, condition), lambda e: contents(page, e))
 
-    base = base.withColumn("_cards", _cards(page))
+    cards = boxes(lambda e: (e["tag"] == "div") & (attribute(e, "data-testid") == "reviewCard"))
+    base = base.withColumn("_cards", F.when(page.contains("reviewCard"), cards).otherwise(F.array().cast("array<string>")))
     no_cards = F.size("_cards") == 0
+    articles = boxes(lambda e: e["tag"] == "article")
     if variant == "old":
-        base = base.withColumn("_articles", F.when(no_cards, elements(page, "article")))
+        base = base.withColumn("_articles", F.when(no_cards, articles))
         options = [("card", F.col("_cards")), ("article", F.col("_articles"))]
     else:
         lo, hi = child_bounds
-        articles = F.filter(with_text(elements(page, "article")), lambda b: fits(b["text"], article_bounds))
-        base = base.withColumn("_articles", F.when(no_cards, html_of(articles)))
-        few_children = lambda b: let(_child_count(b["html"]), lambda n: (n > lo) & (n < hi))
-        divs = F.filter(with_text(_leaf_divs(page)), lambda b: fits(b["text"], div_bounds) & few_children(b))
-        base = base.withColumn("_divs", F.when(F.size("_articles") == 0, html_of(divs)))
+        base = base.withColumn("_articles", F.when(no_cards, F.filter(articles, lambda a: fits(compact_text(a), article_bounds))))
+        # The text decides first, so children are counted for few.
+        numbered = F.transform(elements, lambda e, i: F.struct(i.alias("i"), e.alias("e")))
+        likely = F.filter(numbered, lambda x: (x["e"]["tag"] == "div") & fits(compact_text(contents(page, x["e"])), div_bounds))
+        divs = F.filter(likely, lambda x: let(child_count(elements, x["i"]), lambda n: (n > lo) & (n < hi)))
+        base = base.withColumn("_divs", F.when(F.size("_articles") == 0, F.transform(divs, lambda x: contents(page, x["e"]))))
         options = [("card", F.col("_cards")), ("article", F.col("_articles")), ("div", F.col("_divs"))]
     strategy, chosen = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
     for name, found in reversed(options):
@@ -163,69 +118,85 @@ def select_review_containers(
 
 
 # --- fields of one container ------------------------------------------------------------------
-def extract_username(container: Column, banned: Sequence[str] = tuple(NOT_USERNAME), variant: str = "new") -> Column:
-    named = first_text(container, "span", 'data-testid="proName"')
-    if variant == "old":
-        fallback = first_text(container, "span", r"""class=["'][^"']*name[^"']*["']""")
-    else:
-        fallback = first_match(
-            F.transform(elements(container, "span"), inner_text),
-            lambda t: (F.length(t) > 3) & (F.length(t) < 50) & ~contains_any(t, banned),
-        )
-    return F.coalesce(named, fallback, F.lit("Anonymous"))
+def _with_tree(container: Column, elements: Column | None, body) -> Column:
+    """``body`` of the container's elements, which are read here unless they are given."""
+    return body(elements) if elements is not None else let(tree(container), body)
+
+
+def _is(tag: str, attr: str | None = None, value: str | None = None):
+    return lambda e: (e["tag"] == tag) & (F.coalesce(attribute(e, attr) == value, F.lit(False)) if attr else F.lit(True))
+
+
+def extract_username(container: Column, banned: Sequence[str] = tuple(NOT_USERNAME), variant: str = "new", elements: Column | None = None) -> Column:
+    def of(found: Column) -> Column:
+        named = first_text(container, found, _is("span", "data-testid", "proName"))
+        if variant == "old":
+            fallback = first_text(container, found, lambda e: (e["tag"] == "span") & F.coalesce(attribute(e, "class").contains("name") | attribute(e, "class").contains("Name"), F.lit(False)))
+        else:
+            plain = lambda t: (F.length(t) > 3) & (F.length(t) < 50) & ~contains_any(t, banned)
+            fallback = first_match(texts_of(container, found, _is("span")), plain)
+        return F.coalesce(named, fallback, F.lit("Anonymous"))
+
+    return _with_tree(container, elements, of)
 
 
-def extract_rating(container: Column, word: str = RATING_WORD, variant: str = "new", default: str = "5") -> Column:
+def extract_rating(container: Column, word: str = RATING_WORD, variant: str = "new", default: str = "5", elements: Column | None = None) -> Column:
     """Rating as a string digit. Without a usable label it is ``default``, see :func:`rating_defaulted`."""
-    return F.coalesce(_rating(container, word, variant), F.lit(default))
+    return F.coalesce(_rating(container, word, variant, elements), F.lit(default))
 
 
-def rating_defaulted(container: Column, word: str = RATING_WORD, variant: str = "new") -> Column:
+def rating_defaulted(container: Column, word: str = RATING_WORD, variant: str = "new", elements: Column | None = None) -> Column:
     """True where the page states no rating, so that the default cannot pass for a real one."""
-    return _rating(container, word, variant).isNull()
+    return _rating(container, word, variant, elements).isNull()
 
 
-def _rating(container: Column, word: str, variant: str) -> Column:
-    icon = F.regexp_extract(container, r"""(?is)<div\b[^>]*data-testid="icnStarRating"[^>]*>""", 0)
-    icon_label = F.regexp_extract(icon, r"""(?i)\baria-label=["']([^"']*)["']""", 1)
-    if variant == "old":
-        return F.nullif(F.get(F.split(icon_label, " ", -1), F.lit(1)), F.lit(""))
-    label = F.regexp_extract(container, rf"""(?i)\baria-label=["']([^"']*{word}[^"']*)["']""", 1)
-    used = F.when(label != "", label).otherwise(icon_label)
-    return F.nullif(F.regexp_extract(used, r"(\p{Nd})", 1), F.lit(""))
+def _rating(container: Column, word: str, variant: str, elements: Column | None) -> Column:
+    def of(found: Column) -> Column:
+        icons = F.filter(found, _is("div", "data-testid", "icnStarRating"))
+        icon = let(F.get(icons, F.lit(0)), lambda e: F.when(e.isNotNull(), attribute(e, "aria-label")))
+        if variant == "old":
+            return F.nullif(F.get(F.split(icon, " ", -1), F.lit(1)), F.lit(""))
+        labels = F.transform(F.filter(found, lambda e: F.lower(e["attrs"]).contains("aria-label")), lambda e: attribute(e, "aria-label"))
+        label = F.get(F.filter(labels, lambda v: F.coalesce(F.lower(v).contains(word), F.lit(False))), F.lit(0))
+        return F.nullif(F.regexp_extract(F.coalesce(label, icon), r"(\p{Nd})", 1), F.lit(""))
 
+    return _with_tree(container, elements, of)
 
-def extract_review_text(container: Column, banned: Sequence[str] = tuple(NOT_REVIEW_TEXT), variant: str = "new") -> Column:
-    """Review text, empty string when none is found."""
-    item = F.nullif(first_text(container, "span", 'data-testid="lblItemUlasan"'), F.lit(""))
-    spans = F.transform(elements(container, "span"), inner_text)
-    paragraphs = F.transform(elements(container, "p"), inner_text)
-    if variant == "old":
-        options = [
-            item,
-            F.nullif(first_text(container, "span", 'data-testid=""'), F.lit("")),
-            first_match(paragraphs, lambda t: (F.length(t) > 10) & ~t.contains(DATE_MARKERS[0])),
-        ]
-    else:
-        sized = lambda t: (F.length(t) > 20) & (F.length(t) < 2000)
-        options = [
-            item,
-            first_match(spans, lambda t: sized(t) & ~contains_any(t, banned)),
-            first_match(paragraphs, lambda t: sized(t) & ~t.contains(DATE_MARKERS[0])),
-        ]
-    return F.coalesce(*options, F.lit(""))
 
+def extract_review_text(container: Column, banned: Sequence[str] = tuple(NOT_REVIEW_TEXT), variant: str = "new", elements: Column | None = None) -> Column:
+    """Review text, empty string when none is found."""
 
-def extract_date_text(container: Column, words: Sequence[str] = tuple(DATE_WORDS), variant: str = "new") -> Column:
-    if variant == "old":
-        found = F.coalesce(
-            first_text(container, "p", r"""class=["'][^"']*(?:timestamp|date)[^"']*["']"""),
-            first_match(F.transform(elements(container, "p"), inner_text), lambda t: contains_any(t, DATE_MARKERS)),
-        )
-    else:
-        texts = F.transform(elements(container, "p,span,div"), inner_text)
-        found = first_match(texts, lambda t: (F.length(t) < 50) & contains_any(t, words))
-    return F.coalesce(found, F.lit("Unknown"))
+    def of(found: Column) -> Column:
+        item = F.nullif(first_text(container, found, _is("span", "data-testid", "lblItemUlasan")), F.lit(""))
+        if variant == "old":
+            options = [
+                item,
+                F.nullif(first_text(container, found, lambda e: (e["tag"] == "span") & e["attrs"].rlike(r"""(?i)\bdata-testid\s*=\s*(""|'')""")), F.lit("")),
+                first_match(texts_of(container, found, _is("p")), lambda t: (F.length(t) > 10) & ~t.contains(DATE_MARKERS[0])),
+            ]
+        else:
+            sized = lambda t: (F.length(t) > 20) & (F.length(t) < 2000)
+            options = [
+                item,
+                first_match(texts_of(container, found, _is("span")), lambda t: sized(t) & ~contains_any(t, banned)),
+                first_match(texts_of(container, found, _is("p")), lambda t: sized(t) & ~t.contains(DATE_MARKERS[0])),
+            ]
+        return F.coalesce(*options, F.lit(""))
+
+    return _with_tree(container, elements, of)
+
+
+def extract_date_text(container: Column, words: Sequence[str] = tuple(DATE_WORDS), variant: str = "new", elements: Column | None = None) -> Column:
+    def of(found: Column) -> Column:
+        if variant == "old":
+            stamped = lambda e: (e["tag"] == "p") & F.coalesce(attribute(e, "class").rlike("timestamp|date"), F.lit(False))
+            date = F.coalesce(first_text(container, found, stamped), first_match(texts_of(container, found, _is("p")), lambda t: contains_any(t, DATE_MARKERS)))
+        else:
+            texts = texts_of(container, found, lambda e: e["tag"].isin("p", "span", "div"))
+            date = first_match(texts, lambda t: (F.length(t) < 50) & contains_any(t, words))
+        return F.coalesce(date, F.lit("Unknown"))
+
+    return _with_tree(container, elements, of)
 
 
 def validate_review(df: DataFrame, review: str = "Review", min_len: int = 10) -> DataFrame:
@@ -245,18 +216,18 @@ def extract_reviews(
     containers: DataFrame, keep: Sequence[str] = ("page_id", "container_no"), variant: str = "new", min_len: int = 10
 ) -> DataFrame:
     """The review record of each container, without those that hold no review text."""
-    box = F.col("container")
+    box, found = F.col("container"), F.col("_tree")  # the elements are read once
     record = F.struct(
         F.col("url").alias("Source_URL"),
-        extract_username(box, variant=variant).alias("Username"),
-        extract_review_text(box, variant=variant).alias("Review"),
-        extract_rating(box, variant=variant).alias("Rating"),
-        rating_defaulted(box, variant=variant).alias("rating_defaulted"),
-        extract_date_text(box, variant=variant).alias("Date"),
+        extract_username(box, variant=variant, elements=found).alias("Username"),
+        extract_review_text(box, variant=variant, elements=found).alias("Review"),
+        extract_rating(box, variant=variant, elements=found).alias("Rating"),
+        rating_defaulted(box, variant=variant, elements=found).alias("rating_defaulted"),
+        extract_date_text(box, variant=variant, elements=found).alias("Date"),
     )
     # Unfolding a one-element array keeps the filter behind the extraction: pushed below it, the
     # filter would extract every text a second time.
-    rows = containers.select(*keep, F.inline(F.array(record)))
+    rows = containers.withColumn("_tree", tree(box)).select(*keep, F.inline(F.array(record)))
     return validate_review(rows, min_len=min_len if variant == "new" else 1).withColumn(
         "Cleaned_Review", clean_text("Review")
     )

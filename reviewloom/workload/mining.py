@@ -156,11 +156,12 @@ def compact(expr: str) -> str:
 QUIET = r"regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '', 'g')"
 CARD_START = '<div data-testid="reviewCard">'
 LEAVES = "list_transform(list_filter(string_split(h, '<div')[2:], lambda p: contains(p, '</div')), lambda p: regexp_extract(p, '(?s)^[^>]*>(.*?)</div', 1))"
+CHILDREN = r"(len(regexp_extract_all(v, '<[A-Za-z]')) + len(list_filter(string_split_regex(v, '<[A-Za-z][^>]*>[^<]*</[^>]*>|<[^>]*>'), lambda r: r <> '')))"
 BOXES = rf"""quiet AS (SELECT page_id, url, {QUIET} AS h FROM captured),
 found AS (SELECT page_id, url,
   list_transform(string_split(h, '{CARD_START}')[2:], lambda p: regexp_replace(p, '(?s)</div>(</body></html>)?$', '')) AS cards,
   list_filter(regexp_extract_all(h, '(?is)<article\b[^>]*>(.*?)</article\s*>', 1), lambda a: length({compact('a')}) > 50 AND length({compact('a')}) < 3000 AND {has_any(compact('a'), MARKERS)}) AS articles,
-  list_filter({LEAVES}, lambda v: length({compact('v')}) > 50 AND length({compact('v')}) < 2000 AND {has_any(compact('v'), MARKERS)}) AS divs FROM quiet),
+  list_filter({LEAVES}, lambda v: length({compact('v')}) > 50 AND length({compact('v')}) < 2000 AND {has_any(compact('v'), MARKERS)} AND {CHILDREN} > 3 AND {CHILDREN} < 30) AS divs FROM quiet),
 chosen AS (SELECT page_id, url, CASE WHEN len(cards) > 0 THEN 'card' WHEN len(articles) > 0 THEN 'article' WHEN len(divs) > 0 THEN 'div' END AS strategy,
   CASE WHEN len(cards) > 0 THEN cards WHEN len(articles) > 0 THEN articles ELSE divs END AS c FROM found),
 boxes AS (SELECT page_id, url, strategy, unnest(range(len(c))) AS container_no, unnest(c) AS container FROM chosen)"""
@@ -168,7 +169,7 @@ PAGES_BOXES = f"WITH {DUCK_PAGES}, {BOXES}"
 
 
 def containers(spark, d):
-    return X.select_review_containers(captured_pages(spark, d), markers=MARKERS, child_bounds=(0, 30))
+    return X.select_review_containers(captured_pages(spark, d), markers=MARKERS)
 
 
 @query("select_review_containers", f"{PAGES_BOXES} SELECT page_id, strategy, CAST(container_no AS INT) AS container_no, md5(container) AS container_md5 FROM boxes", C)
@@ -188,13 +189,19 @@ def first(tag: str, attr: str) -> str:
     return rf"list_transform(regexp_extract_all(container, '(?is)<(?:{tag})\b[^>]*{attr}[^>]*>(.*?)</(?:{tag})\s*>', 1), lambda x: {inner('x')})[1]"
 
 
+# Paragraphs with all that they hold: one ends where as many have been closed as opened, or with its container.
+P_TAG = r"(?i)</?p\b[^>]*>"
+P_SIGNS = f"list_transform(regexp_extract_all(container, '{P_TAG}'), lambda t: CASE WHEN starts_with(t, '</') THEN -1 ELSE 1 END)"
+P_PIECES = f"string_split_regex(container, '{P_TAG}')"
+P_END = f"coalesce(list_filter(range(i, len({P_SIGNS}) + 1), lambda j: list_sum(({P_SIGNS})[i:j]) = 0)[1], len({P_PIECES}))"
+WHOLE_P = f"""list_transform(list_filter(range(1, len({P_SIGNS}) + 1), lambda i: ({P_SIGNS})[i] = 1), lambda i: {inner(f"array_to_string(({P_PIECES})[i + 1:{P_END}], '')")})"""
 NAME_SQL = f"coalesce({first('span', 'data-testid=\"proName\"')}, list_filter({texts('span')}, lambda t: length(t) > 3 AND length(t) < 50 AND NOT {has_any('t', NOT_USERNAME)})[1], 'Anonymous')"
 LABEL_SQL = r"""coalesce(nullif(regexp_extract(container, '(?i)\baria-label="([^"]*bintang[^"]*)"', 1), ''),
   regexp_extract(regexp_extract(container, '(?is)<div\b[^>]*data-testid="icnStarRating"[^>]*>', 0), '(?i)\baria-label="([^"]*)"', 1))"""
 DIGIT_SQL = rf"nullif(regexp_extract({LABEL_SQL}, '(\p{{Nd}})', 1), '')"
 TEXT_SQL = f"""coalesce(nullif({first('span', 'data-testid="lblItemUlasan"')}, ''),
   list_filter({texts('span')}, lambda t: length(t) > 20 AND length(t) < 2000 AND NOT {has_any('t', NOT_REVIEW_TEXT)})[1],
-  list_filter({texts('p')}, lambda t: length(t) > 20 AND length(t) < 2000 AND NOT contains(t, 'WIB'))[1], '')"""
+  list_filter({WHOLE_P}, lambda t: length(t) > 20 AND length(t) < 2000 AND NOT contains(t, 'WIB'))[1], '')"""
 DATE_SQL = f"coalesce(list_filter({texts('p|span|div')}, lambda t: length(t) < 50 AND {has_any('t', DATE_WORDS)})[1], 'Unknown')"
 POS = "page_id, CAST(container_no AS INT) AS container_no"
 
@@ -243,6 +250,45 @@ def extract_reviews(spark, d):
     )
 
 
+# One page per document, in every markup the reader has to cope with: nested elements, quotes of either kind or none,
+# capitals, void elements, elements that are never closed; cards, articles and divs. What is expected are the columns.
+KIND = "CASE WHEN length(text) BETWEEN 100 AND 1500 THEN doc_id % 3 ELSE 0 END"
+
+
+def escaped(piece: str) -> str:
+    return f"replace(replace(replace({piece}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+# Spans inside a span, but none inside a paragraph: there a long span would be the review.
+INNER_TAG = f"CASE {KIND} WHEN 0 THEN 'span' ELSE 'u' END"
+NESTED = f"""concat({escaped('substr(text, 1, 10)')}, '<b CLASS=x>', {escaped('substr(text, 11, 10)')}, '<', {INNER_TAG}, ' title="a > b">', {escaped('substr(text, 21)')}, '</', {INNER_TAG}, '></b>')"""
+VIEWS["markup"] = f"""
+SELECT doc_id AS page_id, concat('https://shop.example.com/x/', CAST(doc_id AS VARCHAR(20))) AS url, concat('<!DOCTYPE html><HTML><body class=page>',
+  CASE {KIND} WHEN 0 THEN '<section><DIV class="r" data-testid=reviewCard >' WHEN 1 THEN '<article id=a>' ELSE '<main><div>' END,
+  '<p class=date><time>', CAST(n_chars % 30 AS VARCHAR(8)), ' hari <i>lalu</i></time></p>',
+  replace('<span data-testid=~proName~>user <b>', '~', chr(39)), CAST(n_chars % 97 AS VARCHAR(8)), '</b></span><br>',
+  CASE n_chars % 3 WHEN 0 THEN replace(concat('<svg aria-label=~', CAST(1 + n_chars % 5 AS VARCHAR(8)), ' Bintang~></svg>'), '~', chr(39))
+                   WHEN 1 THEN concat('<div data-testid="icnStarRating" aria-label=', CAST(1 + n_chars % 5 AS VARCHAR(8)), '></div>') ELSE '<em></em>' END,
+  CASE {KIND} WHEN 0 THEN replace('<div><div><Span Data-TestId = ~lblItemUlasan~>', '~', chr(39)) ELSE '<p>' END, {NESTED},
+  CASE {KIND} WHEN 0 THEN '</span></div></div><i>' ELSE '</p><i></i>' END,
+  CASE {KIND} WHEN 0 THEN '</DIV></section>' WHEN 1 THEN '</article>' ELSE '</div></main>' END, '<footer>end</footer></body>') AS html
+FROM documents WHERE text IS NOT NULL"""
+
+
+@query(
+    "extract_reviews_any_markup",
+    f"""SELECT doc_id AS page_id, CASE {KIND} WHEN 0 THEN 'card' WHEN 1 THEN 'article' ELSE 'div' END AS strategy, concat('user ', CAST(n_chars % 97 AS VARCHAR)) AS username, {sql_strip('text')} AS review,
+        CASE WHEN n_chars % 3 = 2 THEN '5' ELSE CAST(1 + n_chars % 5 AS VARCHAR) END AS rating, n_chars % 3 = 2 AS rating_defaulted, concat(CAST(n_chars % 30 AS VARCHAR), ' hari lalu') AS date_text
+        FROM documents WHERE length({sql_strip('text')}) >= 10""",
+)
+def extract_reviews_any_markup(spark, d):
+    boxes = X.select_review_containers(view(spark, d, "markup"))
+    rows = X.extract_reviews(boxes, keep=("page_id", "strategy"))
+    return rows.select(
+        "page_id", "strategy", F.col("Username").alias("username"), F.col("Review").alias("review"), F.col("Rating").alias("rating"), "rating_defaulted", F.col("Date").alias("date_text")
+    )
+
+
 @query("validate_review", f"{PAGES_BOXES}, {REVIEW_ROWS} SELECT page_id, container_no, length(review) AS n_chars FROM valid", C)
 def validate_review(spark, d):
     rows = containers(spark, d).select("page_id", "container_no", X.extract_review_text(F.col("container")).alias("Review"))

@@ -1,4 +1,5 @@
 import html as stdlib_html
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,3 +137,81 @@ def test_pagination_keeps_whole_rows(spark):
     got = X.stop_after_empty_pages(df, "product", "page_no", ["username", "review"], max_pages=None)
     assert got.columns == df.columns
     assert sorted(tuple(r) for r in got.collect()) == [("p", 1, "u", "r", 4), ("p", 3, "u", "s", 1), ("p", 200, "v", "t", 2)]
+
+
+# --- whole elements ---------------------------------------------------------------------------
+class PlainTree(HTMLParser):
+    """Elements by the same rule, from the standard library's parser: an end tag closes down to its partner."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found, self.open = [], []
+
+    def handle_starttag(self, tag, attrs):
+        self.found.append([tag, dict(attrs), self.open[-1] if self.open else -1, ""])
+        if tag not in H.VOID:
+            self.open.append(len(self.found) - 1)
+
+    def handle_startendtag(self, tag, attrs):
+        self.found.append([tag, dict(attrs), self.open[-1] if self.open else -1, ""])
+
+    def handle_endtag(self, tag):
+        places = [k for k, i in enumerate(self.open) if self.found[i][0] == tag]
+        if places:
+            del self.open[places[-1] :]
+
+    def handle_data(self, data):
+        for i in self.open:
+            self.found[i][3] += data
+
+
+FRAGMENTS = [
+    "<div><span>a<span>b</span>c</span></div><p>d<p>e</p>f",
+    "<DIV Class=x data-testid='y z'><Br><img src=a>text<br/></div></span>after",
+    '<a href="x>y" title=\'q"r\'>k &amp; l</a><b>open <i>both</b> tail',
+    "no tags, a < b and c > d", "", "<p>" * 40 + "deep" + "</p>" * 25, "<ul>" + "<li>x" * 300 + "</ul><em>y</em>",
+]
+
+
+@pytest.mark.parametrize("text", FRAGMENTS)
+def test_elements_against_the_standard_parser(spark, text):
+    plain = PlainTree()
+    plain.feed(text)
+    plain.close()
+    frame = spark.createDataFrame([(text,)], "x string").withColumn("t", H.tree(F.col("x")))
+    fields = F.transform("t", lambda e: F.struct(e["tag"].alias("tag"), e["parent"].alias("parent"), H.decode_entities(F.regexp_replace(H.contents(F.col("x"), e), H.TAG, "")).alias("text")))
+    got = frame.select(fields.alias("f")).first()["f"]
+    assert [(r["tag"], r["parent"], r["text"]) for r in got] == [(t, p, x) for t, _, p, x in plain.found]
+
+
+def test_given_pages_against_the_standard_parser(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", H.drop_noise(F.col("html")).alias("x")).withColumn("t", H.tree(F.col("x")))
+    for r in rows.select("x", F.transform("t", lambda e: F.struct(e["tag"].alias("tag"), e["parent"].alias("parent"))).alias("t")).limit(60).collect():
+        plain = PlainTree()
+        plain.feed(r["x"])
+        plain.close()
+        assert [(e["tag"], e["parent"]) for e in r["t"]] == [(t, p) for t, _, p, _ in plain.found]
+
+
+@pytest.mark.parametrize(
+    "tag,want",
+    [('<a x="1">', "1"), ("<a x='1 2'>", "1 2"), ("<a x=1>", "1"), ("<A b='x=9' X = \"a > b\">", "a > b"), ("<a data-x=1>", None), ("<a x>", None), ("<a b x=1&amp;2 c>", "1&2"), ('<a b="y"x=3>', "3")],
+)
+def test_attributes_in_any_quotes(spark, tag, want):
+    assert first(spark, tag, lambda c: H.attribute(F.get(H.tree(c), F.lit(0)), "x")) == want
+
+
+def test_nested_markup_is_whole(spark):
+    card = (
+        "<section><div class=r data-testid='reviewCard'><p>3 hari lalu</p><span data-testid=proName>Budi <b>S</b></span><div aria-label='2 Bintang'></div>"
+        "<div><span data-testid='lblItemUlasan'>Layar <span>sangat <span>bagus</span></span> dan awet</span></div></div>after</section>"
+    )
+    row = X.extract_reviews(X.select_review_containers(pages(spark, card))).first()
+    assert (row.Username, row.Rating, row.Review, row.Date) == ("Budi S", "2", "Layar sangat bagus dan awet", "3 hari lalu")
+
+
+def test_divs_count_their_children(spark):
+    text = "<p>3 hari lalu</p>" + "<p>bagus sekali barangnya</p>" * 2
+    three, four = f"<div>{text}</div>", f"<div>{text}<i></i></div>"
+    out = {r.page_id: r.container for r in X.select_review_containers(pages(spark, three, four, f"<div><div>{four}</div></div>", f"<div>{text}loose</div>", "<div>" + "<b>lalu abc</b>" * 30 + "</div>")).collect()}
+    assert out == {1: f"{text}<i></i>", 2: f"{text}<i></i>", 3: f"{text}loose"}
