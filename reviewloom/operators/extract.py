@@ -27,7 +27,6 @@ from reviewloom.functions.html import (
     compact_text,
     contains_any,
     contents,
-    decode_entities,
     drop_noise,
     first_match,
     first_text,
@@ -36,14 +35,33 @@ from reviewloom.functions.html import (
     tree,
 )
 from reviewloom.functions.text import clean_text
+from reviewloom.functions.urls import SCHEME, resolve_url
 
 
 
+ANCHOR = r"""(?i)<a(?=[\s/])(?:[^"'>]++|"[^"]*+"|'[^']*+')*+>"""
+BASE_TAG = r"""(?i)<base(?=[\s/])(?:[^"'>]++|"[^"]*+"|'[^']*+')*+>"""
+
+
 # --- links ------------------------------------------------------------------------------------
-def extract_links(pages: DataFrame, html: str = "html", keep: Sequence[str] = ("page_id",)) -> DataFrame:
-    """One row per ``<a href>`` on a page."""
-    hrefs = F.regexp_extract_all(F.col(html), F.lit(r"""(?i)<a\b[^>]*\bhref=["']([^"']*)["']"""), F.lit(1))
-    return unfold(pages, keep, hrefs, "href").withColumn("href", decode_entities(F.col("href")))
+def extract_links(pages: DataFrame, html: str = "html", keep: Sequence[str] = ("page_id",), base: str | None = "url") -> DataFrame:
+    """One row per ``<a href>`` on a page, the link absolute: resolved against the page's address in ``base``, or
+    against the page's own ``<base href>``. Without ``base`` the references are as they stand. A reference that needs
+    an address the page does not have gives no row."""
+    page = F.col("_page")
+    rows = pages.select(*keep, *([F.col(base).alias("_url")] if base else []), drop_noise(F.col(html)).alias("_page"))
+    marks = F.regexp_extract_all(page, F.lit(ANCHOR), F.lit(0))
+    hrefs = F.filter(F.transform(marks, lambda m: attribute(F.struct(m.alias("attrs")), "href", empty=True)), lambda h: h.isNotNull())
+    rows = rows.withColumn("_hrefs", hrefs)
+    if base is None:
+        return unfold(rows, keep, F.col("_hrefs"), "href")
+    # Most pages declare no address of their own.
+    declared = attribute(F.struct(F.regexp_extract(page, BASE_TAG, 0).alias("attrs")), "href")
+    home = F.when(F.rlike(page, F.lit("(?i)<base")), let(declared, lambda d: F.coalesce(resolve_url(F.col("_url"), d), d, F.col("_url")))).otherwise(F.col("_url"))
+    rows = rows.filter(F.size("_hrefs") > 0).withColumn("_home", home)
+    # Resolved inside the array: a filter on the links would else resolve them again.
+    whole = F.transform("_hrefs", lambda r: F.coalesce(resolve_url(F.col("_home"), r), F.when(F.rlike(r, F.lit(SCHEME)), r)))
+    return unfold(rows, keep, F.filter(whole, lambda link: link.isNotNull()), "href")
 
 
 def filter_product_urls(

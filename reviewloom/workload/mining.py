@@ -89,16 +89,11 @@ def load_url_list(spark, d):
     return csv.load_url_list(spark, path)
 
 
-@query("seed_urls", "SELECT DISTINCT url FROM (SELECT url FROM pages UNION ALL SELECT regexp_extract(html, 'href=\"([^\"]*)\"', 1) FROM pages) WHERE url <> ''")
-def seed_urls(spark, d):
-    pages = table(spark, d, "pages")
-    first = pages.select(F.regexp_extract("html", 'href="([^"]*)"', 1).alias("url"))
-    return csv.seed_urls(pages.select("url").unionByName(first))
-
-
 # --- links ------------------------------------------------------------------------------------
-HREFS = """hrefs AS (SELECT page_id, replace(href, '&amp;', '&') AS href FROM
-  (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\\b[^>]*\\bhref=["'']([^"'']*)["'']', 1)) AS href FROM captured))"""
+HREFS = """raw_hrefs AS (SELECT page_id, url, replace(href, '&amp;', '&') AS href FROM
+  (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)<a\\b[^>]*\\shref=["'']([^"'']*)["'']', 1)) AS href FROM captured)),
+hrefs AS (SELECT page_id, CASE WHEN regexp_matches(href, '^[A-Za-z]+:') THEN href WHEN starts_with(href, '//') THEN concat(regexp_extract(url, '^[a-z]+:'), href)
+  WHEN starts_with(href, '/') THEN concat(regexp_extract(url, '^[a-z]+://[^/?#]+'), href) ELSE concat(regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*/)?'), href) END AS href FROM raw_hrefs)"""
 LINKS = f"{DUCK_PAGES}, {HREFS}, links AS (SELECT page_id, href FROM hrefs UNION ALL SELECT page_id, url FROM captured)"
 IGNORE = ["ta.example.com", *URL_IGNORE, "spam-farm"]
 GOOD = "contains(href, 'example.com') AND length(href) >= 35 AND " + " AND ".join(f"NOT contains(href, '{w}')" for w in IGNORE)
@@ -124,6 +119,11 @@ def filter_product_urls(spark, d):
     return product_links(spark, d)
 
 
+@query("seed_urls", f"WITH {LINKS} SELECT DISTINCT href AS url FROM links WHERE href <> ''", C)
+def seed_urls(spark, d):
+    return csv.seed_urls(links(spark, d).select(F.col("href").alias("url")))
+
+
 CANON = "concat(string_split(href, '?')[1], '/review')"
 
 
