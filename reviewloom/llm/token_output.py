@@ -14,7 +14,8 @@ speculative task leaves files that nobody lists. ``start`` is the sum over the f
 
 Files are written and read through Arrow's file systems, by the URI of the shared folder. The tokenizer's path
 is a parameter. Texts of Latin letters are cut into words by the tokenizer's own pattern, and words that a
-worker has seen are not encoded again; any other text is encoded whole by the tokenizer.
+worker has seen are not encoded again; any other text is encoded whole by the tokenizer, and so is a text that
+holds the string of an added token, which gets that token's id.
 
 Defined results: a null text counts as empty and has the end id only. Null ids come first. Rows that repeat
 are written each. An empty table has no files. Only ``id`` and ``text`` are read.
@@ -73,7 +74,8 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # Strings of added tokens become these tokens' ids, as the library does it; such texts are encoded whole.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.known: dict[str, bytes] = {}
 
@@ -87,7 +89,7 @@ class Encoder:
 
     def ids(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        if OTHER.search(text):
+        if OTHER.search(text) or any(token in text for token in self.added):
             return np.array(self.whole(text), dtype="<u4").tobytes()
         words = WORDS.findall(text)
         try:

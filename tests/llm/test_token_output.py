@@ -8,19 +8,25 @@ import pytest
 import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 pytest.importorskip("corpus_pipeline")
 tokenizers = pytest.importorskip("public_tokenizers")
 from reviewloom.llm import token_output as O  # noqa: E402
 
 PATH = tokenizers.path("byte_bpe_50k.json")
+LIBRARY = Tokenizer.from_file(PATH)  # as it is, with no setting changed
+
+
+@pytest.mark.parametrize("text", ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|> y <|endoftext|>", "<|endoftext|", "日本<|endoftext|>"])
+def test_added_tokens_as_the_library_does_it(text):
+    assert np.frombuffer(O.encoder(PATH).ids(text), dtype="<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=80) | st.text(alphabet="aB'st 12½ªéǅ\t\n\r\x0b\x1c .!_<|>", max_size=40))
 def test_ids_are_the_tokenizers(text):
-    encode = O.encoder(PATH)
-    assert np.frombuffer(encode.ids(text), dtype="<u4").tolist() == encode.whole(text)
+    assert np.frombuffer(O.encoder(PATH).ids(text), dtype="<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
 def written(documents):
