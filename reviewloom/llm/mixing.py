@@ -3,16 +3,17 @@
 Targets: the sources, by code point and null last, weigh 5, 2, 1, repeating. They share ``TOTAL`` times all
 words by weight; a target above ``EPOCHS`` times its source is cut there and the excess shared again.
 
-Drawing: a seeded hash deals the documents of a source to permuted blocks. Blocks are taken whole, in order,
-epoch after epoch, as long as they fit the target; documents of the next blocks (``POOL`` at least) then fill
-what is left, each taken if it still fits. The source's block quota is thus exact. A tree splits the quotas
+Drawing: a seeded hash deals the documents of a source to permuted blocks, whose number grows with the rows. Blocks
+are taken whole, in order, epoch after epoch; one that does not fit is passed over. Documents of the blocks left
+then fill the room, each taken if it still fits, a few blocks at a time until no document of any block fits: what
+is taken stays below the target by less than the source's smallest document left. A tree splits the block quotas
 among the output shards: at every node a multivariate-hypergeometric draw says how many blocks of each source
 go left. Each shard then gets its number of the source's blocks in permuted order, disjoint from the others',
 and a hash shuffles the documents inside the shard.
 
 Words and rows are added up per (source, block), which combines where the rows are: no source meets in one task.
-These sums, at most ``BLOCK_LIMIT`` rows, are all that reaches the driver; the pool of a source is filled in
-one task and holds ``POOL`` documents plus one block at most.
+These sums, at most ``BLOCK_LIMIT`` rows, are all that reaches the driver; the room of a source is filled in
+one task, from ``FILL_BLOCKS`` blocks at a time.
 
 Defined results: a null or wordless text has size 0 and is never taken (``taken`` 0). Rows that repeat are rows
 of their own. A null source is a source. With no words at all every target is 0. Only ``id``, ``text`` and
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,10 +38,12 @@ WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL = 1.5
 EPOCHS = 2
 SHARDS = 8
-BLOCKS = 4096  # per source, fewer if there are many sources
-BLOCK_LIMIT = 1 << 20
-MAX_SOURCES = 1 << 16
-POOL = 1000
+BLOCK_ROWS = 2048  # rows of a block of the largest source, more beyond BLOCK_LIMIT blocks
+LEAST_BLOCKS = 64  # per source
+BLOCK_LIMIT = 1 << 18
+MAX_SOURCES = 1 << 12
+FILL_BLOCKS = 4
+SMALL_ROOM = 4096  # words
 SEED = 11
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -85,15 +88,23 @@ def row_key(doc_id: str, text: str) -> Column:
 
 
 def fill(room: pd.DataFrame) -> pd.DataFrame:
-    """Of a source's pool, in permuted order, take each document that still fits."""
+    """Of some blocks of a source, in permuted order, take each document that still fits."""
     room = room.sort_values(["_block", "key"], kind="stable")
     left = int(room["_room"].iloc[0])
     fits = []
     for size in room["size"]:
         fits.append(0 < size <= left)
         left -= size if fits[-1] else 0
-    chosen = room[np.array(fits, dtype=bool)]
-    return chosen[["_source", "key"]]
+    return room.loc[np.array(fits, dtype=bool), ["_source", "key", "size"]]
+
+
+def whole_blocks(words: np.ndarray, room: int) -> tuple[np.ndarray, int]:
+    """Which blocks are taken whole, in order, and the room that is left; those that do not fit are passed over."""
+    taken = np.zeros(len(words), dtype=bool)
+    for at, size in enumerate(words.tolist()):
+        if size <= room:
+            taken[at], room = True, room - size
+    return taken, room
 
 
 @dataclass(frozen=True)
@@ -124,33 +135,34 @@ class Mix:
 
 def plan_mix(rows: DataFrame, shards: int = SHARDS, total: float = TOTAL, weights=WEIGHTS) -> Mix:
     """Decide the mix of ``rows``, which are written ``slim_rows``."""
-    sums = few_rows(rows.groupBy("source").agg(F.sum("size").alias("size")), MAX_SOURCES, "sources")
+    sums = few_rows(rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")), MAX_SOURCES, "sources")
     names = sorted((r["source"] for r in sums), key=lambda s: (s is None, (s or "").encode("utf-8")))
     size = {r["source"]: r["size"] for r in sums}
     aim = targets([size[s] for s in names], [weights[i % len(weights)] for i in range(len(names))], total)
     schema = T.StructType([T.StructField("_s", T.StringType()), T.StructField("_source", T.IntegerType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
     known = small_table(rows.sparkSession, [{"_s": s, "_source": i, "source_size": size[s], "target": aim[i]} for i, s in enumerate(names)], schema)
-    blocks = min(BLOCKS, BLOCK_LIMIT // max(1, len(names)))
+    largest = max((r["rows"] for r in sums), default=0)
+    blocks = max(1, min(BLOCK_LIMIT // max(1, len(names)), max(LEAST_BLOCKS, largest // BLOCK_ROWS)))
     numbered = Mix(known, known, known, blocks).numbered(rows)
-    found = numbered.groupBy("_source", "_block").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).toArrow().to_pandas()
+    least = F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least")
+    found = numbered.groupBy("_source", "_block").agg(F.sum("size").alias("size"), least).toArrow().to_pandas()
     found = found.sort_values(["_source", "_block"]).reset_index(drop=True)
 
-    plans, pools, quotas = [], [], np.zeros(max(1, len(names)), dtype=np.int64)
+    plans, rooms, quotas = [], {}, np.zeros(max(1, len(names)), dtype=np.int64)
     for i, own in found.groupby("_source", sort=True):
         words, full, goal = own["size"].to_numpy(), size[names[i]], int(aim[i] + 0.5)
-        base = goal // full if full else 0
-        sums_ = np.cumsum(words)
-        whole = int(np.searchsorted(sums_, goal - base * full, side="right")) if full else 0
-        room = goal - base * full - (int(sums_[whole - 1]) if whole else 0)
-        copies = base + (np.arange(len(own)) < whole)
-        after = np.concatenate(([0], np.cumsum(own["rows"].to_numpy()[whole:])[:-1])) if whole < len(own) else np.zeros(0)
-        pool = np.zeros(len(own), dtype=bool)
-        pool[whole:] = (after < POOL) & (room > 0) & (base < EPOCHS)
-        quotas[i] = int(copies.sum()) + int(pool.any())
-        plans.append(own.assign(copies=copies, pool=pool, room=room))
-    table = pd.concat(plans) if plans else pd.DataFrame({"_source": [], "_block": [], "copies": [], "pool": [], "room": []})
+        base = min(EPOCHS, goal // full) if full else 0
+        taken, room = whole_blocks(words, goal - base * full) if full and base < EPOCHS else (np.zeros(len(own), dtype=bool), 0)
+        # Blocks left that have a document small enough, in permuted order.
+        rooms[int(i)] = (room, [(int(b), int(n)) for b, n, t in zip(own["_block"], own["least"], taken) if not t and n == n])
+        quotas[i] = int(base * len(own) + taken.sum())
+        plans.append(own.assign(copies=base + taken))
+    filled, last = fill_rooms(numbered, rooms)
+    for i in last:
+        quotas[i] += 1  # what fills the room is one more block
+    table = pd.concat(plans) if plans else pd.DataFrame({"_source": [], "_block": [], "copies": []})
     split = split_quotas(quotas, shards, np.random.default_rng(SEED))
-    # The blocks of a source in permuted order, epoch by epoch, its filled pool last.
+    # The blocks of a source in permuted order, epoch by epoch, its filled room last.
     decided = []
     for i, own in table.groupby("_source", sort=True):
         ends = np.cumsum(split[:, int(i)])
@@ -161,15 +173,44 @@ def plan_mix(rows: DataFrame, shards: int = SHARDS, total: float = TOTAL, weight
                 if n > epoch:
                     held[int(b)].append(int(np.searchsorted(ends, place, side="right")))
                     place += 1
-        last = int(np.searchsorted(ends, place, side="right"))
-        decided += [{"_source": int(i), "_block": int(b), "_shards": held[int(b)], "_pool": bool(p), "_room": int(r), "_last": last} for b, p, r in zip(own["_block"], own["pool"], own["room"])]
-    kinds = {"_source": T.IntegerType(), "_block": T.IntegerType(), "_shards": T.ArrayType(T.IntegerType()), "_pool": T.BooleanType(), "_room": T.LongType(), "_last": T.IntegerType()}
+        end = int(np.searchsorted(ends, place, side="right"))
+        decided += [{"_source": int(i), "_block": int(b), "_shards": held[int(b)], "_last": end} for b in own["_block"]]
+    kinds = {"_source": T.IntegerType(), "_block": T.IntegerType(), "_shards": T.ArrayType(T.IntegerType()), "_last": T.IntegerType()}
     plan = small_table(rows.sparkSession, decided, T.StructType([T.StructField(k, v) for k, v in kinds.items()]))
-    # Rows that share a key (repeated ones) enter the pool once, with their joint size, and are taken together.
-    pool = numbered.join(F.broadcast(plan.filter("_pool")), ["_source", "_block"])
-    pool = pool.groupBy("_source", "_block", "key").agg(F.sum("size").alias("size"), F.first("_room").alias("_room"))
-    filled = pool.groupBy("_source").applyInPandas(fill, "_source int, key long")
-    return Mix(known, plan, cut_lineage(filled.select(F.col("_source").alias("_fs"), F.col("key").alias("_key"))), blocks)
+    return Mix(known, plan, filled, blocks)
+
+
+def fill_rooms(numbered: DataFrame, rooms: dict[int, tuple[int, list[tuple[int, int]]]]) -> tuple[DataFrame, set[int]]:
+    """(_fs, _key) of the documents that fill the sources' rooms, written, and the sources that have any.
+
+    ``rooms`` has each source's room and its blocks left, with their smallest documents. A round tries the next
+    ``FILL_BLOCKS`` blocks, of all sources at once. Once a room is at most ``SMALL_ROOM`` words, all blocks left are
+    tried together: of the documents of one size no more than fit are ever taken, the first ones in order, so those
+    are all that is read. The result is that of a walk over all documents in permuted order.
+    """
+    session, found, sources = numbered.sparkSession, None, set()
+    kinds = T.StructType([T.StructField("_source", T.IntegerType()), T.StructField("_block", T.IntegerType()), T.StructField("_room", T.LongType())])
+    alike = F.row_number().over(Window.partitionBy("_source", "size").orderBy("_block", "key"))
+    while True:
+        tried = []
+        for i, (room, left) in rooms.items():
+            fitting = [b for b, least in left if least <= room]
+            now = fitting if room <= SMALL_ROOM else fitting[:FILL_BLOCKS]
+            tried += [{"_source": i, "_block": b, "_room": room} for b in now]
+            rooms[i] = (room, [(b, least) for b, least in left if now and b > now[-1]])
+        if not tried and found is not None:
+            return found, sources
+        pool = numbered.join(F.broadcast(small_table(session, tried, kinds)), ["_source", "_block"])
+        # Rows that share a key (repeated ones) come once, with their joint size, and are taken together.
+        pool = pool.groupBy("_source", "_block", "key").agg(F.sum("size").alias("size"), F.first("_room").alias("_room"))
+        pool = pool.filter(F.col("size").between(1, F.col("_room"))).withColumn("_alike", alike)
+        pool = pool.filter((F.col("_alike") <= F.col("_room")) & (F.col("_alike") * F.col("size") <= F.col("_room")))
+        taken = cut_lineage(pool.groupBy("_source").applyInPandas(fill, "_source int, key long, size long"))
+        for r in taken.groupBy("_source").agg(F.sum("size").alias("size")).collect():  # a row per source
+            rooms[r["_source"]] = (rooms[r["_source"]][0] - r["size"], rooms[r["_source"]][1])
+            sources.add(r["_source"])
+        part = taken.select(F.col("_source").alias("_fs"), F.col("key").alias("_key"))
+        found = part if found is None else found.union(part)
 
 
 def draw(mixed: DataFrame, shuffled: bool = True) -> DataFrame:

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 pytest.importorskip("corpus_pipeline")
 from reviewloom.llm import mixing as M  # noqa: E402
 from reviewloom.llm import sharding as S  # noqa: E402
+from reviewloom.session import cut_lineage  # noqa: E402
 
 
 @settings(max_examples=150, deadline=None)
@@ -73,3 +74,55 @@ def test_mix(spark, sf_dir):
     assert sum(t for _, t in by) == pytest.approx(1.5 * total)
     for (_, target), taken in by.items():
         assert target - max(taken, default=0) - 1 <= sum(taken) <= target + 1
+
+
+def mixed(spark, rows):
+    docs = cut_lineage(spark.createDataFrame(rows, "doc_id long, source string, size long, key long"))
+    return M.plan_mix(docs).apply(docs).collect()
+
+
+@pytest.mark.parametrize("first", [0, 7_000_000])
+def test_a_giant_document_does_not_keep_a_source_from_its_target(spark, first):
+    """What is taken misses the target by less than the smallest document left, wherever the giant falls."""
+    rnd = np.random.default_rng(first)
+    keys = rnd.integers(0, 1 << 62, 24_001).tolist()
+    sizes = [1_400_000] + [100] * 20_000 + [int(x) for x in rnd.integers(1, 3000, 4000)]
+    rows = [(first + i, "a" if i <= 20_000 else "b", s, k) for i, (s, k) in enumerate(zip(sizes, keys))]
+    found = mixed(spark, rows)
+    for source in ("a", "b"):
+        own = [r for r in found if r["source"] == source]
+        taken, target = sum(r["taken"] for r in own), own[0]["target"]
+        fewest = min(r["copies"] for r in own)
+        left = min(r["size"] for r in own if r["copies"] == fewest)
+        assert 0 <= target + 1 - taken <= left + 1 and all(r["copies"] <= 2 for r in own)
+
+
+def test_rooms_are_filled_as_a_plain_walk_would(spark):
+    """The draws done again in plain Python: whole blocks in order, then documents that fit, block by block."""
+    rnd = np.random.default_rng(5)
+    rows = [(i, rnd.choice(["a", "b", "c"]), int(rnd.integers(0, 400)), int(rnd.integers(0, 1 << 62))) for i in range(3000)]
+    rows[0] = (0, "b", 50_000, rows[0][3])
+    found = {r["doc_id"]: r["copies"] for r in mixed(spark, rows)}
+    names = sorted({r[1] for r in rows})
+    totals = [sum(r[2] for r in rows if r[1] == n) for n in names]
+    for name, full, target in zip(names, totals, M.targets(totals, [5, 2, 1], 1.5)):
+        blocks = {}
+        for i, source, size, key in rows:
+            if source == name:
+                blocks.setdefault(key % M.LEAST_BLOCKS, []).append((key, i, size))
+        goal = int(target + 0.5)
+        base = min(2, goal // full)
+        room, left, copies = (goal - base * full if base < 2 else 0), [], {}
+        for b in sorted(blocks):
+            words = sum(size for *_, size in blocks[b])
+            whole = words <= room and base < 2
+            room -= words if whole else 0
+            for _, i, size in blocks[b]:
+                copies[i] = (base + whole) if size else 0
+            if not whole:
+                left.append(b)
+        for b in left:
+            for _, i, size in sorted(blocks[b]):
+                if 0 < size <= room:
+                    copies[i], room = copies[i] + 1, room - size
+        assert {i: found[i] for i in copies} == copies
