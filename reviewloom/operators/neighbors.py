@@ -1,4 +1,4 @@
-"""Exact nearest neighbours inside each class."""
+"""Nearest neighbours inside each class: exact by pivot cells and the triangle inequality, or the nearest cells only."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reviewloom.operators.bounded import broadcast_bounded
+from reviewloom.operators.bounded import broadcast_bounded, few_rows
 from reviewloom.operators.encode import MAX_CLASSES
 from reviewloom.operators.skew import join_by_weight
 from reviewloom.session import cut_lineage
@@ -17,6 +17,7 @@ DENSE_BLOCK = 2048
 SPARSE_BLOCK = 512
 DISTANCE_DIGITS = 9  # distances are compared after rounding; ties go to the smaller id
 CELLS = 1 << 20  # distance cells refined at a time inside a kernel
+MAX_PIVOTS = 1024  # per class
 COLUMNS = 8192  # columns multiplied at a time for sparse rows
 
 
@@ -93,15 +94,20 @@ def _sparse(left: pd.DataFrame, right: pd.DataFrame):
             blocks.append(block)
         grams += blocks[0] @ blocks[1].T
     d2 = np.maximum(norms[0][:, None] + norms[1][None, :] - 2.0 * grams, 0.0)
-    maps = [[{e["term"]: e["weight"] for e in row} for row in side["vec"]] for side in (left, right)]
 
     def exact(i, j):
-        out = np.empty(len(i))
-        for n, (r, c) in enumerate(zip(i, j)):
-            x, y = maps[0][r], maps[1][c]
-            both = sum((w - y.get(t, 0.0)) ** 2 for t, w in x.items())
-            out[n] = np.sqrt(both + sum(w * w for t, w in y.items() if t not in x))
-        return out
+        out = np.zeros(len(i))
+        for start in range(0, len(terms), COLUMNS):
+            slices = []
+            for (frame, size), code in zip(sides, coded):
+                inside = (code >= start) & (code < start + COLUMNS)
+                block = np.zeros((size, min(COLUMNS, len(terms) - start)))
+                block[frame["row"].to_numpy()[inside], code[inside] - start] = frame["w"].to_numpy()[inside]
+                slices.append(block)
+            for s in range(0, len(i), 512):
+                diff = slices[0][i[s : s + 512]] - slices[1][j[s : s + 512]]
+                out[s : s + 512] += (diff * diff).sum(1)
+        return np.sqrt(out)
 
     return d2, exact, 1e-12 * (norms[0] + (norms[1].max() if len(norms[1]) else 0.0))
 
@@ -131,17 +137,117 @@ def _kernel(measure, k: int):
     return run
 
 
+def _one_way(measure, k: int):
+    """Nearest members (side 1) of a cell for the queries (side 0) that reach into it."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"grp": [], "id": [], "cid": [], "dist": []})
+        d2, exact, noise = measure(left, right)
+        i, j, d = _nearest(d2, exact, right["id"].to_numpy(), k, noise)
+        return pd.DataFrame({"grp": pdf["grp"].iloc[0], "id": left["id"].to_numpy()[i], "cid": right["id"].to_numpy()[j], "dist": d})
+
+    return run
+
+
+def _search(distinct: DataFrame, id_type: str, grp_type: str, k: int, sparse: bool, block_rows: int, probes: int | None) -> DataFrame:
+    """Candidates (grp, id, cid, dist) that hold the k nearest of each (grp, id, vec), itself included.
+
+    Each class has a pivot per ``block_rows`` rows, and a row belongs to the cell of its nearest pivot. The k
+    nearest in the own cell bound the distance from above; a cell whose nearest possible member is farther by
+    the triangle inequality (distance to its pivot less its radius) is not searched. A row is sent to the cells that are
+    left, or with ``probes`` to that many nearest ones at most.
+    """
+    session = distinct.sparkSession
+    measure = _sparse if sparse else _dense
+    rank = F.row_number().over(W.partitionBy("grp").orderBy(F.xxhash64("id"), "id"))
+    sizes = distinct.groupBy("grp").agg(F.least(F.lit(MAX_PIVOTS), F.ceil(F.count(F.lit(1)) / block_rows)).cast("int").alias("_p"))
+    schema = f"grp {grp_type}, id {id_type}, cid {id_type}, dist double"
+    if all(r["_p"] <= 1 for r in few_rows(sizes, MAX_CLASSES, "classes")):  # a cell per class
+        whole = distinct.select("grp", F.lit(0).alias("_a"), F.lit(0).alias("_b"), F.lit(0).alias("side"), "id", "vec")
+        return whole.groupBy("grp").applyInPandas(_kernel(measure, k), schema)
+    chosen = distinct.withColumn("_rank", rank).filter(F.col("_rank") <= MAX_PIVOTS).join(broadcast_bounded(sizes, MAX_CLASSES, "classes"), "grp")
+    pivots = few_rows(chosen.filter(F.col("_rank") <= F.col("_p")).select("grp", "_rank", "vec"), MAX_PIVOTS * 16, "pivots")
+    held: dict = {}
+    for row in sorted(pivots, key=lambda r: r["_rank"]):
+        held.setdefault(row["grp"], []).append([e.asDict() for e in row["vec"]] if sparse else row["vec"])
+    shared = session.sparkContext.broadcast({g: pd.DataFrame({"vec": vs}) for g, vs in held.items()})
+    fields = f"grp {grp_type}, id {id_type}, vec {distinct.schema['vec'].dataType.simpleString()}"
+
+    def to_pivots(rows: pd.DataFrame, grp) -> np.ndarray:
+        return np.sqrt(np.maximum(measure(rows, shared.value[grp])[0], 0.0))
+
+    def assign(batches):
+        for batch in batches:
+            for grp, own in batch.groupby("grp", dropna=False):
+                for start in range(0, len(own), block_rows):
+                    some = own.iloc[start : start + block_rows]
+                    d = to_pivots(some, grp)
+                    cell = d.argmin(axis=1)
+                    yield some.assign(cell=cell.astype(np.int32), reach=d[np.arange(len(some)), cell])
+
+    placed = cut_lineage(distinct.select("grp", "id", "vec").mapInPandas(assign, f"{fields}, cell int, reach double"))
+    cells = placed.groupBy("grp", "cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"), F.max("reach").alias("radius"))
+    cells = cut_lineage(cells)
+    radius: dict = {}
+    for r in few_rows(cells, MAX_PIVOTS * 16, "cells"):
+        radius.setdefault(r["grp"], {})[r["cell"]] = r["radius"]
+    # Inside each cell: pairs of its blocks.
+    pairs = (
+        placed.join(F.broadcast(cells.drop("radius")), ["grp", "cell"])
+        .withColumn("_x", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        .withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("_a", F.least("_x", "_j"))
+        .withColumn("_b", F.greatest("_x", "_j"))
+        .withColumn("side", (F.col("_x") != F.col("_a")).cast("int"))
+    )
+    own = pairs.groupBy("grp", "cell", "_a", "_b").applyInPandas(_kernel(measure, k), schema)
+    best = own.withColumn("_rn", F.row_number().over(W.partitionBy("grp", "id").orderBy("dist", "cid"))).filter(F.col("_rn") <= k)
+    best = cut_lineage(best.drop("_rn"))
+    # What lies in other cells can be nearer than the k-th of the own cell only if the cell reaches that far.
+    kth = best.groupBy("grp", "id").agg(F.when(F.count(F.lit(1)) >= k, F.max("dist")).otherwise(F.lit(float("inf"))).alias("kth"))
+
+    def reach_out(batches):
+        for batch in batches:
+            for grp, rows in batch.groupby("grp", dropna=False):
+                widths = np.array([radius[grp].get(c, -np.inf) for c in range(len(shared.value[grp]))])
+                for start in range(0, len(rows), block_rows):
+                    some = rows.iloc[start : start + block_rows]
+                    d = to_pivots(some, grp)
+                    # Distances come from a product and are rounded later: cells at the edge are searched too.
+                    edge = 1e-6 * (1 + d)
+                    wanted = (d - widths[None, :] - edge <= some["kth"].to_numpy()[:, None]) & np.isfinite(widths)[None, :]
+                    wanted[np.arange(len(some)), some["cell"].to_numpy()] = False
+                    if probes is not None:
+                        nth = np.argsort(np.argsort(np.where(wanted, d, np.inf), axis=1, kind="stable"), axis=1, kind="stable")
+                        wanted &= nth < probes
+                    i, c = np.nonzero(wanted)
+                    yield some.iloc[i][["grp", "id", "vec"]].assign(cell=c.astype(np.int32))
+
+    asked = placed.join(kth, ["grp", "id"]).select("grp", "id", "vec", "cell", "kth").mapInPandas(reach_out, f"{fields}, cell int")
+    asked = cut_lineage(asked)
+    loads = asked.groupBy("grp", "cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("chunks"))
+    known = F.broadcast(cut_lineage(loads.join(cells.drop("radius"), ["grp", "cell"])))  # a row per cell
+    left = asked.join(known, ["grp", "cell"]).select("grp", "cell", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("_c"), F.explode(F.sequence(F.lit(0).cast("long"), (F.col("blocks") - 1).cast("long"))).alias("_s"), F.lit(0).alias("side"), "id", "vec")
+    right = placed.join(known, ["grp", "cell"]).select("grp", "cell", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("chunks") - 1).cast("long"))).alias("_c"), F.pmod(F.xxhash64("id"), F.col("blocks")).alias("_s"), F.lit(1).alias("side"), "id", "vec")
+    far = left.unionByName(right).groupBy("grp", "cell", "_c", "_s").applyInPandas(_one_way(measure, k), schema)
+    return best.unionByName(far)
+
+
 def blocked_knn(
-    df: DataFrame, group: str, id_col: str, vec: str, k: int = 5, sparse: bool = False, block_rows: int | None = None
+    df: DataFrame, group: str, id_col: str, vec: str, k: int = 5, sparse: bool = False, block_rows: int | None = None, probes: int | None = None
 ) -> DataFrame:
-    """Exact k nearest rows of the same class: ``(group, id, nn_rank, nn_id, distance)``.
+    """The k nearest rows of the same class: ``(group, id, nn_rank, nn_id, distance)``.
+
+    Exact; with ``probes`` a row is compared with its own cell and that many others at most, which bounds the
+    work of very large classes without structure (recall is measured in the tests).
 
     Equal vectors are collapsed first: only the k + 1 smallest ids of a vector can be anyone's
-    neighbours, so a vector with any number of copies enters the search once. Distinct vectors are
-    hashed into blocks of about ``block_rows``, and each pair of blocks of a class is one NumPy
-    task. A task emits k + 1 candidates per row, never the pairs. The number of blocks grows
-    with the class, so memory per task stays the same. ``vec`` is an array of doubles, or with
-    ``sparse=True`` a term-sorted array of (term, weight).
+    neighbours, so a vector with any number of copies enters the search once. Distinct vectors fall
+    into cells around pivots, whose number grows with the class, and cells that are too far away are never
+    compared. A task compares blocks of ``block_rows`` and emits k + 1 candidates per row, never the pairs. ``vec`` is
+    an array of doubles, or with ``sparse=True`` a term-sorted array of (term, weight).
     """
     id_type, grp_type = dict(df.dtypes)[id_col], dict(df.dtypes)[group]
     block_rows = block_rows or (SPARSE_BLOCK if sparse else DENSE_BLOCK)
@@ -157,19 +263,8 @@ def blocked_knn(
     # Read three times below, so it is written once; likewise the result of the search.
     distinct = cut_lineage(distinct.withColumn("rep", F.get("ids", F.lit(0))).join(copies, ["grp", "vkey"]))
 
-    sizes = distinct.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
-    placed = (
-        distinct.select("grp", F.col("rep").alias("id"), "vec")
-        .join(broadcast_bounded(sizes, MAX_CLASSES, "classes"), "grp")
-        .withColumn("_x", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("_a", F.least("_x", "_j"))
-        .withColumn("_b", F.greatest("_x", "_j"))
-        .withColumn("side", (F.col("_x") != F.col("_a")).cast("int"))
-        .select("grp", "_a", "_b", "side", "id", "vec")
-    )
-    schema = f"grp {grp_type}, id {id_type}, cid {id_type}, dist double"
-    found = placed.groupBy("grp", "_a", "_b").applyInPandas(_kernel(_sparse if sparse else _dense, k + 1), schema)
+    searched = distinct.select("grp", F.col("rep").alias("id"), "vec")
+    found = _search(searched, id_type, grp_type, k + 1, sparse, block_rows, probes)
 
     near: list[Column] = [F.col("dist"), F.col("cid")]
     best = found.withColumn("_rn", F.row_number().over(W.partitionBy("grp", "id").orderBy(*near)))

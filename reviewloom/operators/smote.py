@@ -17,6 +17,8 @@ from reviewloom.functions.keys import int_hash, unit_hash
 from reviewloom.operators.bounded import small_table
 from reviewloom.operators.neighbors import blocked_knn
 from reviewloom.operators.ranking import HashOrder
+from reviewloom.operators.skew import join_by_weight
+from reviewloom.session import cut_lineage
 
 CHUNK = 1000  # synthetic rows one base row yields per task
 
@@ -49,10 +51,12 @@ def _synthetic(
     placed = placed.withColumn("_copies", copies).filter(F.col("_copies") > 0).drop("_cut", "_value", "_each")
 
     near = blocked_knn(base.select(label, id_col, payload), label, id_col, payload, k, sparse)
-    targets = base.select(F.col(id_col).alias("nn_id"), F.col(payload).alias("_nn"))
+    near = cut_lineage(near.select(id_col, "nn_rank", "nn_id"))
+    # A hub may be the neighbour of very many rows: its join is split by that number.
+    weights = near.groupBy("nn_id").agg(F.count(F.lit(1)).alias("_times"))
+    targets = cut_lineage(base.select(F.col(id_col).alias("nn_id"), F.col(payload).alias("_nn")).join(weights, "nn_id"))
     lists = (
-        near.select(id_col, "nn_rank", "nn_id")
-        .join(targets, "nn_id")
+        join_by_weight(near, targets, ["nn_id"], "_times")
         .groupBy(id_col)
         .agg(F.sort_array(F.collect_list(F.struct("nn_rank", "_nn"))).alias("_near"))
     )
