@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewloom.operators.store import replace_reviews
@@ -56,3 +56,47 @@ def append_metrics(metrics: DataFrame, path: str) -> None:
         .partitionBy("analysis_id")
         .parquet(path)
     )
+
+
+# ---------------------------------------------------------------- analyses and models
+ANALYSES, METRICS, MODELS, COMMITS = "analyses", "metrics", "models", "commits"
+
+
+def record_analysis(metrics: DataFrame, path: str, analysis_id: str, user_email: str) -> None:
+    """Store the metrics of one run and, last, its analysis row, which they refer to.
+
+    Metrics without their analysis row are not seen by :func:`stored_metrics`, so a run that broke off
+    leaves nothing behind; the same run again replaces itself.
+    """
+    rows = metrics.drop("analysis_id").withColumn("analysis_id", F.lit(analysis_id))
+    append_metrics(rows, f"{path}/{METRICS}")
+    note = metrics.sparkSession.range(1).select(F.lit(user_email).alias("user_email"), F.lit(analysis_id).alias("analysis_id"))
+    append_metrics(note, f"{path}/{ANALYSES}")
+
+
+def stored_analyses(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("user_email string, analysis_id string").parquet(f"{path}/{ANALYSES}")
+
+
+def stored_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """Metrics of completed analyses."""
+    metrics = spark.read.parquet(f"{path}/{METRICS}").withColumn("analysis_id", F.col("analysis_id").cast("string"))
+    return metrics.join(stored_analyses(spark, path), "analysis_id")
+
+
+def register_models(registry: DataFrame, path: str, version: int) -> None:
+    """Store one version of the model registry (a row per model), then commit it; the same version again
+    replaces itself."""
+    def put(rows: DataFrame, name: str) -> None:
+        rows.withColumn("version", F.lit(version)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(f"{path}/{name}")
+
+    put(registry.drop("is_active", "version"), MODELS)
+    put(registry.sparkSession.range(1).select(F.lit(True).alias("committed")), COMMITS)
+
+
+def registered_models(spark: SparkSession, path: str) -> DataFrame:
+    """All committed versions; ``is_active`` marks the last committed version of each model."""
+    commits = spark.read.schema("committed boolean, version int").parquet(f"{path}/{COMMITS}").select("version")
+    rows = spark.read.parquet(f"{path}/{MODELS}").join(commits, "version", "left_semi")
+    last = F.max("version").over(Window.partitionBy("model_name"))
+    return rows.withColumn("is_active", F.col("version") == last)

@@ -10,7 +10,7 @@ from reviewloom.operators import extract as X
 from reviewloom.operators import store as S
 from reviewloom.session import scratch_path
 from reviewloom.sources import csv, tables
-from reviewloom.streaming.ingest import BATCH, KEY, stream_ingest_reviews
+from reviewloom.streaming.ingest import BATCH, BUCKET, KEY, stream_ingest_reviews
 from reviewloom.workload.base import MARKERS, VIEWS, query, table, view
 from reviewloom.workload.text import SQL_BRAND, SQL_NAME, sql_clean, sql_strip
 
@@ -428,4 +428,4 @@ def stream_ingest(spark, d):
         prepare=lambda df: df.withColumn("cleaned", clean_text("text")), file_filter="conversations.parquet",
     )
     run.awaitTermination()
-    return spark.read.parquet(target).drop(KEY, BATCH)
+    return spark.read.parquet(target).drop(KEY, BATCH, BUCKET)

@@ -190,6 +190,27 @@ def append_metrics(spark, d):
     return shown_metrics(spark.read.parquet(path).select(*rows.columns))
 
 
+@query(
+    "record_analyses",
+    f"""WITH {STATS}, {BEST}, general AS (SELECT product, {PCT} AS pct FROM reviews GROUP BY product),
+    runs AS (SELECT 'run-1' AS analysis_id, 'a@example.com' AS user_email UNION ALL SELECT 'run-2', 'b@example.com')
+    SELECT analysis_id, user_email, product, round(pct, 6) AS general_sentiment, {VERDICT.format('pct')} AS verdict FROM general, runs""",
+    R,
+)
+def record_analyses(spark, d):
+    """Two runs, one of them stored twice, and one that broke off before its analysis row."""
+    from reviewloom.session import scratch_path
+    from reviewloom.sources import tables
+
+    path = scratch_path(spark, "analyses")
+    rows = metric_rows(spark, d)
+    for run, user in (("run-1", "a@example.com"), ("run-2", "b@example.com"), ("run-1", "a@example.com")):
+        tables.record_analysis(rows, path, run, user)
+    tables.append_metrics(rows.withColumn("analysis_id", F.lit("broken")), f"{path}/{tables.METRICS}")
+    kept = tables.stored_metrics(spark, path)
+    return kept.select("analysis_id", "user_email", "product", F.round("general_sentiment", 6).alias("general_sentiment"), "verdict")
+
+
 CR = ("candidates", "reviews")
 PER_REQUEST = f"SELECT lang AS request_id, product AS url, count(*) AS total_reviews, count(CASE WHEN sentiment = 'positif' THEN 1 END) AS positive_count, {PCT} AS pct FROM reviews GROUP BY ALL"
 RANK_SQL = f"""general AS ({PER_REQUEST}),
@@ -337,6 +358,25 @@ def model_registry(spark, d):
     return rows.select("model_name", *[F.round(c, 6).alias(c) for c in ("accuracy", "macro_f1", "f1_negative", "f1_neutral")], "is_active")
 
 
+@query(
+    "model_registry_versions",
+    f"""WITH {REGISTRY}, v AS (SELECT 1 AS version, * FROM registry UNION ALL SELECT 2, * FROM registry WHERE accuracy > 0.5)
+    SELECT version, model_name, round(accuracy, 6) AS accuracy, version = max(version) OVER (PARTITION BY model_name) AS is_active FROM v""",
+    PR,
+)
+def model_registry_versions(spark, d):
+    """Two committed versions, the second with fewer models and stored twice; a third that was never committed."""
+    from reviewloom.session import cut_lineage, scratch_path
+    from reviewloom.sources import tables
+
+    path, rows = scratch_path(spark, "registry"), cut_lineage(registry(spark, d))
+    better = rows.filter(F.col("accuracy") > 0.5)
+    for version, part in ((1, rows), (2, better), (2, better)):
+        tables.register_models(part, path, version)
+    rows.drop("is_active").withColumn("version", F.lit(3)).write.mode("append").partitionBy("version").parquet(f"{path}/{tables.MODELS}")
+    return tables.registered_models(spark, path).select("version", "model_name", F.round("accuracy", 6).alias("accuracy"), "is_active")
+
+
 @query(
     "lookup_model_by_name",
     f"WITH {REGISTRY} SELECT review_id, lang AS model_name FROM reviews WHERE lang IN (SELECT model_name FROM registry WHERE accuracy > 0.5)",

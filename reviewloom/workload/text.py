@@ -70,6 +70,16 @@ def stem_text(spark, d):
     return view(spark, d, "reviews").select("review_id", X.stem_text("review").alias("stemmed"))
 
 
+@query("stem_text_by_table", f"SELECT review_id, {sql_stem('review')} AS stemmed FROM reviews", R)
+def stem_text_by_table(spark, d):
+    """With a table made by the rules, the table gives what the rules give."""
+    from reviewloom.operators.stems import stem_table, stem_with_table, surfaces
+
+    rows = view(spark, d, "reviews").select("review_id", "review")
+    table = stem_table(surfaces(rows, "review_id", "review"))
+    return stem_with_table(rows, "review_id", "review", table).select("review_id", "stemmed")
+
+
 @query("preprocess_train", f"SELECT review_id, {sql_stem(sql_stop(sql_clean('review')))} AS prepared FROM reviews", R)
 def preprocess_train(spark, d):
     rows = view(spark, d, "reviews")

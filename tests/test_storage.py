@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from reviewloom.operators import models as M
 from reviewloom.operators import store as S
 from reviewloom.sources import csv, matrix, models, tables
-from reviewloom.streaming.ingest import BATCH, KEY, stream_ingest_reviews
+from reviewloom.streaming.ingest import BATCH, BUCKET, KEY, stream_ingest_reviews
 
 
 def test_csv_round_trip_keeps_line_breaks_quotes_and_bom(spark, tmp_path):
@@ -62,7 +62,7 @@ def ingest(spark, source, target, checkpoint, max_files=1):
     schema = T._parse_datatype_string("user string, text string, n int")
     run = stream_ingest_reviews(spark, source, schema, target, checkpoint, ["user", "text"], ["n"], max_files=max_files)
     run.awaitTermination()
-    return {(r.user, r.text, r.n) for r in spark.read.parquet(target).drop(KEY, BATCH).collect()}
+    return {(r.user, r.text, r.n) for r in spark.read.parquet(target).drop(KEY, BATCH, BUCKET).collect()}
 
 
 def test_stream_equals_batch_and_survives_replay(spark, tmp_path):
@@ -115,3 +115,63 @@ def test_bucket_count_is_the_tables_own(spark, tmp_path):
         tables.replace_reviews_in_table(spark, path, batch, buckets=16)
     tables.replace_reviews_in_table(spark, path, batch)
     assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [3, 9, 10]
+
+
+def test_a_batch_reads_its_own_buckets_only(spark, tmp_path):
+    """Files of other buckets are damaged, and the next batch does not notice."""
+    from pyspark.sql import types as T
+
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = T._parse_datatype_string("user string, text string, n int")
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream_ingest_reviews(spark, source, schema, target, str(tmp_path / "cp"), ["user", "text"], ["n"], buckets=16).awaitTermination()
+
+    run([(f"u{i}", "x", i) for i in range(60)])
+    own = spark.read.parquet(target).filter("user = 'u7'").first()[BUCKET]
+    assert {r[0] for r in spark.read.parquet(target).select(BUCKET).distinct().collect()} != {own}
+    for folder, _, files in os.walk(target):
+        for f in files:
+            if f"{BUCKET}=" in folder and f"{BUCKET}={own}/" not in folder + "/" and f.endswith(".parquet"):
+                os.remove(os.path.join(folder, f".{f}.crc"))
+                with open(os.path.join(folder, f), "wb") as out:
+                    out.write(b"damaged")
+    run([("u7", "x", 99)])
+    left = spark.read.schema("user string, n int").parquet(f"{target}/{BUCKET}={own}")
+    assert [r.n for r in left.filter("user = 'u7'").collect()] == [7]
+
+
+def test_stream_scores_as_the_batch_operator(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from reviewloom.operators import models as M
+    from reviewloom.operators.features import term_counts, tfidf_fit, tfidf_transform
+    from reviewloom.plans.training import entry_rows
+
+    train = spark.createDataFrame([(i, i % 2, "bagus cepat" if i % 2 else "rusak lambat") for i in range(40)], "review_id bigint, label_idx int, review string")
+    counts = term_counts(train, "review_id", "review")
+    idf = tfidf_fit(counts, train)
+    rows = entry_rows(train.select("review_id", "label_idx"), tfidf_transform(counts, idf, "review_id"), "review_id")
+    labels = spark.createDataFrame([("negatif", 0), ("positif", 1)], "label string, label_idx int")
+    model = M.fit_sentiment(rows, labels, idf, M.ResampleSelectClassifier(classifier=M.boosted_trees({"n_estimators": 3}), k=None, resample=False))
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = T._parse_datatype_string("user string, review string")
+    texts = ["bagus cepat sekali", "rusak lambat", "cepat", "", None, "lambat rusak"]
+    spark.createDataFrame([(f"u{i}", t) for i, t in enumerate(texts)], schema).write.parquet(source)
+    stream_ingest_reviews(spark, source, schema, target, str(tmp_path / "cp"), ["user", "review"], ["user"], model=model).awaitTermination()
+    got = {r.user: (r.predicted, r.confidence) for r in spark.read.parquet(target).collect()}
+    batch = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "review_id bigint, review string")
+    assert got == {f"u{r['review_id']}": (r["predicted"], r["confidence"]) for r in model.score(batch).collect()}
+    assert got["u0"][0] == "positif" and got["u1"][0] == "negatif"
+
+
+def test_stem_table_with_exceptions(spark):
+    from reviewloom.operators.stems import stem_with_table
+
+    df = spark.createDataFrame([(1, "Laptopnya dibeli, laptopnya MAHAL"), (2, None), (3, ""), (4, "dibeli " * 500)], "id int, t string")
+    table = spark.createDataFrame([("laptopnya", "komputer"), ("mahal", "harga")], "surface string, stem string")
+    plain = {r.id: r.stemmed for r in stem_with_table(df, "id", "t", table).collect()}
+    assert plain == {1: "komputer dibeli komputer harga", 2: None, 3: "", 4: " ".join(["dibeli"] * 500)}
+    ruled = {r.id: r.stemmed for r in stem_with_table(df, "id", "t", table, rules=True).collect()}
+    assert ruled[1] == "komputer beli komputer harga"
