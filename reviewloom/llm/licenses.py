@@ -46,6 +46,8 @@ SENTENCES = {
         "licensed under the apache license version 2 0",
         "licensed under the apache license version 2 0 the license",
         "released under the apache license version 2 0",
+        "the asf licenses this file to you under the apache license version 2 0 the license",
+        "the asf licenses this file to you under the apache license version 2 0",
         "spdx license identifier apache 2 0",
     ],
     "isc-ref": ["licensed under the isc license", "spdx license identifier isc"],
@@ -89,6 +91,13 @@ SENTENCES = {
     "ccbysa-ref": ["licensed under cc by sa 4 0", "spdx license identifier cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"],
     "ccbync-ref": ["licensed under cc by nc 4 0", "spdx license identifier cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
     "ccbynd-ref": ["licensed under cc by nd 4 0", "spdx license identifier cc by nd 4 0"],
+    "boost-ref": ["distributed under the boost software license version 1 0", "licensed under the boost software license version 1 0", "boost software license version 1 0 august 17th 2003", "spdx license identifier bsl 1 0"],
+    "unlicense-ref": ["this is free and unencumbered software released into the public domain", "spdx license identifier unlicense"],
+    "epl-ref": [
+        "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+        "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html",
+        "spdx license identifier epl 2 0", "spdx license identifier epl 1 0",
+    ],
     "copyright": [],  # any sentence that starts with "copyright" and a year
     "reserved": ["all rights reserved"],
 }
@@ -124,6 +133,9 @@ RULES = [
     ("CC-BY-NC-4.0", ["ccbync-ref"], True),
     ("CC-BY-ND-4.0", ["ccbynd-ref"], True),
     ("CC-BY-4.0", ["ccby-ref"], False),
+    ("BSL-1.0", ["boost-ref"], False),
+    ("Unlicense", ["unlicense-ref"], False),
+    ("EPL", ["epl-ref"], False),
     ("proprietary", ["copyright", "reserved"], True),
     ("proprietary", ["reserved"], True),
 ]
@@ -131,11 +143,18 @@ CUT = "\u0001"
 SPLIT = r"([.;:?])[ \t-\r]+|\n[ \t\r]*\n"
 LINES = r"[\n\r]+"
 # Marks that are no ends of sentences, as groups of what stays.
-INNER = [(r"(?i)(spdx-license-identifier)[ \t]*:[ \t]*", "$1 "), (r"(?i)\b(v)\.[ \t-\r]+([0-9])", "$1 $2")]
+INNER = [
+    *[(r"(?i)(spdx-license-identifier)[ \t]*:[ \t]*\(?([A-Za-z0-9.+-]+)[ \t]+(?:OR|AND)[ \t]+", "$1 $2" + CUT + "$1: ")] * 3,  # up to four identifiers
+    (r"(?i)(spdx-license-identifier)[ \t]*:[ \t]*", "$1 "),
+    (r"(?i)\b(v)\.[ \t-\r]+([0-9])", "$1 $2"),
+    *[(r"(?i)(neither[ \t-\r]+the[ \t-\r]+name[ \t-\r]+of[^;:?.]{1,200}?)\.([ \t-\r][^;:?]{0,200}?nor[ \t-\r])", "$1$2")] * 3,
+]
+# A clause that names a holder, and the form it is known by.
+HOLDER = (r"^([0-9] )?neither the name of .+ nor the names of (its )?contributors", "neither the name of the copyright holder nor the names of its contributors")
 
 
 def normalise(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " ")), *HOLDER)
 
 
 def known_sentences(spark: SparkSession) -> DataFrame:
@@ -202,7 +221,10 @@ QUERIES = {"op10_licenses": op10_licenses}
 
 def _oracle() -> str:
     known = ", ".join(f"('{s}', '{name}')" for name, found in SENTENCES.items() for s in found)
-    norm = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
+    norm = f"regexp_replace(trim(regexp_replace(lower({{0}}), '[^a-z0-9]+', ' ', 'g')), '{HOLDER[0]}', '{HOLDER[1]}')"
+    whole = "coalesce(text, '')"
+    for inner, stays in INNER:
+        whole = f"regexp_replace({whole}, '{inner}', '{stays.replace('$', chr(92))}', 'g')"
     named = "coalesce(k.name, CASE WHEN regexp_matches(" + norm + f", '{COPYRIGHT}') THEN 'copyright' END)"
     checks = []
     for n, (_, ids, _) in enumerate(RULES):
@@ -215,7 +237,7 @@ def _oracle() -> str:
     return rf"""
 WITH known(norm, name) AS (VALUES {known}),
 cut AS (
-  SELECT DISTINCT doc_id, text, string_split(regexp_replace(coalesce(text, ''), '{SPLIT}', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents),
+  SELECT DISTINCT doc_id, text, string_split(regexp_replace({whole}, '{SPLIT}', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents),
 units AS (SELECT doc_id, text, p.at_, s[p.at_] AS unit FROM cut, unnest(range(1, len(s) + 1)) AS p(at_)),
 whole AS (SELECT u.*, {named.replace("{0}", "unit")} AS name FROM units u LEFT JOIN known k ON k.norm = {norm.replace("{0}", "unit")}),
 parts AS (SELECT doc_id, text, at_, q.line, string_split_regex(unit, '{LINES}')[q.line] AS piece FROM whole,
