@@ -25,6 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewloom.functions.html import let
 from reviewloom.llm.common import documents, text_or_empty
 from reviewloom.operators.bounded import few_rows
 from reviewloom.session import cut_lineage
@@ -60,7 +61,8 @@ LABELERS = ("regex", "gazetteer", "context")
 VOTES, FEATURES = ("v0", "v1", "v2"), ("f0", "f1")
 THRESHOLD = 0.5
 RUN = 256
-SPANS = "array<struct<start:int,end:int,value:string>>"
+SPANS = "array<struct<start:int,end:int,value:string,before:string>>"
+PLACED = "array<struct<start:int,order:int,end:int,kind:string,base:boolean>>"
 ROUNDS = 100
 
 
@@ -70,35 +72,29 @@ def with_matches(rows: DataFrame, patterns: dict[str, tuple[str, Column]]) -> Da
     none = F.array().cast("array<string>")
     values = [F.when(hint, F.regexp_extract_all("_x", F.lit(p), F.lit(0))).otherwise(none).alias(f"_v_{n}") for n, (p, hint) in patterns.items()]
     found = rows.select("*", *values)
-    pieces = [F.when(F.size(f"_v_{n}") > 0, F.transform(F.split("_x", p, -1), lambda x: F.length(x))).alias(f"_p_{n}") for n, (p, _) in patterns.items()]
+    pieces = [F.when(F.size(f"_v_{n}") > 0, F.split("_x", p, -1)).alias(f"_p_{n}") for n, (p, _) in patterns.items()]
     found = found.select("*", *pieces)
     return found.select(*rows.columns, *[spans(F.col(f"_v_{n}"), F.col(f"_p_{n}")).alias(n) for n in patterns])
 
 
 def spans(values: Column, pieces: Column) -> Column:
-    """Places of the matches ``values``, between which lie ``pieces`` characters.
-
-    Running sums are made in blocks of ``RUN`` matches, then over the blocks, so that a text of very many
-    matches does not copy its whole array for each.
-    """
+    """Places of the matches ``values`` between the ``pieces`` of a text, with the ``BEFORE`` characters in front."""
     paired = F.zip_with(values, F.slice(pieces, 1, F.size(values)), lambda v, p: F.struct(v.alias("v"), p.alias("p")))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / RUN).cast("int")), lambda i: F.slice(paired, i * RUN + 1, RUN))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("found"))
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"))
+
+    def step(s: Column, e: Column) -> Column:
+        return F.struct((s["at"] + F.length(e["p"]) + F.length(e["v"])).alias("at"), F.right(F.concat(s["tail"], e["p"], e["v"]), F.lit(BEFORE)).alias("tail"))
 
-    def step(state, x):
-        first = state["at"] + x["p"]
-        last = first + F.length(x["v"])
-        return F.struct(last.alias("at"), F.concat(state["found"], F.array(span(first, last, x["v"]))).alias("found"))
+    def placed(s: Column, e: Column) -> Column:
+        start = s["at"] + F.length(e["p"])
+        return span(start, start + F.length(e["v"]), e["v"], F.right(F.concat(s["tail"], e["p"]), F.lit(BEFORE)))
 
-    summed = F.transform(blocks, lambda b: F.aggregate(b, start, step))
-    offsets = F.aggregate(summed, F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + b["at"])))
-    moved = F.zip_with(summed, offsets, lambda b, o: F.transform(b["found"], lambda s: span(s["start"] + o, s["end"] + o, s["value"])))
-    # There is an offset more than blocks.
-    return F.when(F.size(values) > 0, F.flatten(F.filter(moved, lambda m: m.isNotNull()))).otherwise(F.array().cast(SPANS))
+    found = swept(paired, begin, step, lambda s, e: F.lit(True), placed, SPANS)
+    return F.when(F.size(values) > 0, found).otherwise(F.array().cast(SPANS))
 
 
-def span(start: Column, end: Column, value: Column) -> Column:
-    return F.struct(start.alias("start"), end.alias("end"), value.alias("value"))
+def span(start: Column, end: Column, value: Column, before: Column) -> Column:
+    return F.struct(start.alias("start"), end.alias("end"), value.alias("value"), before.alias("before"))
 
 
 def digits(value: Column) -> Column:
@@ -232,14 +228,40 @@ def with_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return found.select("doc_id", "_x", *held, *[f"loose_{k}" for k in KINDS])
 
 
-def free(span: Column, taken: Column) -> Column:
-    """Whether a span overlaps none of ``taken``."""
-    return ~F.exists(taken, lambda t: (t["start"] < span["end"]) & (span["start"] < t["end"]))
+def swept(spans_: Column, begin: Column, step, keeps, value, kind: str) -> Column:
+    """One pass over an array in order: the ``value`` (state, element) of every element that ``keeps`` holds for, where
+    ``step`` gives the next state. Elements are passed in blocks of ``RUN``, so long arrays cost no more than their length."""
+
+    def blocks(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor(F.size(x) / RUN).cast("int")), lambda k: F.slice(x, k * RUN + 1, RUN))
+
+    def one(acc: Column, e: Column) -> Column:
+        found = F.when(keeps(acc["s"], e), F.concat(acc["found"], F.array(value(acc["s"], e)))).otherwise(acc["found"])
+        return F.struct(step(acc["s"], e).alias("s"), found.alias("found"))
+
+    def block(acc: Column, some: Column) -> Column:
+        own = F.aggregate(some, F.struct(acc["s"].alias("s"), F.array().cast(kind).alias("found")), one)
+        return let(own, lambda r: F.struct(r["s"].alias("s"), F.concat(acc["found"], F.array(r["found"])).alias("found")))
 
+    start = F.struct(begin.alias("s"), F.array().cast(f"array<{kind}>").alias("found"))
+    return let(spans_, lambda x: F.flatten(F.aggregate(blocks(x), start, block)["found"]))
 
-def before(text: Column, span: Column) -> Column:
-    start = F.greatest(span["start"] - BEFORE, F.lit(0))
-    return F.substr(text, start + 1, span["start"] - start)
+
+def free(loose: Column, taken: Column) -> Column:
+    """The spans of ``loose`` that overlap none of ``taken``: a pass forward that knows how far those before reach,
+    and one back that knows where those behind begin."""
+    marks = F.transform(taken, lambda t: F.struct(t["start"].alias("start"), F.lit(0).alias("k"), t["end"].alias("end"), F.lit("").alias("value"), F.lit("").alias("before")))
+
+    def among(spans_: Column) -> Column:
+        return F.sort_array(F.concat(marks, F.transform(spans_, lambda t: F.struct(t["start"].alias("start"), F.lit(1).alias("k"), t["end"].alias("end"), t["value"].alias("value"), t["before"].alias("before")))))
+
+    def plain(_, e: Column) -> Column:
+        return span(e["start"], e["end"], e["value"], e["before"])
+
+    is_taken = lambda e: e["k"] == 0
+    ahead = swept(among(loose), F.lit(0), lambda s, e: F.when(is_taken(e), F.greatest(s, e["end"])).otherwise(s), lambda s, e: ~is_taken(e) & (s <= e["start"]), plain, SPANS)
+    back = lambda kept: swept(F.reverse(among(kept)), F.lit(2**31 - 1), lambda s, e: F.when(is_taken(e), F.least(s, e["start"])).otherwise(s), lambda s, e: ~is_taken(e) & (e["end"] <= s), plain, SPANS)
+    return F.when((F.size(loose) > 0) & (F.size(taken) > 0), F.reverse(let(ahead, back))).otherwise(loose)
 
 
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -249,10 +271,10 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     def judged(order: int, kind: str):
         def of(s):
-            cast = [v.alias(n) for v, n in zip(votes(kind, s["value"], before(F.col("_x"), s)), VOTES)]
+            cast = [v.alias(n) for v, n in zip(votes(kind, s["value"], s["before"]), VOTES)]
             return F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), *cast, *[f.alias(n) for f, n in zip(features(s["value"]), FEATURES)])
 
-        return F.transform(F.filter(f"loose_{kind}", lambda s: free(s, taken)), of)
+        return F.transform(free(F.col(f"loose_{kind}"), taken), of)
 
     loose = F.concat(*[judged(i, k) for i, k in enumerate(KINDS)])
     base = [F.transform(f"base_{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(f"base_{k}") for k in KINDS]
@@ -294,11 +316,9 @@ def find(found: DataFrame, model: SpanModel) -> DataFrame:
     rows = found.select("doc_id", *[f"base_{k}" for k in KINDS], every.alias("_all"))
     rows = rows.withColumn("_extra", F.filter("_all", lambda s: ~s["base"]))
 
-    def first(s):
-        earlier = F.filter("_extra", lambda t: ((t["start"] < s["start"]) | ((t["start"] == s["start"]) & (t["order"] < s["order"]))) & (s["start"] < t["end"]))
-        return s["base"] | (F.size(earlier) == 0)
-
-    clear = F.when(F.size("_extra") > 0, F.filter("_all", first)).otherwise(F.col("_all"))
+    # Of the looser spans in order, one stays if none before it reaches into it.
+    first = swept(F.col("_extra"), F.lit(0), lambda s, e: F.greatest(s, e["end"]), lambda s, e: s <= e["start"], lambda _, e: e, PLACED)
+    clear = F.when(F.size("_extra") > 0, F.sort_array(F.concat(F.filter("_all", lambda s: s["base"]), first))).otherwise(F.col("_all"))
     return rows.select("doc_id", *[f"base_{k}" for k in KINDS], clear.alias("spans"))
 
 
