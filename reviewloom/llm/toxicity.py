@@ -3,7 +3,8 @@
 A trigram language model of characters is counted over the words of all documents. Words that look disguised
 (digits or signs for letters, letters set apart, letters repeated) become lattices: a sign stands for some
 letters or for nothing, a repeated letter may be dropped, each at a cost. Viterbi decoding under the language
-model restores the likeliest word. Restored texts are scored by word evidence: every word and word start is
+model restores the likeliest word; letters that stand apart over more than a word are decoded with word ends in the
+lattice, and look-alike letters of other scripts are edges too. Restored texts are scored by word evidence: every word and word start is
 hashed, and the log odds of the labelled documents that have it, shrunk for rare ones, are its evidence. The
 three strongest pieces of evidence of a text go through a logistic function that is fitted on labelled rows
 which the evidence has not seen.
@@ -20,7 +21,9 @@ more than once count as toxic if any of their labels does. Repeated rows are sco
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -38,37 +41,41 @@ TOP = 3
 SHRINK = 5.0
 MAX_FIT_ROWS = 20_000
 PIECE = 1 << 20
-LONGEST = 32  # characters of a disguised word
+LONGEST = 32  # characters of a disguised word, repeats shortened
+ONE_WORD = 10  # more letters with marks between them may be several words
+RUN_PIECE = 96  # letters of such a run decoded together
 CACHE_WORDS = 1 << 17
 
 # What signs stand for, and the channel's costs in nats.
 STANDS_FOR = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
-REPLACED, DROPPED_SIGN, DROPPED_MARK, DROPPED_REPEAT, KEPT_REPEAT = 1.0, 8.0, 0.3, 0.7, 0.0
+REPLACED, DROPPED_SIGN, DROPPED_MARK, DROPPED_REPEAT, KEPT_REPEAT, LOOK_ALIKE = 1.0, 8.0, 0.3, 0.7, 0.0, 0.0
+# Letters of other scripts that look like Latin ones.
+LOOKS_LIKE = dict(zip("аеорсухіѕјһԁвкмнтɡαεικνορτυχ", "aeopcyxisjhdbkmhtgaeiknoptux"))
 MARKS = " ._*~-"
 SIGNS = "@$!|+0-9"
 LETTER = "[a-zªµºß-öø-ɏ]"  # of lower-case Latin text
 # Four or more single letters or signs with the same mark between them; or a word with a sign between letters, one or
 # two signs at an end, three letters with single marks, or a letter three times.
 APART = rf"(?<!\S)(?:{LETTER}|[{SIGNS}])(?P<mark>[{MARKS}])(?:{LETTER}|[{SIGNS}])(?:(?P=mark)(?:{LETTER}|[{SIGNS}])){{2,}}(?![^\s.,;:?])"
-CORE = rf"(?P<again>{LETTER})(?:[{SIGNS}]+{LETTER}|[@$|+0-9]{{1,2}}(?!\S)|[._*~-]{LETTER}[._*~-]{LETTER}|(?P=again){{2}})|(?<!\S)[@$|+0-9]{{1,2}}{LETTER}"
+ALIKE = "".join(c for c in LOOKS_LIKE if c > "\u024f")
+CORE = rf"{LETTER}[{ALIKE}]|[{ALIKE}]{LETTER}|(?P<again>{LETTER})(?:[{SIGNS}]+{LETTER}|[@$|+0-9]{{1,2}}(?!\S)|[._*~-]{LETTER}[._*~-]{LETTER}|(?P=again){{2}})|(?<!\S)[@$|+0-9]{{1,2}}{LETTER}"
 DISGUISED = re.compile(f"(?P<apart>{APART})|{CORE}")
-SPACE = re.compile(r"\s")
+REPEATED = re.compile(r"(.)\1{3,}", re.DOTALL)
 PRIMES = np.random.default_rng(64).integers(1, 1 << 63, SPELLED + 1, dtype=np.uint64) | np.uint64(1)
 
 
-def symbol_table() -> np.ndarray:
-    table = np.zeros(0x250, dtype=np.int64)
-    for c in range(0x250):
-        if chr(c).isalpha():
+@cache
+def symbols() -> np.ndarray:
+    """The symbol of every code point: letters of all scripts, with the marks that belong to them, have one."""
+    table = np.zeros(0x110000, dtype=np.int64)
+    for c in range(0x110000):
+        if chr(c).isalpha() or (c > 0x2FF and unicodedata.category(chr(c))[0] == "M"):
             table[c] = c - 96 if 97 <= c < 123 else 27 + c % (SYMBOLS - 27)
     return table
 
 
-SYMBOL = symbol_table()
-
-
 def symbol(letter: str) -> int:
-    return int(SYMBOL[ord(letter)]) if ord(letter) < len(SYMBOL) else 0
+    return int(symbols()[ord(letter)])
 
 
 def codes_of(text: str) -> np.ndarray:
@@ -84,7 +91,7 @@ def count_trigrams(batches):
         for text in batch["text"]:
             for at in range(0, len(text), PIECE):
                 codes = codes_of(text[at : at + PIECE].lower())
-                one = np.concatenate(([0, 0], np.where(codes < len(SYMBOL), SYMBOL[np.minimum(codes, len(SYMBOL) - 1)], 0), [0]))
+                one = np.concatenate(([0, 0], symbols()[codes], [0]))
                 before = np.where(one[1:-1] == 0, 0, one[:-2])  # what lies before a boundary is forgotten
                 gram = (before * SYMBOLS + one[1:-1]) * SYMBOLS + one[2:]
                 waiting.append(gram[(one[1:-1] > 0) | (one[2:] > 0)])
@@ -120,6 +127,8 @@ def options(token: str, at: int) -> list[tuple[str, float]]:
         return [("", DROPPED_MARK)]
     if c in STANDS_FOR:
         return [(x, REPLACED) for x in STANDS_FOR[c]] + [("", DROPPED_SIGN)]
+    if c in LOOKS_LIKE:
+        return [(c, 0.0), (LOOKS_LIKE[c], LOOK_ALIKE)]
     if not c.isalpha():
         return [("", DROPPED_SIGN)]
     run = at and token[at - 1] == c and (token[at + 1 : at + 2] == c or (at > 1 and token[at - 2] == c))
@@ -145,6 +154,28 @@ def decode(token: str, model: CharacterModel) -> str:
     return min((sum_ + float(cost[a, b, 0]), word) for (a, b), (sum_, word) in states.items())[1]
 
 
+def decode_run(letters: str, model: CharacterModel) -> str:
+    """Likeliest words of letters that stood apart: the same search, with a word's end as one more way on."""
+    cost = model.cost
+    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    for at in range(len(letters)):
+        for (a, b), (sum_, words) in list(states.items()):
+            if b:  # a word may end here
+                ended = (sum_ + float(cost[a, b, 0]), words + " ")
+                if (0, 0) not in states or ended < states[0, 0]:
+                    states[0, 0] = ended
+        after: dict[tuple[int, int], tuple[float, str]] = {}
+        for (a, b), (sum_, words) in states.items():
+            for letter, price in options(letters, at):
+                s = symbol(letter) if letter else b
+                new = (sum_ + price + (float(cost[a, b, s]) if letter else 0.0), words + letter)
+                key = (b, s) if letter else (a, b)
+                if key not in after or new < after[key]:
+                    after[key] = new
+        states = after
+    return min((sum_ + float(cost[a, b, 0]), words) for (a, b), (sum_, words) in states.items())[1].strip()
+
+
 class Restorer:
     """Restores texts; remembers the words it has decoded."""
 
@@ -158,20 +189,38 @@ class Restorer:
             self.known[token] = decode(token, self.model)
         return self.known[token]
 
+    def run(self, letters: str) -> str:
+        """Words of a run of any length: a piece at a time, its last word decoded again with what follows."""
+        found, rest = [], letters
+        while len(rest) > RUN_PIECE:
+            words = decode_run(rest[:RUN_PIECE], self.model)
+            last = words.rpartition(" ")[2] if " " in words else ""
+            found.append(words[: len(words) - len(last)].strip())
+            # Signs that were dropped belong to the words given out, so the last word's letters are counted from the end.
+            rest = rest[RUN_PIECE - len(last) :]
+        return " ".join([w for w in found if w] + [decode_run(rest, self.model)])
+
     def text(self, text: str) -> str:
         """Lower-case text with disguised words restored."""
-        text = text.lower()
+        text = REPEATED.sub(r"\1\1\1", text.lower())  # no word has a letter four times in a row
         parts, done, at = [], 0, 0
         while found := DISGUISED.search(text, at):
             start, end = found.span()
             at = max(end, at + 1)
-            if found["apart"] is None:
-                # The token around the find; longer ones are no words.
+            if found["apart"] is not None:
+                letters = found["apart"].replace(found["mark"], "")
+                if len(letters) > ONE_WORD and start >= done:
+                    parts += [text[done:start], self.run(letters)]
+                    done = end
+                    continue
+            else:
+                # The token around the find.
                 low = start
                 while low > done and start - low <= LONGEST and not text[low - 1].isspace():
                     low -= 1
-                high = SPACE.search(text, end, end + LONGEST)
-                high = high.start() if high else min(len(text), end + LONGEST)
+                high = end
+                while high < len(text) and high - end <= LONGEST and not text[high].isspace():
+                    high += 1
                 start, end = low, high
                 at = max(at, end)
             if end - start > LONGEST or start < done:
@@ -188,7 +237,7 @@ def word_features(text: str):
     """Hashes (features x words) of the words of a lower-case text, and which are real, piece by piece."""
     for at in range(0, len(text), PIECE):
         codes = codes_of(text[at : at + PIECE])
-        letter = (codes < len(SYMBOL)) & (SYMBOL[np.minimum(codes, len(SYMBOL) - 1)] > 0)
+        letter = symbols()[codes] > 0
         padded = np.concatenate(([False], letter, [False]))
         starts = np.nonzero(padded[1:-1] & ~padded[:-2])[0]
         lengths = np.nonzero(padded[1:-1] & ~padded[2:])[0] + 1 - starts
@@ -228,8 +277,9 @@ class ToxicityModel:
             value = np.where(real, self.evidence[hashed], 0.0)
             word = value.argmax(axis=0)
             buckets, value = hashed[word, np.arange(hashed.shape[1])], value.max(axis=0)
-            strong = np.argsort(-value, kind="stable")[: TOP * 64] if len(value) > TOP * 64 else np.arange(len(value))
-            seen.append(np.stack([value[strong], buckets[strong]]))
+            _, once = np.unique(buckets, return_index=True)  # a word that repeats is one piece of evidence
+            once = once[np.argsort(-value[once], kind="stable")[:TOP]]
+            seen.append(np.stack([value[once], buckets[once]]))
         if seen:
             value, bucket = np.concatenate(seen, axis=1)
             _, first = np.unique(bucket, return_index=True)

@@ -34,10 +34,49 @@ def test_disguised_words_are_restored():
     cases = {"an 1d10t": "an idiot", "i d i o t here": "idiot here", "l-o-s-e-r": "loser", "cl0wn.": "clown", "idiiiot": "idiot", "w0rthle55": "worthless", "$tup1d": "stupid"}
     for given, want in cases.items():
         assert fix.text(given) == want
-    for same in ("plain words stay", "a b test", "9 lives", "x" * 100 + "1" + "y" * 100, ""):
+    for same in ("plain words stay", "a b test", "9 lives", "xy" * 100 + "1" + "yz" * 100, ""):
         assert fix.text(same) == same
 
 
+def test_padding_does_not_beat_the_decoder():
+    """Letters apart at any length, long repeats, look-alike letters of other scripts."""
+    fix = restorer(["you are an idiot stupid loser and this is what he said to the clown with it"] * 200)
+    cases = {
+        "y o u a r e a n i d i o t s t u p i d": "you are an idiot stupid", "idio" + "o" * 40 + "t": "idiot", "s t u p i d l o s e r": "stupid loser", "s-t-u-p-i-d-l-o-s-e-r": "stupid loser",
+        "an \u0456diot": "an idiot", "st\u03c5pid": "stupid", "привет мир": "привет мир",
+    }
+    for given, want in cases.items():
+        assert fix.text(given) == want
+    long = fix.text(" ".join("youareanidiot" * 40))
+    assert long.split().count("idiot") >= 36 and long.split().count("are") >= 36
+
+
+def test_decoding_finds_the_cheapest_path_of_all():
+    """Every path through small lattices, costs added up plainly."""
+    from itertools import product
+
+    fix = restorer(["the idiot stupid loser scum clown till toll tell"] * 30)
+    for token in ("1d10t", "t0||", "sc.u.m", "t1ll", "cl0wn", "$+upid", "lllos3r"):
+        found = []
+        for path in product(*[X.options(token, i) for i in range(len(token))]):
+            word, cost = "".join(c for c, _ in path), sum(p for _, p in path)
+            symbols = [0, 0, *(X.symbol(c) for c in word), 0]
+            cost += sum(float(fix.model.cost[a, b, c]) for a, b, c in zip(symbols, symbols[1:], symbols[2:]))
+            found.append((round(cost, 4), word))
+        best = X.decode(token, fix.model)
+        assert min(found)[0] == min(c for c, w in found if w == best)
+
+
+def test_every_script_has_evidence_and_repeats_count_once():
+    for text in ("какой идиот", "ηλίθιε", "أنت غبي", "あなたは馬鹿", "तुम मूर्ख"):
+        assert len(X.text_buckets(text)) > 0
+    evidence = np.zeros(X.BUCKETS)
+    strong, weak = X.text_buckets("idiot"), X.text_buckets("moron")
+    evidence[strong], evidence[weak] = 3.0, 2.0
+    model = X.ToxicityModel(None, evidence, np.ones(X.TOP + 1))
+    assert model.strongest("idiot " * 500 + "moron").tolist() == [3.0, 2.0, 0.0]
+
+
 def test_held_out_toxicity(spark, tmp_path):
     words = "ba ko mi ru ta ne so li fa du".split()
     rng = np.random.default_rng(5)
@@ -103,3 +142,31 @@ def test_looser_spans(spark):
     rows = {r["doc_id"]: r["s"] for r in P.find(seen, P.learn(seen)).select("doc_id", P.joined(F.col("spans")).alias("s")).collect()}
     assert all({x.split(":")[0] for x in rows[i].split(",")} == {"email", "phone", "ip"} for i in range(40))
     assert all(rows[i] == "" for i in range(40, 80))
+
+
+def test_spans_clear_of_others_against_all_pairs(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(8)
+    for size in (0, 1, 5, 700):
+        def draw(n):
+            return sorted({(a, a + rnd.randint(1, 6)) for a in (rnd.randint(0, 4 * size + 5) for _ in range(n))})
+
+        loose, taken = draw(size), draw(size // 2)
+        row = spark.createDataFrame([([(a, b, f"v{a}", "") for a, b in loose], [(a, b, "", "") for a, b in taken])], f"l {P.SPANS}, t {P.SPANS}")
+        got = [(r["start"], r["end"]) for r in row.select(P.free(F.col("l"), F.col("t")).alias("x")).first()["x"]]
+        assert sorted(got) == [(a, b) for a, b in loose if all(d <= a or b <= c for c, d in taken)]
+
+
+def test_a_long_text_of_spans_takes_no_square_of_time(spark):
+    import time
+
+    text = " ".join(f"user{i} at mail{i} dot com, 0{i % 90 + 10} 555 {i % 9000 + 1000}, x{i}@y{i}.org" for i in range(8_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.time()
+    seen = P.candidates(docs)
+    row = P.find(seen, P.learn(seen)).first()
+    assert len(row["base_email"]) == 8_000 and len(row["spans"]) >= 8_000
+    assert time.time() - start < 60
