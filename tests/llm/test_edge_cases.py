@@ -35,6 +35,9 @@ def write(spark, path, rows, labels, benchmark):
     docs.coalesce(2).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    # Of each document a conversation of one turn, by the document's id.
+    turns = docs.select(F.col("doc_id").alias("conv_id"), F.lit(None).cast("long").alias("turn"), F.col("lang").alias("role"), "text", F.lit("clash").alias("depth"))
+    turns.write.parquet(f"{path}/conversations.parquet")
     return str(path)
 
 
@@ -98,6 +101,22 @@ def test_licences_of_odd_rows(spark, odd_dir):
     assert [(r["doc_id"], r["licenses"]) for r in found] == [(13, "MIT")]
 
 
+def test_secrets_of_odd_rows(spark, odd_dir):
+    found = by_id(registry.queries()["op11_secrets"](spark, odd_dir))
+    assert found[4]["spans"] == found[5]["spans"] == "" and found[7]["n_hex"] == 1 and found[12]["spans"] == ""
+
+
+def test_words_of_odd_rows(spark, odd_dir):
+    found = {r["word"]: r for r in registry.queries()["op12_spelling"](spark, odd_dir).collect()}
+    assert found["brown"]["root"] == "brown" and found["brown"]["n"] >= 3 and "word" not in found
+
+
+def test_trie_of_odd_rows(spark, odd_dir):
+    rows = registry.queries()["op13_prefix_trie"](spark, odd_dir).collect()
+    root = [r for r in rows if r["depth"] == 0]
+    assert len(root) == 1 and root[0]["n_convs"] == 13 and root[0]["conv_id"] == 1 and root[0]["parent_conv_id"] is None
+
+
 def test_pipeline_of_odd_rows(spark, odd_dir):
     rows = registry.queries()["pipeline"](spark, odd_dir).collect()
     ids = {r["doc_id"] for r in rows}
