@@ -122,10 +122,11 @@ def model_contract(spark, d):
     )
 
 
-EITHER_TEXT = f"list_filter({sql_list(WORDS)}, lambda k: contains(lower(review), k) OR contains({sql_stem(sql_stop('lower(review)'))}, k))"
+PREPARED = f"ready AS MATERIALIZED (SELECT review_id, review, lower(review) AS low, {sql_stem(sql_stop('lower(review)'))} AS prepared FROM reviews)"
+EITHER_TEXT = f"list_filter({sql_list(WORDS)}, lambda k: contains(low, k) OR contains(prepared, k))"
 
 
-@query("scored_reviews", f"SELECT review_id, review AS content, array_to_string({EITHER_TEXT}, '|') AS keywords, true AS labelled FROM reviews", R)
+@query("scored_reviews", f"WITH {PREPARED} SELECT review_id, review AS content, array_to_string({EITHER_TEXT}, '|') AS keywords, true AS labelled FROM ready", R)
 def scored_reviews(spark, d):
     """Stored reviews from raw text: keywords of the raw or the prepared text, a label and a confidence on each."""
     rows = P.score_raw_reviews(view(spark, d, "reviews"), served(spark, d), lexicon=LEXICON)
