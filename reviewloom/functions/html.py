@@ -150,14 +150,14 @@ def contents(html: Column, element: Column) -> Column:
     return F.substr(html, element["inside"] + 1, element["until"] - element["inside"])
 
 
-def attribute(element: Column, name: str, empty: bool = False) -> Column:
-    """Value of an attribute in double, single or no quotes, references decoded; null when there is none, or
-    when it is empty and ``empty`` is not asked for."""
+def attribute(element: Column, name: str, empty: bool = False, decode: bool = True) -> Column:
+    """Value of an attribute in double, single or no quotes; null when there is none, or when it is empty and
+    ``empty`` is not asked for. References are decoded unless ``decode`` is off, as for names that need none."""
     spaces = r"""(?:\s|(?<=["']))"""
     pattern = rf"""(?is)^<[^\s>]+(?:[^"'>]|"[^"]*"|'[^']*')*?{spaces}{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
     raw = F.regexp_extract(element["attrs"], pattern, 1)
     value = F.regexp_replace(raw, r"""(?s)^(["'])(.*)\1$""", "$2")
-    found = F.when(raw != "", let(value, decode_entities))
+    found = F.when(raw != "", let(value, decode_entities) if decode else value)
     return found if empty else F.nullif(found, F.lit(""))
 
 

@@ -111,7 +111,7 @@ def select_review_containers(
     def boxes(condition) -> Column:
         return F.transform(F.filter(elements, condition), lambda e: contents(page, e))
 
-    cards = boxes(lambda e: (e["tag"] == "div") & (attribute(e, "data-testid") == "reviewCard"))
+    cards = boxes(lambda e: (e["tag"] == "div") & (attribute(e, "data-testid", decode=False) == "reviewCard"))
     base = base.withColumn("_cards", F.when(page.contains("reviewCard"), cards).otherwise(F.array().cast("array<string>")))
     no_cards = F.size("_cards") == 0
     articles = boxes(lambda e: e["tag"] == "article")
@@ -142,14 +142,14 @@ def _with_tree(container: Column, elements: Column | None, body) -> Column:
 
 
 def _is(tag: str, attr: str | None = None, value: str | None = None):
-    return lambda e: (e["tag"] == tag) & (F.coalesce(attribute(e, attr) == value, F.lit(False)) if attr else F.lit(True))
+    return lambda e: (e["tag"] == tag) & (F.coalesce(attribute(e, attr, decode=False) == value, F.lit(False)) if attr else F.lit(True))
 
 
 def extract_username(container: Column, banned: Sequence[str] = tuple(NOT_USERNAME), variant: str = "new", elements: Column | None = None) -> Column:
     def of(found: Column) -> Column:
         named = first_text(container, found, _is("span", "data-testid", "proName"))
         if variant == "old":
-            fallback = first_text(container, found, lambda e: (e["tag"] == "span") & F.coalesce(attribute(e, "class").contains("name") | attribute(e, "class").contains("Name"), F.lit(False)))
+            fallback = first_text(container, found, lambda e: (e["tag"] == "span") & F.coalesce(attribute(e, "class", decode=False).contains("name") | attribute(e, "class", decode=False).contains("Name"), F.lit(False)))
         else:
             plain = lambda t: (F.length(t) > 3) & (F.length(t) < 50) & ~contains_any(t, banned)
             fallback = first_match(texts_of(container, found, _is("span")), plain)
@@ -171,10 +171,10 @@ def rating_defaulted(container: Column, word: str = RATING_WORD, variant: str =
 def _rating(container: Column, word: str, variant: str, elements: Column | None) -> Column:
     def of(found: Column) -> Column:
         icons = F.filter(found, _is("div", "data-testid", "icnStarRating"))
-        icon = let(F.get(icons, F.lit(0)), lambda e: F.when(e.isNotNull(), attribute(e, "aria-label")))
+        icon = let(F.get(icons, F.lit(0)), lambda e: F.when(e.isNotNull(), attribute(e, "aria-label", decode=False)))
         if variant == "old":
             return F.nullif(F.get(F.split(icon, " ", -1), F.lit(1)), F.lit(""))
-        labels = F.transform(F.filter(found, lambda e: F.lower(e["attrs"]).contains("aria-label")), lambda e: attribute(e, "aria-label"))
+        labels = F.transform(F.filter(found, lambda e: F.lower(e["attrs"]).contains("aria-label")), lambda e: attribute(e, "aria-label", decode=False))
         label = F.get(F.filter(labels, lambda v: F.coalesce(F.lower(v).contains(word), F.lit(False))), F.lit(0))
         return F.nullif(F.regexp_extract(F.coalesce(label, icon), r"(\p{Nd})", 1), F.lit(""))
 
@@ -207,7 +207,7 @@ def extract_review_text(container: Column, banned: Sequence[str] = tuple(NOT_REV
 def extract_date_text(container: Column, words: Sequence[str] = tuple(DATE_WORDS), variant: str = "new", elements: Column | None = None) -> Column:
     def of(found: Column) -> Column:
         if variant == "old":
-            stamped = lambda e: (e["tag"] == "p") & F.coalesce(attribute(e, "class").rlike("timestamp|date"), F.lit(False))
+            stamped = lambda e: (e["tag"] == "p") & F.coalesce(attribute(e, "class", decode=False).rlike("timestamp|date"), F.lit(False))
             date = F.coalesce(first_text(container, found, stamped), first_match(texts_of(container, found, _is("p")), lambda t: contains_any(t, DATE_MARKERS)))
         else:
             texts = texts_of(container, found, lambda e: e["tag"].isin("p", "span", "div"))
