@@ -67,6 +67,7 @@ def stream_ingest_reviews(
         whole = rows.withColumn(BATCH, F.lit(batch_id))
         whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET, BATCH).parquet(target)
 
+    stored_bucket_count(spark, target, buckets)  # without any row the target is an empty table
     reader = spark.readStream.schema(schema).option("pathGlobFilter", file_filter)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)

@@ -175,3 +175,19 @@ def test_stem_table_with_exceptions(spark):
     assert plain == {1: "komputer dibeli komputer harga", 2: None, 3: "", 4: " ".join(["dibeli"] * 500)}
     ruled = {r.id: r.stemmed for r in stem_with_table(df, "id", "t", table, rules=True).collect()}
     assert ruled[1] == "komputer beli komputer harga"
+
+
+@pytest.mark.parametrize("parts", [0, 1, 3])
+def test_ingest_query_reads_a_table_of_part_files(spark, tmp_path, parts):
+    from reviewloom.workload import queries
+
+    schema = "conv_id long, turn int, role string, text string"
+    rows = spark.createDataFrame([(c, t, "user", f"Text {c * 2 + t} a") for c in range(6) for t in (0, 1, 2)], schema)
+    path = str(tmp_path / "conversations.parquet")
+    if parts:
+        rows.repartition(parts).write.parquet(path)
+    else:  # a table without rows
+        rows.filter("conv_id < 0").write.parquet(path)
+    found = queries()["stream_ingest_reviews"](spark, str(tmp_path))
+    assert found.columns == ["conv_id", "turn", "role", "text", "cleaned"]
+    assert {(r.conv_id, r.turn) for r in found.collect()} == ({(c, t) for c in range(6) for t in (1, 2)} | {(0, 0)} if parts else set())
