@@ -46,7 +46,7 @@ from reviewloom.session import cut_lineage, scratch_path
 END = struct.pack("<I", 0)  # the end id
 FRAME_IDS = 1 << 15  # a frame ends with the document that reaches this
 FILE_IDS = 1 << 26  # so does a file
-CACHE_WORDS = 1 << 20  # about 250 MB in each worker at most
+CACHE_WORDS = 1 << 18  # and as many of the generation before: about 130 MB in each worker at most
 LEVEL = 3
 INDEX_MAGIC, SEEK_MAGIC, SEEK_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 CHECKSUMS = 0x80
@@ -70,7 +70,8 @@ def byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """A tokenizer that remembers the words it has encoded."""
+    """A tokenizer that remembers the words it has encoded last: two generations of ``CACHE_WORDS``, of which the older one
+    goes when the younger is full, so words in use stay and the memory of a worker does not grow with its input."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -78,6 +79,7 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -97,10 +99,10 @@ class Encoder:
         except KeyError:
             new = set(words).difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {}
+            self.known, self.older = {}, self.known
             new = set(words)
         for word in new:
-            self.known[word] = self.word(word)
+            self.known[word] = self.older.pop(word, None) or self.word(word)
         return b"".join(map(self.known.__getitem__, words))
 
 

@@ -70,3 +70,15 @@ def test_query(spark, sf_dir):
         got = rows[r["doc_id"]]
         assert (got["start"], got["n_tokens"], got["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
+
+
+def test_remembered_words_are_bounded_and_words_in_use_stay(monkeypatch):
+    monkeypatch.setattr(O, "CACHE_WORDS", 50)
+    encode, seen = O.Encoder(PATH), []
+    plain = encode.word
+    monkeypatch.setattr(encode, "word", lambda w: seen.append(w) or plain(w))
+    for i in range(300):
+        text = f"often q{chr(97 + i % 26)}z{chr(97 + i // 26)}"
+        assert np.frombuffer(encode.ids(text), dtype="<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+        assert len(encode.known) + len(encode.older) <= 100
+    assert seen.count("often") == 1
