@@ -308,3 +308,32 @@ def test_bad_candidates_do_not_stop_a_request(spark):
     assert [(r.name, r.winning_product) for r in out] == [("second", "second")]
     nested = recommend.responses(recommend.recommend(reviews, cands)).first()
     assert nested.winning_product == "second" and len(nested.details) == 1
+
+
+def test_terms_are_counted_in_the_row_as_by_grouping(spark):
+    from reviewloom.operators import features as X
+
+    texts = ["b a b_1 a, A", "", None, "x y", "zz", "çé ab ab çé ab 12"]
+    df = spark.createDataFrame(list(enumerate(texts)), "review_id int, review string")
+    own = df.select("review_id", F.inline(X.count_array("review")))
+    assert sorted(own.collect()) == sorted(X.term_counts(df, "review_id", "review").collect())
+    assert [r.term for r in own.filter("review_id = 5").collect()] == ["12", "ab", "çé"]
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_matrix_is_the_same_by_either_way_and_gathers_pairs_once(spark, monkeypatch, twice):
+    from reviewloom.plans import training as P
+
+    rows = [(i, "train" if i % 4 else "test", "pn"[i % 2], "" if i == 5 else f"common word{i % 7} word{i % 3} only{i}") for i in range(40)]
+    split = spark.createDataFrame(rows + (rows[-1:] if twice else []), "id int, split string, label string, text string")
+    made = P.build_matrix(split, "label", "id", "text")
+    monkeypatch.setattr(P.features, "unique_ids", lambda df, id_col: False)
+    plain = P.build_matrix(split, "label", "id", "text")
+    assert (made.rows is None) == twice and plain.rows is None
+
+    def shown(weights):
+        return {(r.id, r.split, r.label, r.term, round(r.weight, 9)) for r in weights.collect()}
+
+    assert shown(made.weights) == shown(plain.weights) == shown(made.kept().weights)
+    packed = [sorted((r.id, r.split, [(e.term, round(e.weight, 9)) for e in r.weights]) for r in (m.rows if m.rows is not None else P.entry_rows(m.docs, m.weights.drop("split"), "id")).collect()) for m in (made, plain)]
+    assert packed[0] == packed[1]
