@@ -83,3 +83,22 @@ def test_a_hub_is_not_one_task(spark):
     rows = [(0, 0, [0.0, 0.0])] + [(i, 0, [float(np.cos(i)) * 5, float(np.sin(i)) * 5]) for i in range(1, 150)] + [(1000 + i, 1, [9.0, float(i)]) for i in range(400)]
     out = S.smote(spark.createDataFrame(rows, "id long, g int, v array<double>"), "g", "id", "v", k=1)
     assert {r["g"]: r["count"] for r in out.groupBy("g").count().collect()} == {0: 400, 1: 400}
+
+
+def test_sparse_rows_with_frequent_rare_and_no_terms(spark):
+    rows = [(i, "a", [] if i % 9 == 4 else [("all", 0.5 + i / 64)] + [(f"t{t}", 0.25 + (i * t) % 7) for t in range(12) if (i * 7 + t) % 5 == 0] + [(f"z{i}", 0.125)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, label string, v array<struct<term:string,weight:double>>")
+    vectors = {i: dict(v) for i, _, v in rows}
+
+    def dist(i, j):
+        x, y = vectors[i], vectors[j]
+        return round(sum((x.get(t, 0.0) - y.get(t, 0.0)) ** 2 for t in {*x, *y}) ** 0.5, 9)
+
+    want = {i: [j for _, j in sorted((dist(i, j), j) for j in vectors if j != i)[:3]] for i in vectors}
+    for block in (8, 2048):
+        found = {}
+        for r in N.blocked_knn(df, "label", "id", "v", 3, sparse=True, block_rows=block).collect():
+            found.setdefault(r.id, []).append((r.nn_rank, r.nn_id))
+        assert {i: [j for _, j in sorted(near)] for i, near in found.items()} == want
+    bare = spark.createDataFrame([(i, "a", []) for i in range(4)], df.schema)
+    assert N.blocked_knn(bare, "label", "id", "v", 2, sparse=True).count() == 8
