@@ -224,7 +224,8 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc
         if writer is not None:
             yield finished()
 
-    return cut_lineage(ordered.mapInArrow(write, "part int, number int, path string, documents long, ids long"))
+    reports = ordered.mapInArrow(write, "part int, number int, path string, documents long, ids long")
+    return cut_lineage(reports.repartition(1))  # a row per file: the tasks write token files only, not a table file each
 
 
 REPORT = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())])

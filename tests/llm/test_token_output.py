@@ -82,3 +82,10 @@ def test_remembered_words_are_bounded_and_words_in_use_stay(monkeypatch):
         assert np.frombuffer(encode.ids(text), dtype="<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
         assert len(encode.known) + len(encode.older) <= 100
     assert seen.count("often") == 1
+
+
+def test_reports_are_one_table_file(spark, tmp_path):
+    docs = spark.range(0, 400, 1, 4).selectExpr("id AS doc_id", "concat('some words ', id) AS text")
+    files = O.write_files(docs, f"file://{tmp_path}/ids", PATH)
+    assert files.count() > 1 and len(files.inputFiles()) == 1
+    assert files.agg({"documents": "sum"}).first()[0] == 400
