@@ -61,6 +61,7 @@ ALIKE = "".join(c for c in LOOKS_LIKE if c > "\u024f")
 CORE = rf"{LETTER}[{ALIKE}]|[{ALIKE}]{LETTER}|(?P<again>{LETTER})(?:[{SIGNS}]+{LETTER}|[@$|+0-9]{{1,2}}(?!\S)|[._*~-]{LETTER}[._*~-]{LETTER}|(?P=again){{2}})|(?<!\S)[@$|+0-9]{{1,2}}{LETTER}"
 DISGUISED = re.compile(f"(?P<apart>{APART})|{CORE}")
 REPEATED = re.compile(r"(.)\1{3,}", re.DOTALL)
+REACH = 6  # characters behind a place that tell whether a disguised word may begin there
 PRIMES = np.random.default_rng(64).integers(1, 1 << 63, SPELLED + 1, dtype=np.uint64) | np.uint64(1)
 
 
@@ -82,6 +83,44 @@ def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
+@cache
+def kinds() -> np.ndarray:
+    """Of every code point, as bits: 1 a letter of the patterns above, 2 a sign, 4 a mark, 8 a look-alike."""
+    table = np.zeros(0x110000, dtype=np.uint8)
+    for bit, pattern in ((1, LETTER), (2, f"[{SIGNS}]"), (4, f"[{MARKS}]"), (8, f"[{ALIKE}]")):
+        for c in re.finditer(pattern, "".join(map(chr, range(0x3000)))):
+            table[c.start()] |= bit
+    return table
+
+
+def repeats(text: str) -> bool:
+    """Whether a character comes four times in a row."""
+    for at in range(0, len(text), PIECE):
+        codes = codes_of(text[at : at + PIECE + 3])
+        same = codes[1:] == codes[:-1]
+        if (same[2:] & same[1:-1] & same[:-2]).any():
+            return True
+    return False
+
+
+def places(text: str):
+    """The places, in order, that ``DISGUISED`` may match at: all that it does match at, and a few more."""
+    for at in range(0, len(text), PIECE):
+        codes = codes_of(text[at : at + PIECE + REACH])
+        n = min(PIECE, len(text) - at)
+        codes = np.concatenate((codes, np.zeros(n + REACH - len(codes), dtype=np.uint32)))
+        kind = kinds()[codes]
+        letter, sign, mark = (kind & 1) > 0, (kind & 2) > 0, (kind & 4) > 0
+        either, alike = letter | sign, (kind & 8) > 0
+        code = [codes[k : n + k] for k in range(REACH)]
+        letter, sign, mark, either, alike = ([x[k : n + k] for k in range(REACH + 1)] for x in (letter, sign, mark, either, alike))
+        found = letter[0] & (sign[1] | alike[1] | ((code[0] == code[1]) & (code[0] == code[2])))
+        found |= letter[1] & (alike[0] | sign[0]) | (sign[0] & sign[1] & letter[2])
+        apart = either[0] & mark[1] & either[2] & mark[3] & either[4]
+        found |= apart & (letter[0] & letter[2] & letter[4] | (code[1] == code[3]) & (code[1] == code[5]) & either[6])
+        yield from (np.nonzero(found)[0] + at).tolist()
+
+
 def count_trigrams(batches):
     """Trigram counts of the batches' words, two boundaries before each word and one behind."""
     total = np.zeros(SYMBOLS**3, dtype=np.int64)
@@ -202,9 +241,14 @@ class Restorer:
 
     def text(self, text: str) -> str:
         """Lower-case text with disguised words restored."""
-        text = REPEATED.sub(r"\1\1\1", text.lower())  # no word has a letter four times in a row
+        text = text.lower()
+        if repeats(text):
+            text = REPEATED.sub(r"\1\1\1", text)  # no word has a letter four times in a row
         parts, done, at = [], 0, 0
-        while found := DISGUISED.search(text, at):
+        for place in places(text):
+            found = DISGUISED.match(text, place) if place >= at else None
+            if not found:
+                continue
             start, end = found.span()
             at = max(end, at + 1)
             if found["apart"] is not None:

@@ -21,6 +21,20 @@ def restorer(texts):
     return X.Restorer(X.CharacterModel.of(counts))
 
 
+def test_only_few_places_are_tried_and_no_match_is_missed(monkeypatch):
+    draw = np.random.default_rng(5)
+    tried = lambda text: list(X.places(text))
+    assert tried("plain words, as most texts have them, are passed over. " * 50) == []
+    for alphabet in ("ab1!$ .-", "aаеb @|+\n\t.*~_", "xéßøɏªµ0 9_-.", "abc  ..1", "aab  e.e-"):
+        for size in (X.PIECE, 8):
+            monkeypatch.setattr(X, "PIECE", size)
+            for _ in range(200):
+                text = "".join(draw.choice(list(alphabet), draw.integers(0, 60)))
+                starts = [at for at in range(len(text)) if X.DISGUISED.match(text, at)]
+                assert set(starts) <= set(tried(text)) and tried(text) == sorted(tried(text))
+                assert X.repeats(text) == bool(X.REPEATED.search(text))
+
+
 def test_trigrams_count_words_with_boundaries():
     got = pd.concat(X.count_trigrams([pd.DataFrame({"text": ["ab", "AB c"]})])).set_index("gram")["n"].to_dict()
     def key(a, b, c):
