@@ -337,3 +337,14 @@ def test_matrix_is_the_same_by_either_way_and_gathers_pairs_once(spark, monkeypa
     assert shown(made.weights) == shown(plain.weights) == shown(made.kept().weights)
     packed = [sorted((r.id, r.split, [(e.term, round(e.weight, 9)) for e in r.weights]) for r in (m.rows if m.rows is not None else P.entry_rows(m.docs, m.weights.drop("split"), "id")).collect()) for m in (made, plain)]
     assert packed[0] == packed[1]
+
+
+def test_prepared_texts_are_not_shuffled(spark, monkeypatch):
+    from reviewloom.plans import recommend as P
+
+    seen = []
+    rows = spark.createDataFrame([(1, "yang layar bagus")], "review_id long, review string")
+    monkeypatch.setattr(P, "label_reviews", lambda tagged, model, text: seen.append(tagged.columns) or tagged.selectExpr("*", "'positif' AS predicted", "0.5D AS confidence"))
+    got = P.score_raw_reviews(rows, type("M", (), {"out": "predicted"})(), lexicon={"a": ["layar"]}).first()
+    assert seen == [["review_id", "review", "keywords", "aspects"]]
+    assert (got["keywords"], got["confidence"]) == (["layar"], 0.5)

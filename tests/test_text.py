@@ -84,3 +84,19 @@ def test_tokens(spark):
 def test_text_expressions_do_not_shuffle(spark):
     df = spark.range(5).select(F.col("id").cast("string").alias("x")).select(X.preprocess_train(X.clean_text("x")))
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_prepared_texts_have_the_stems_of_the_expressions(spark, monkeypatch):
+    affixes = ["", "me", "meny", "mem", "peng", "per", "ber", "di", "ter", "ke"]
+    ends = ["", "i", "an", "kan", "nya", "kah", "kannya", "ilah"]
+    words = [a + root + e for a in affixes for root in ("tulis", "apu", "kata", "a") for e in ends]
+    texts = [None, "", " yang  di \n", "Yang, TULISANNYA! İa ß-9", *[" ".join(words[i::7]) for i in range(7)]]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = X.stem_text(X.remove_stopwords(X.lower_text("t")))
+    for limit in (X.STEMS, 40):  # fewer words are remembered than a text has
+        monkeypatch.setattr(X, "STEMS", limit)
+        X._stems.clear()
+        rows = df.select(X.preprocess_serve("t").alias("got"), plain.alias("want")).collect()
+        assert [r["got"] for r in rows] == [r["want"] for r in rows]
+        assert [X._prepared(w, frozenset()) for w in words] == [X.stem_word(w) for w in words] and len(X._stems) <= limit
+    assert X.stem_word("mempekerjakan") == df.limit(1).select(F.array_join(X.stem_tokens(F.array(F.lit("mempekerjakan"))), "")).first()[0]
