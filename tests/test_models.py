@@ -213,3 +213,48 @@ def test_the_winner_follows_the_model(spark, served):
     # "cepat" is found in raw text; "lambat" tags nothing, "kecewa" neither.
     scored = {r["review_id"]: r for r in score_raw_reviews(frame, served).collect()}
     assert scored[1]["stored_sentiment"] == "POSITIVE" and scored[2]["stored_sentiment"] == "NEGATIVE" and scored[1]["keywords"] == ["cepat"]
+
+
+def test_all_rows_are_fitted_and_searched(spark, monkeypatch):
+    """The value of a single leaf tells how many rows it was fitted on."""
+    rows = spark.range(3000).select(F.col("id").alias("review_id"), (F.col("id") % 10 > 6).cast("int").alias("label_idx"), F.array().cast("array<struct<term:string,weight:double>>").alias("weights"))
+    leaf = M.BoostedTrees({"n_estimators": 1}).fit(rows).trees.value
+    assert np.allclose(leaf, [0.3 * 600 / 1501, -0.3 * 600 / 1501])  # half of 3,000 is both the expected rows of a class and the sum of second derivatives
+    seen = []
+    real = M._scores_apart
+    monkeypatch.setattr(M, "_scores_apart", lambda parts, *rest: [seen.append([p.count() for p in parts]), real(parts, *rest)][1])
+    M.grid_scores(rows.withColumn("fold", F.col("review_id") % 3), {"n_estimators": [1]}, M.ResampleSelectClassifier(k=None, resample=False), "fold", 3)
+    assert seen == [[3000] * 3]
+
+
+@pytest.mark.parametrize("params", [{"n_estimators": 4}, {"n_estimators": 4, "max_depth": 3, "subsample": 0.8, "colsample_bytree": 0.8}])
+def test_tasks_together_fit_what_one_task_fits(trained, monkeypatch, params):
+    packed = trained[3]
+    one = M.BoostedTrees(params).fit(packed).trees
+    calls = []
+    monkeypatch.setattr(M, "TASK_ENTRIES", 400)
+    monkeypatch.setattr(M, "term_columns", lambda *a, real=M.term_columns: [calls.append(a[3]), real(*a)][1])
+    many = M.BoostedTrees(params).fit(packed).trees
+    assert calls and calls[0] > 1
+    for column in ("tree", "feature", "threshold", "absent_left", "left", "right", "value"):
+        assert np.allclose(getattr(one, column), getattr(many, column), atol=1e-9), column
+
+
+def test_a_search_by_all_tasks_together_scores_the_same(trained, monkeypatch):
+    grid = {"max_depth": [2, 4], "subsample": [0.8], "colsample_bytree": [0.8], "n_estimators": [2, 6]}
+    stage = M.ResampleSelectClassifier(k=None, resample=False)
+    apart = M.grid_scores(trained[3], grid, stage, "fold", 3)
+    monkeypatch.setattr(M, "SEARCH_ENTRIES", 0)
+    monkeypatch.setattr(M, "_scores_apart", None)
+    together = M.grid_scores(trained[3], grid, stage, "fold", 3)
+    assert [(pytest.approx(s), p) for s, p in apart] == together
+
+
+def test_held_rows_get_the_margins_of_a_fit_without_them():
+    rows, labels = sample(150, 5)
+    data, held = sparse(rows), np.arange(150) % 4 == 1
+    settings = {"n_estimators": 6, "max_depth": 3, "subsample": 0.8, "colsample_bytree": 0.8}
+    trees, margins = B.fit_and_hold(data, labels, 3, settings, held=held, stops=[2, 6])
+    alone = B.fit(sparse([r for r, out in zip(rows, held) if not out]), labels[~held], 3, settings)
+    out = sparse([r for r, away in zip(rows, held) if away])
+    assert np.allclose(margins[2], alone.margins(out, 2)) and np.allclose(margins[6], alone.margins(out)) and np.array_equal(trees.feature, alone.feature)
